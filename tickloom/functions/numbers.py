@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _SPLIT = 134217729.0  # 2**27 + 1, splits a double into two halves whose products are exact
-_EXACT_LIMIT = 4503599627370496.0  # 2**52, doubles beyond it have no fraction
+_EXACT_LIMIT = 2251799813685248.0  # 2**51, below it a double can hold halves
 
 
 def nearest(value: Column, places: int) -> Column:
@@ -26,8 +26,8 @@ def nearest(value: Column, places: int) -> Column:
     error = (high * F.lit(scale) - scaled) + (x - high) * F.lit(scale)
     below = F.floor(scaled)
     excess = (scaled - below - F.lit(0.5)) + error
-    step = F.when(excess > 0, 1).when(excess < 0, 0).otherwise(F.abs(below % 2))
-    return F.when(F.abs(scaled) < _EXACT_LIMIT, (below + step) / F.lit(scale)).otherwise(x)
+    halfway_or_side = below + F.lit(0.5) + F.lit(0.5) * F.signum(excess)
+    return F.when(F.abs(scaled) < _EXACT_LIMIT, F.rint(halfway_or_side) / F.lit(scale)).otherwise(x)
 
 
 def whole(value: Column) -> Column:

@@ -51,15 +51,13 @@ def trailing_decisions(
     Decisions, first match wins: ``flat``, ``not in profit``, ``below first level``, ``would reduce``,
     ``within tolerance``, ``create`` (no stop yet), ``replace``.
     """
-    entry, leverage = F.col("entry_price"), F.col("leverage")
     is_long = F.col("side") == "LONG"
-    steps = with_roi(positions).join(first_stop_orders(orders), "position_id", "left")
-    steps = steps.withColumn("locked", F.when(F.col("roi") > 0, market.step_lookup(F.col("roi"), levels)))
-    steps = steps.withColumn("new_stop", market.trailing_stop(entry, F.col("locked"), leverage, is_long))
+    wanted = stop_candidates(positions, levels).withColumnRenamed("candidate", "new_stop")
+    steps = wanted.join(first_stop_orders(orders), "position_id", "left")
     new, current = F.col("new_stop"), F.col("current_stop")
     reduces = F.when(is_long, new < current).otherwise(new > current)
     decision = (
-        F.when(F.col("side").isNull() | (entry == 0), "flat")
+        F.when(F.col("side").isNull() | (F.col("entry_price") == 0), "flat")
         .when(F.col("roi") <= 0, "not in profit")
         .when(F.col("locked").isNull(), "below first level")
         .when(reduces, "would reduce")
@@ -156,7 +154,11 @@ def _leg(kind: str, order_side: Column, price: Column, reduce_only: bool) -> Col
 
 
 def stop_candidates(marks: DataFrame, levels: list[tuple[float, float]] = market.TRAILING_LEVELS) -> DataFrame:
-    """Trailing stop that each mark of a position alone would ask for; null below the first level."""
+    """Trailing stop that each mark of a position alone would ask for; null below the first level.
+
+    To keep only rows that ask for one, filter on ``locked``: a filter on ``candidate`` would be pushed below
+    the formula and evaluate it twice.
+    """
     is_long = F.col("side") == "LONG"
     steps = with_roi(marks)
     steps = steps.withColumn("locked", F.when(F.col("roi") > 0, market.step_lookup(F.col("roi"), levels)))

@@ -191,8 +191,8 @@ def zone(spark, folder):
     "f7_epochs",
     with_views(
         "ticks",
-        """ select id, epoch_ms(scraped_timestamp) as millis, date_trunc('day', scraped_timestamp) as midnight,
-        make_timestamp(epoch_ms(scraped_timestamp) * 1000) as back from ticks""",
+        """ select id, epoch_us(scraped_timestamp) // 1000 as millis, date_trunc('day', scraped_timestamp) as midnight,
+        make_timestamp(epoch_us(scraped_timestamp) // 1000 * 1000) as back from ticks""",
     ),
 )
 def epochs(spark, folder):

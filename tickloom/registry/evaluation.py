@@ -218,7 +218,7 @@ START, END = datetime(2024, 1, 10, 6), datetime(2024, 1, 20, 18, 30, 15, 250_000
     with_views(
         "income",
         f""" select round(coalesce(sum(income), 0), 6) as pnl from income where income_type = 'REALIZED_PNL'
-        and epoch_ms(income_time) between epoch_ms(timestamp '{START}') and epoch_ms(timestamp '{END}')""",
+        and epoch_us(income_time) // 1000 between epoch_us(timestamp '{START}') // 1000 and epoch_us(timestamp '{END}') // 1000""",
     ),
 )
 def realized_pnl_in_range(spark, folder):
@@ -230,7 +230,7 @@ def realized_pnl_in_range(spark, folder):
     with_views(
         "income",
         """ select round(coalesce(sum(income), 0), 6) as pnl from income where income_type = 'REALIZED_PNL'
-        and income_time >= timestamp '2024-01-30' and epoch_ms(income_time) <= epoch_ms(timestamp '2024-01-30 21:00:00')""",
+        and income_time >= timestamp '2024-01-30' and epoch_us(income_time) // 1000 <= epoch_us(timestamp '2024-01-30 21:00:00') // 1000""",
     ),
 )
 def realized_pnl_today(spark, folder):

@@ -13,7 +13,7 @@ from tickloom.session import scratch_path
 KEYS = ["asset", "model_type"]
 ORDER = ["updated_at", "seq"]
 STATE = """state as (select asset, model_type, weight, updated_at, seq,
-    epoch_ms(updated_at) // 1000 + cast(expire_days as bigint) * 86400 as expiration_time from (
+    epoch_us(updated_at) // 1000000 + cast(expire_days as bigint) * 86400 as expiration_time from (
     select *, row_number() over (partition by asset, model_type order by updated_at desc, seq desc) as rn from kv_puts) where rn = 1)"""
 
 

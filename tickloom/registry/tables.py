@@ -272,7 +272,7 @@ def json_export(spark, folder):
     return spark.read.schema(landing.TICK_SCHEMA).json(path)
 
 
-@query("s17_landed_files", "select cast(sum(n) as bigint) as files, sum(records) as records from (select (case when count(1) filter (event_id % 500 = 0) > 0 then 1 else 0 end + case when count(1) filter (event_id % 500 <> 0) > 0 then 1 else 0 end) as n, count(1) as records from events group by event_id // 500)")
+@query("s17_landed_files", "select cast(sum(n) as bigint) as files, cast(sum(records) as bigint) as records from (select (case when count(1) filter (event_id % 500 = 0) > 0 then 1 else 0 end + case when count(1) filter (event_id % 500 <> 0) > 0 then 1 else 0 end) as n, count(1) as records from events group by event_id // 500)")
 def landed_files(spark, folder):
     """What a landing folder holds: files by base name, and records."""
     path = staging.landing_folder(spark, folder)

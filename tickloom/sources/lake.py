@@ -7,7 +7,8 @@ partitions and dropping one removes its files. Changes rewrite only the partitio
 from __future__ import annotations
 
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import date
 
@@ -21,6 +22,7 @@ MODES = ("append", "overwrite", "overwrite_partitions")
 # Partition tuples joined by broadcast; more are joined by shuffle. A tuple is well below a kilobyte.
 MAX_BROADCAST_PARTITIONS = 20_000
 _DROPS_PER_STATEMENT = 100
+_OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
 
 
 @dataclass(frozen=True)
@@ -75,8 +77,19 @@ def _insert(df: DataFrame, table: str, mode: str) -> None:
     rows = df.select(*spark.table(table).columns)
     rows = rows.hint("rebalance", *partitions) if partitions else rows
     dynamic = mode == "overwrite_partitions" and bool(partitions)
-    writer = rows.write.mode("append" if mode == "append" else "overwrite")
-    writer.option("partitionOverwriteMode", "dynamic" if dynamic else "static").insertInto(table)
+    with _overwriting(spark, "dynamic" if dynamic else "static"):
+        rows.write.mode("append" if mode == "append" else "overwrite").insertInto(table)
+
+
+@contextmanager
+def _overwriting(spark: SparkSession, mode: str) -> Iterator[None]:
+    """Set the overwrite mode of catalog tables, which they take from the session only, for one write."""
+    before = spark.conf.get(_OVERWRITE_MODE)
+    spark.conf.set(_OVERWRITE_MODE, mode)
+    try:
+        yield
+    finally:
+        spark.conf.set(_OVERWRITE_MODE, before)
 
 
 def delete_all(spark: SparkSession, table: str) -> None:

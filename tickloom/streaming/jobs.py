@@ -55,10 +55,10 @@ def stop_updates(marks: DataFrame) -> DataFrame:
     A stop only moves towards profit, so it is the running maximum of the candidates (minimum for shorts).
     As a plain aggregate it combines inside each task before it meets the state of the position.
     """
-    candidates = stop_candidates(marks).filter(F.col("candidate").isNotNull())
     score = towards_profit(F.col("candidate"), F.col("side"))
-    best = candidates.groupBy("position_id", "side").agg(F.max(score).alias("best"))
-    return best.select("position_id", "side", towards_profit(F.col("best"), F.col("side")).alias("stop"))
+    best = stop_candidates(marks).groupBy("position_id", "side").agg(F.max(score).alias("best"))
+    reached = best.filter(F.col("best").isNotNull())
+    return reached.select("position_id", "side", towards_profit(F.col("best"), F.col("side")).alias("stop"))
 
 
 def latest_item_updates(puts: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
