@@ -1,0 +1,49 @@
+import random
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tickloom.operators.segments import segmented, with_previous, with_running_max
+
+SCHEMA = "k string, t int, id int, v double"
+
+
+def _rows(count, seed=3):
+    """One key holds nearly all rows, most of them at one time; some keys and values are null."""
+    source = random.Random(seed)
+    rows = []
+    for i in range(count):
+        key = source.choices(["hot", "cold", None, "rare"], [90, 5, 3, 2])[0]
+        time = 5 if source.random() < 0.6 else source.randint(0, 9)
+        value = None if source.random() < 0.1 else float(source.randint(0, 10**6))
+        rows.append((key, time, i, value))
+    return rows
+
+
+def test_rows_of_one_key_and_time_are_spread(spark, small_partitions):
+    parts = segmented(spark.createDataFrame(_rows(4000), SCHEMA), ["k"], ["t", "id"])
+    sizes = [row["count"] for row in parts.groupBy("segment").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1200
+
+
+def test_previous_equals_lag(spark, small_partitions):
+    frame = spark.createDataFrame(_rows(4000), SCHEMA)
+    for descending in (False, True):
+        order = [F.col(c).desc() if descending else F.col(c) for c in ("t", "id")]
+        expected = frame.withColumn("p", F.lag("v").over(Window.partitionBy("k").orderBy(*order)))
+        actual = with_previous(frame, ["k"], ["t", "id"], "v", "p", descending)
+        assert sorted(map(str, actual.select(*expected.columns).collect())) == sorted(map(str, expected.collect()))
+
+
+def test_running_max_equals_window(spark, small_partitions):
+    frame = spark.createDataFrame(_rows(4000), SCHEMA)
+    window = Window.partitionBy("k").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
+    expected = frame.withColumn("m", F.max("v").over(window))
+    actual = with_running_max(frame, ["k"], ["t", "id"], "v", "m")
+    assert sorted(map(str, actual.select(*expected.columns).collect())) == sorted(map(str, expected.collect()))
+
+
+def test_no_rows_give_no_rows(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert with_previous(empty, ["k"], ["t", "id"], "v", "p").collect() == []
+    assert with_running_max(empty, ["k"], ["t", "id"], "v", "m").columns == ["k", "t", "id", "v", "m"]

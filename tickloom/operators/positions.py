@@ -39,7 +39,7 @@ def first_stop_orders(orders: DataFrame, types: Sequence[str] = ("STOP_MARKET",
 
 def without_stop(positions: DataFrame, orders: DataFrame) -> DataFrame:
     """Positions that have no ``STOP_MARKET`` order."""
-    stops = orders.filter(F.col("type") == "STOP_MARKET").select("position_id")
+    stops = orders.filter(F.col("type") == "STOP_MARKET").select("position_id").distinct()
     return positions.join(stops, "position_id", "left_anti")
 
 

@@ -6,6 +6,7 @@ import functools
 import operator
 from collections.abc import Mapping, Sequence
 from datetime import date
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,8 +65,22 @@ def run_statements(spark: SparkSession, statements: Sequence[tuple[str, Mapping[
     return result
 
 
-def guarded_select(spark: SparkSession, query: str, *, limit: int, args: Mapping[str, object] | None = None) -> DataFrame:
+def statement_text(query: str | None = None, path: str | None = None) -> str:
+    """A statement given as text or as the path of a file on the driver; exactly one of the two."""
+    if (query is None) == (path is None):
+        raise ValueError("give either query or path")
+    return Path(path).read_text(encoding="utf-8") if path is not None else query
+
+
+def guarded_select(
+    spark: SparkSession,
+    query: str | None = None,
+    *,
+    limit: int,
+    args: Mapping[str, object] | None = None,
+    path: str | None = None,
+) -> DataFrame:
     """Run a parameterised query; the caller must say how many rows are wanted at most."""
     if limit < 1:
         raise ValueError("limit must be positive")
-    return spark.sql(query, args=dict(args or {})).limit(limit)
+    return spark.sql(statement_text(query, path), args=dict(args or {})).limit(limit)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import messages, pnl, scoring
@@ -134,12 +135,10 @@ def correct_counts_with_totals(spark, folder):
     ),
 )
 def share_of_total(spark, folder):
-    """Share in the sum over everything: the one-row total joins without a key."""
+    """Share in the sum over everything: the total is a scalar subquery, so nothing is joined."""
     accuracy = scoring.accuracies(actual_with_prediction(spark, folder))
-    total = accuracy.agg(F.sum("accuracy").alias("total"))
-    return accuracy.join(F.broadcast(total)).select(
-        "model_type", "asset", F.round(F.col("accuracy") / F.col("total"), 9).alias("weight")
-    )
+    total = accuracy.agg(F.sum("accuracy")).scalar()
+    return accuracy.select("model_type", "asset", F.round(F.col("accuracy") / total, 9).alias("weight"))
 
 
 @query(
@@ -203,8 +202,6 @@ def model_weights_recent_one_asset(spark, folder):
     ),
 )
 def share_of_asset_total(spark, folder):
-    from pyspark.sql import Window
-
     days = views.ticks(spark, folder).groupBy("asset", "scraped_date").agg(F.sum("price").alias("day_sum"))
     share = F.col("day_sum") / F.sum("day_sum").over(Window.partitionBy("asset"))
     return days.select("asset", "scraped_date", F.round(share, 9).alias("share"))

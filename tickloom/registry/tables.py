@@ -34,8 +34,6 @@ def read_json_folder(spark, folder):
 @query("s2_load_json_folder", with_views("ticks", " " + LOADED))
 def load_json_folder(spark, folder):
     name = staging.new_table(spark, "staged_ticks")
-    rows = landing.typed_ticks(spark.createDataFrame([], landing.TICK_SCHEMA))
-    lake.create_table(rows, name)
     landing.load_folder(spark, staging.landing_folder(spark, folder), name)
     return spark.table(name)
 
@@ -217,9 +215,13 @@ def delete_all(spark, folder):
     name = staging.tick_table(spark, folder)
     before = written(spark.table(name).agg(F.count(F.lit(1)).alias("rows_before")), "count")
     lake.delete_all(spark, name)
-    after = spark.table(name)
-    counted = after.agg(F.count(F.lit(1)).alias("rows_after"), F.lit(len(after.columns)).alias("columns_after"))
-    return before.join(F.broadcast(counted))
+    after = spark.table(name).agg(F.count(F.lit(1)).alias("rows_after"))
+    both = before.unionByName(after, allowMissingColumns=True)
+    return both.agg(
+        F.max("rows_before").alias("rows_before"),
+        F.max("rows_after").alias("rows_after"),
+        F.max(F.lit(len(spark.table(name).columns))).alias("columns_after"),
+    )
 
 
 _DAILY_SQL = "select asset, scraped_date, count(1) as n, round(sum(price), 6) as total from ticks group by asset, scraped_date"

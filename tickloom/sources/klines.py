@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.session import broadcast_if_small, written
+
 # Names and types of the positions of a bar.
 BAR_TYPES = {
     "open_time": "bigint",
@@ -22,6 +24,8 @@ BAR_TYPES = {
     "taker_buy_quote_asset_volume": "double",
     "ignore": "string",
 }
+# Failed units joined by broadcast; a unit is a few dozen bytes.
+MAX_BROADCAST_UNITS = 200_000
 _INTEGERS = ("bigint", "int", "smallint", "tinyint")
 
 
@@ -54,12 +58,15 @@ def split_by_health(bars: DataFrame, unit: Sequence[str] = ("asset",)) -> tuple[
     """Bars of the units without any bad bar, and the quarantined bars of all other units, good ones included.
 
     With ``unit=("asset",)`` one bad bar rejects the asset; with ``("asset", "scraped_time")`` it rejects the
-    one capture it came with. The units are reduced inside each task first, and Spark decides from the size of
-    the resulting list how to join it; a hot asset is split by the adaptive skew join.
+    one capture it came with. The bars are written once, so that the payloads are parsed once for the list of
+    failed units and both results. A list that is not small is joined by shuffle, where the adaptive skew join
+    splits a hot asset.
     """
-    failed = bars.filter("bad").select(*unit).distinct()
-    good = bars.join(failed, list(unit), "left_anti").drop("bad")
-    quarantined = bars.join(failed, list(unit), "left_semi").drop("bad")
+    bars = written(bars, "bars")
+    failed = broadcast_if_small(written(bars.filter("bad").select(*unit).distinct(), "failed"), MAX_BROADCAST_UNITS)
+    columns = [name for name in bars.columns if name != "bad"]
+    good = bars.join(failed, list(unit), "left_anti").select(*columns)
+    quarantined = bars.join(failed, list(unit), "left_semi").select(*columns)
     return good, quarantined
 
 

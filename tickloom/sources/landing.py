@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.moments import record_text
 from tickloom.operators.shaping import rename, strict_cast
+from tickloom.sources import lake
 
 # The record layout, its defaults, and the names and types of the loaded table.
 TICK_SCHEMA = "timestamp string, asset string, price string, source_id int, engine int"
@@ -29,11 +30,16 @@ def typed_ticks(records: DataFrame, names: Mapping[str, str] = TICK_NAMES) -> Da
 
 
 def load_folder(
-    spark: SparkSession, folder: str, table: str, names: Mapping[str, str] = TICK_NAMES, schema: str = TICK_SCHEMA
+    spark: SparkSession,
+    folder: str,
+    table: str,
+    names: Mapping[str, str] = TICK_NAMES,
+    schema: str = TICK_SCHEMA,
+    partitions: Sequence[str] = (),
 ) -> None:
-    """Append every file of a folder to a table in one job."""
+    """Append every file of a folder to a table in one job; the table is created when it does not exist."""
     rows = typed_ticks(read_records(spark, folder, schema), names)
-    rows.select(*spark.table(table).columns).write.mode("append").insertInto(table)
+    lake.insert_to_table(rows, table, {}, partitions, mode="append")
 
 
 def ticker_records(payloads: DataFrame, scraped_at: Column) -> DataFrame:

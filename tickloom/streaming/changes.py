@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.operators.keyed import latest_per_key
@@ -30,6 +31,29 @@ def write_changes(updates: DataFrame, folder: str, checkpoint: str, **trigger) -
     )
 
 
-def current(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFrame:
-    """Newest value of every key, combined before the shuffle."""
-    return latest_per_key(spark.read.parquet(folder), keys, ["batch"]).drop("batch")
+def current(spark: SparkSession, folder: str, keys: Sequence[str], base: str | None = None) -> DataFrame:
+    """Newest value of every key, combined before the shuffle.
+
+    With ``base``, a folder written by :func:`compact`, only the batches after it are read from ``folder``.
+    """
+    changes = spark.read.parquet(folder)
+    if base is not None:
+        start = spark.read.parquet(base)
+        last = start.agg(F.max("batch")).first()[0]
+        changes = start.unionByName(changes.filter(F.col("batch") > last))
+    return latest_per_key(changes, keys, ["batch"]).drop("batch")
+
+
+def compact(spark: SparkSession, folder: str, keys: Sequence[str], target: str, base: str | None = None) -> None:
+    """Write the current result to ``target`` as the base of later reads, while the stream may go on.
+
+    The newest batch is left out: the stream may still be writing it.
+    """
+    changes = spark.read.parquet(folder)
+    newest = changes.agg(F.max("batch")).first()[0]
+    settled = changes.filter(F.col("batch") < newest)
+    if base is not None:
+        settled = settled.unionByName(spark.read.parquet(base))
+    last = settled.agg(F.max("batch")).first()[0]
+    if last is not None:
+        latest_per_key(settled, keys, ["batch"]).withColumn("batch", F.lit(last)).write.parquet(target)
