@@ -9,7 +9,7 @@ from tickloom.functions import market, numbers
 
 def _rounded(spark, values, places):
     frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
-    rows = frame.select("i", numbers.nearest(F.col("v"), places).alias("r")).collect()
+    rows = frame.select("i", numbers.nearest("v", places).alias("r")).collect()
     return [row["r"] for row in sorted(rows, key=lambda row: row["i"])]
 
 
@@ -44,7 +44,7 @@ def test_floor_to_goes_down(spark):
 
 def test_step_lookup_takes_the_largest_trigger_reached(spark):
     frame = spark.createDataFrame([(2.99,), (3.0,), (4.9,), (5.0,), (1000.0,), (None,)], "v double")
-    rows = frame.select(market.step_lookup(F.col("v"), market.TRAILING_LEVELS)).collect()
+    rows = frame.select(market.step_lookup("v", market.TRAILING_LEVELS)).collect()
     assert [r[0] for r in rows] == [None, 1.5, 1.5, 3.0, 85.0, None]
 
 
@@ -52,7 +52,7 @@ def test_step_lookup_does_not_depend_on_the_order_of_levels(spark):
     frame = spark.range(100).select(F.col("id").cast("double").alias("v"))
     levels = list(market.TRAILING_LEVELS)
     random.Random(1).shuffle(levels)
-    pair = frame.select(market.step_lookup(F.col("v"), levels), market.step_lookup(F.col("v"), market.TRAILING_LEVELS))
+    pair = frame.select(market.step_lookup("v", levels), market.step_lookup("v", market.TRAILING_LEVELS))
     assert all(a == b for a, b in pair.collect())
 
 

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tickloom.functions.numbers import floor_to, nearest
-
 # Fixed values: (profit % that triggers the level, profit % the stop then locks in).
 TRAILING_LEVELS = [
     (3, 1.5),
@@ -62,62 +61,21 @@ def shifted(price: Column, percent: Column, leverage: Column, upwards: Column) -
     return price * F.when(upwards, 1 + share).otherwise(1 - share)
 
 
-def take_profit(entry: Column, percent: Column, leverage: Column, is_long: Column) -> Column:
-    return nearest(shifted(entry, percent, leverage, is_long), PRICE_PLACES)
-
-
-def stop_loss(entry: Column, percent: Column, leverage: Column, is_long: Column) -> Column:
-    return nearest(shifted(entry, percent, leverage, ~is_long), PRICE_PLACES)
-
-
-def order_quantity(balance: Column, leverage: Column, price: Column) -> Column:
-    """Largest quantity the usable share of a balance buys."""
-    return nearest(balance * F.lit(BALANCE_SHARE) * leverage / price, QUANTITY_PLACES)
-
-
-def order_size(balance: Column, leverage: Column, price: Column) -> Column:
-    """:func:`order_quantity` cut to the decimals an order accepts."""
-    return floor_to(order_quantity(balance, leverage, price), ORDER_PLACES)
+def affordable(balance: Column, leverage: Column, price: Column) -> Column:
+    """Quantity the usable share of a balance buys, not rounded."""
+    return balance * F.lit(BALANCE_SHARE) * leverage / price
 
 
-def step_lookup(value: Column, levels: list[tuple[float, float]]) -> Column:
-    """Result of the largest trigger not above ``value``; null below the first.
+def step_lookup(name: str, levels: Sequence[tuple[float, float]]) -> Column:
+    """Result of the largest trigger not above the column ``name``; null below the first.
 
     The levels are a literal list, so the lookup is a chain of comparisons in generated code, highest first,
     and needs no join.
     """
-    chain = F
-    for trigger, locked in sorted(levels, reverse=True):
-        chain = chain.when(value >= F.lit(float(trigger)), F.lit(float(locked)))
-    return chain.otherwise(F.lit(None).cast("double"))
-
-
-def trailing_stop(entry: Column, locked: Column, leverage: Column, is_long: Column) -> Column:
-    """Stop price that locks in ``locked`` percent."""
-    return nearest(shifted(entry, locked, leverage, is_long), PRICE_PLACES)
+    steps = [f"WHEN `{name}` >= {float(t)!r}D THEN {float(locked)!r}D" for t, locked in sorted(levels, reverse=True)]
+    return F.expr(f"CASE {' '.join(steps)} END")
 
 
 def ladder(first: float = LADDER_FIRST, last: float = LADDER_LAST, step: float = LADDER_STEP) -> list[float]:
     """Stop-loss percentages to try, in order."""
     return list(itertools.takewhile(lambda percent: percent <= last, itertools.count(first, step)))
-
-
-def first_open_stop(amount: Column, entry: Column, mark: Column, percents: list[float], leverage: float) -> Column:
-    """First rung whose stop would not trigger at once, as ``struct(stop_pct, stop_price)``; null if none.
-
-    A long position's stop must lie below the mark price, a short one's above it. The rungs are an array in
-    the row, so nothing is exploded or shuffled.
-    """
-    is_long = amount > 0
-    rungs = F.transform(
-        F.array(*[F.lit(percent) for percent in percents]),
-        lambda percent: F.struct(
-            percent.alias("stop_pct"),
-            stop_loss(entry, percent, F.lit(float(leverage)), is_long).alias("stop_price"),
-        ),
-    )
-    accepted = F.filter(
-        rungs,
-        lambda rung: F.when(is_long, rung["stop_price"] < mark).otherwise(rung["stop_price"] > mark),
-    )
-    return F.get(accepted, 0)

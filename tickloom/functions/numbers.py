@@ -2,32 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SPLIT = 134217729.0  # 2**27 + 1, splits a double into two halves whose products are exact
 _EXACT_LIMIT = 2251799813685248.0  # 2**51, below it a double can hold halves
 
 
-def nearest(value: Column, places: int) -> Column:
-    """Decimal rounding of the exact binary value, exact ties to the even digit.
+def nearest(name: str, places: int) -> Column:
+    """Decimal rounding of the exact binary value of a double column, exact ties to the even digit.
 
     ``F.round`` rounds the shortest decimal text of a double with ties up, which differs on values such as
     2.675 (stored just below the tie). Here the rounding error of ``value * 10**places`` is recovered exactly
     (Dekker's product) and decides the direction, so no decimal type is needed. ``places`` may be 0 to 7.
+
+    The value occurs many times in the formula, hence a column name: round a formula with :func:`with_nearest`.
     """
     if not 0 <= places <= 7:
         raise ValueError("places must be between 0 and 7")
-    scale = float(10**places)
-    x = value.cast("double")
-    scaled = x * F.lit(scale)
-    spread = x * F.lit(_SPLIT)
-    high = spread - (spread - x)
-    error = (high * F.lit(scale) - scaled) + (x - high) * F.lit(scale)
-    below = F.floor(scaled)
-    excess = (scaled - below - F.lit(0.5)) + error
-    halfway_or_side = below + F.lit(0.5) + F.lit(0.5) * F.signum(excess)
-    return F.when(F.abs(scaled) < _EXACT_LIMIT, F.rint(halfway_or_side) / F.lit(scale)).otherwise(x)
+    x, scale, split = f"`{name}`", f"{10**places}.0D", f"{_SPLIT!r}D"
+    scaled = f"({x} * {scale})"
+    high = f"({x} * {split} - ({x} * {split} - {x}))"
+    error = f"({high} * {scale} - {scaled} + ({x} - {high}) * {scale})"
+    below = f"floor({scaled})"
+    excess = f"({scaled} - {below} - 0.5D + {error})"
+    rounded = f"rint({below} + 0.5D + 0.5D * signum({excess})) / {scale}"
+    return F.expr(f"CASE WHEN abs({scaled}) < {_EXACT_LIMIT!r}D THEN {rounded} ELSE {x} END")
+
+
+def with_nearest(df: DataFrame, values: Mapping[str, Column], places: int) -> DataFrame:
+    """Add double columns rounded as :func:`nearest` does. Each value is computed once."""
+    return df.withColumns(dict(values)).withColumns({name: nearest(name, places) for name in values})
 
 
 def whole(value: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import market
-from tickloom.functions.numbers import floor_to
+from tickloom.functions.numbers import floor_to, with_nearest
 from tickloom.operators.segments import with_running_max
 
 
@@ -78,21 +78,32 @@ def missing_stops(
 ) -> DataFrame:
     """Stop for each open position without one: the first rung the mark price has not crossed.
 
-    ``stop_pct`` and ``stop_price`` are null where even the last rung is crossed.
+    Rungs move away from the entry price, so the last crossed one is found by halving, five price comparisons
+    for thirty rungs, each in a column of its own. ``stop_pct`` and ``stop_price`` are null where even the last
+    rung is crossed.
     """
-    exposed = without_stop(positions.filter(F.col("position_amt") != 0), orders)
     rungs = market.ladder(first, last, step)
-    amount, entry, mark = F.col("position_amt"), F.col("entry_price"), F.col("mark_price")
-    rung = market.first_open_stop(amount, entry, mark, rungs, leverage)
-    return (
-        exposed.withColumn("rung", rung)
-        .select(
-            "position_id",
-            market.closing_side(amount).alias("order_side"),
-            F.abs(amount).alias("quantity"),
-            F.col("rung.stop_pct").alias("stop_pct"),
-            F.col("rung.stop_price").alias("stop_price"),
-        )
+    percents = F.expr("array(" + ", ".join(f"{percent!r}D" for percent in rungs) + ")")
+    amount, passed, tried = F.col("position_amt"), F.col("passed"), F.col("tried")
+
+    def price(rung: Column) -> dict[str, Column]:
+        percent = F.get(percents, rung)
+        return {"tried": market.shifted(F.col("entry_price"), percent, F.lit(float(leverage)), amount < 0)}
+
+    exposed = without_stop(positions.filter(amount != 0), orders)
+    searched = exposed.withColumns({"passed": F.lit(-1), "sign": F.signum(amount)})
+    crossed = tried.isNotNull() & F.coalesce((F.col("mark_price") - tried) * F.col("sign") <= 0, F.lit(True))
+    stride = 1 << (len(rungs).bit_length() - 1)
+    while stride:
+        searched = with_nearest(searched, price(passed + stride), market.PRICE_PLACES)
+        searched = searched.withColumn("passed", F.when(crossed, passed + stride).otherwise(passed))
+        stride >>= 1
+    return with_nearest(searched, price(passed + 1), market.PRICE_PLACES).select(
+        "position_id",
+        market.closing_side(amount).alias("order_side"),
+        F.abs(amount).alias("quantity"),
+        F.get(percents, passed + 1).alias("stop_pct"),
+        tried.alias("stop_price"),
     )
 
 
@@ -114,34 +125,40 @@ def entry_requests_split(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return requests.filter(valid), requests.filter(~valid)
 
 
+def with_order_size(requests: DataFrame) -> DataFrame:
+    """Add ``quantity``, the most the usable share of the balance buys, and ``order_size``, cut to order decimals."""
+    quantity = market.affordable(F.col("available_balance"), F.col("leverage"), F.col("price"))
+    sized = with_nearest(requests, {"quantity": quantity}, market.QUANTITY_PLACES)
+    return sized.withColumn("order_size", floor_to(F.col("quantity"), market.ORDER_PLACES))
+
+
+def with_targets(requests: DataFrame, price: str = "price") -> DataFrame:
+    """Add take-profit and stop-loss prices around the column ``price``."""
+    base, leverage, is_long = F.col(price), F.col("leverage"), F.col("direction") == "LONG"
+    targets = {
+        "tp_price": market.shifted(base, F.col("tp_percent"), leverage, is_long),
+        "sl_price": market.shifted(base, F.col("sl_percent"), leverage, ~is_long),
+    }
+    return with_nearest(requests, targets, market.PRICE_PLACES)
+
+
 def entry_orders(requests: DataFrame) -> DataFrame:
     """Entry, take-profit and stop-loss order for every request of :func:`entry_requests_split`.
 
     A request has ``request_id, symbol, direction, available_balance, price, tp_percent, sl_percent, leverage``.
     """
-    leverage, is_long = F.col("leverage"), F.col("direction") == "LONG"
+    is_long = F.col("direction") == "LONG"
     entry_side = F.when(is_long, "BUY").otherwise("SELL")
     exit_side = F.when(is_long, "SELL").otherwise("BUY")
-    sized = requests.withColumns(
-        {
-            "quantity": market.order_size(F.col("available_balance"), leverage, F.col("price")),
-            "limit_price": floor_to(F.col("price"), market.ORDER_PLACES),
-        }
-    )
-    priced = sized.withColumns(
-        {
-            "tp_price": market.take_profit(F.col("limit_price"), F.col("tp_percent"), leverage, is_long),
-            "sl_price": market.stop_loss(F.col("limit_price"), F.col("sl_percent"), leverage, is_long),
-        }
-    )
+    limit_price = floor_to(F.col("price"), market.ORDER_PLACES)
+    priced = with_targets(with_order_size(requests).withColumn("limit_price", limit_price), "limit_price")
     legs = F.array(
         _leg("LIMIT", entry_side, F.col("limit_price"), False),
         _leg("TAKE_PROFIT_MARKET", exit_side, F.col("tp_price"), True),
         _leg("STOP_MARKET", exit_side, F.col("sl_price"), True),
     )
-    return priced.select("request_id", "symbol", "quantity", F.explode(legs).alias("leg")).select(
-        "request_id", "symbol", "leg.*", "quantity"
-    )
+    exploded = priced.select("request_id", "symbol", F.col("order_size").alias("quantity"), F.explode(legs).alias("leg"))
+    return exploded.select("request_id", "symbol", "leg.*", "quantity")
 
 
 def _leg(kind: str, order_side: Column, price: Column, reduce_only: bool) -> Column:
@@ -159,11 +176,10 @@ def stop_candidates(marks: DataFrame, levels: list[tuple[float, float]] = market
     To keep only rows that ask for one, filter on ``locked``: a filter on ``candidate`` would be pushed below
     the formula and evaluate it twice.
     """
-    is_long = F.col("side") == "LONG"
     steps = with_roi(marks)
-    steps = steps.withColumn("locked", F.when(F.col("roi") > 0, market.step_lookup(F.col("roi"), levels)))
-    stop = market.trailing_stop(F.col("entry_price"), F.col("locked"), F.col("leverage"), is_long)
-    return steps.withColumn("candidate", stop)
+    steps = steps.withColumn("locked", F.when(F.col("roi") > 0, market.step_lookup("roi", levels)))
+    stop = market.shifted(F.col("entry_price"), F.col("locked"), F.col("leverage"), F.col("side") == "LONG")
+    return with_nearest(steps, {"candidate": stop}, market.PRICE_PLACES)
 
 
 def towards_profit(price: Column, position_side: Column) -> Column:

@@ -137,16 +137,11 @@ def rounding(spark, folder):
 )
 def nearest(spark, folder):
     price, discount = F.col("l_extendedprice"), F.col("l_discount")
-    return table(spark, folder, "lineitem").select(
-        "l_orderkey",
-        "l_linenumber",
-        "l_partkey",
-        "l_extendedprice",
-        "l_discount",
-        numbers.nearest(price * discount / 3, 2).alias("two"),
-        numbers.nearest(price * discount / 7, 6).alias("six"),
-        numbers.nearest(F.round(price, 0) / 8, 2).alias("ties"),
+    rows = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_discount"
     )
+    rows = numbers.with_nearest(rows, {"two": price * discount / 3, "ties": F.round(price, 0) / 8}, 2)
+    return numbers.with_nearest(rows, {"six": price * discount / 7}, 6)
 
 
 @query("f3_floor_to", "select l_orderkey, l_linenumber, l_extendedprice, floor(l_extendedprice / 7 * 1000) / 1000 as cut from lineitem")
@@ -364,4 +359,4 @@ def distinct_partitions(spark, folder):
 )
 def step_lookup(spark, folder):
     rows = pos.with_roi(views.positions(spark, folder))
-    return rows.select("position_id", market.step_lookup(F.col("roi"), market.TRAILING_LEVELS).alias("locked"))
+    return rows.select("position_id", market.step_lookup("roi", market.TRAILING_LEVELS).alias("locked"))

@@ -52,14 +52,8 @@ def position_side(spark, folder):
     ),
 )
 def target_prices(spark, folder):
-    is_long = F.col("direction") == "LONG"
-    price, leverage = F.col("price"), F.col("leverage")
-    return views.entry_requests(spark, folder).select(
-        "request_id",
-        "direction",
-        market.take_profit(price, F.col("tp_percent"), leverage, is_long).alias("tp_price"),
-        market.stop_loss(price, F.col("sl_percent"), leverage, is_long).alias("sl_price"),
-    )
+    requests = pos.with_targets(views.entry_requests(spark, folder))
+    return requests.select("request_id", "direction", "tp_price", "sl_price")
 
 
 _QUANTITY = "cast(printf('%.6f', available_balance * cast(0.95 as double) * leverage / price) as double)"
@@ -75,12 +69,8 @@ _QUANTITY = "cast(printf('%.6f', available_balance * cast(0.95 as double) * leve
 )
 def order_size(spark, folder):
     requests = pos.with_account_balance(views.entry_requests(spark, folder), views.balances(spark, folder))
-    funds, leverage, price = F.col("available_balance"), F.col("leverage"), F.col("price")
-    return requests.filter(funds.isNotNull()).select(
-        "request_id",
-        market.order_quantity(funds, leverage, price).alias("quantity"),
-        market.order_size(funds, leverage, price).alias("order_size"),
-    )
+    sized = pos.with_order_size(requests.filter(F.col("available_balance").isNotNull()))
+    return sized.select("request_id", "quantity", "order_size")
 
 
 @query("j7_positions_without_stop", with_views("positions open_orders", " select * from positions p where not exists (select 1 from open_orders o where o.position_id = p.position_id and o.type = 'STOP_MARKET')"))
