@@ -13,7 +13,7 @@ from tickloom.registry import views
 from tickloom.session import scratch_path
 from tickloom.sources import lake, relational
 
-RECORDS_PER_FILE = 500
+RECORDS_PER_FILE = 5000
 JDBC_URL = "spark.tickloom.jdbc.url"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.text import base_name
 from tickloom.operators.shaping import guarded_select
-from tickloom.plans import model_weights
+from tickloom.plans import captures, model_weights
 from tickloom.registry import evaluation, staging, views
 from tickloom.registry.book import query
 from tickloom.registry.views import AS_OF, with_views
@@ -54,6 +54,23 @@ def quarantined_assets(spark, folder):
     return rejected.groupBy("asset", "scraped_time").agg(F.count(F.lit(1)).alias("bars"))
 
 
+@query(
+    "s4_stored_captures",
+    with_views(
+        "ticks",
+        f""", {BARS} select asset, cast(scraped_time as date) as day, count(1) as bars, sum(case when {_BROKEN} then 1 else 0 end) > 0 as quarantined
+        from typed group by all""",
+    ),
+)
+def stored_captures(spark, folder):
+    sound, rejected = staging.new_table(spark, "bars"), staging.new_table(spark, "rejected")
+    captures.store_bars(staging.kline_payloads(spark, folder), sound, rejected)
+    columns = ["asset", F.col("scraped_time").alias("day")]
+    good = spark.table(sound).select(*columns, F.lit(False).alias("quarantined"))
+    bad = spark.table(rejected).select(*columns, F.lit(True).alias("quarantined"))
+    return good.unionByName(bad).groupBy("asset", "day", "quarantined").agg(F.count(F.lit(1)).alias("bars"))
+
+
 @query("s5_ticker_records", with_views("ticks", " " + LANDED))
 def ticker_records(spark, folder):
     payload = F.to_json(F.struct(F.col("asset").alias("symbol"), F.col("price").cast("string").alias("price")))
@@ -274,7 +291,7 @@ def json_export(spark, folder):
     return spark.read.schema(landing.TICK_SCHEMA).json(path)
 
 
-@query("s17_landed_files", "select cast(sum(n) as bigint) as files, cast(sum(records) as bigint) as records from (select (case when count(1) filter (event_id % 500 = 0) > 0 then 1 else 0 end + case when count(1) filter (event_id % 500 <> 0) > 0 then 1 else 0 end) as n, count(1) as records from events group by event_id // 500)")
+@query("s17_landed_files", "select cast(sum(n) as bigint) as files, cast(sum(records) as bigint) as records from (select (case when count(1) filter (event_id % 5000 = 0) > 0 then 1 else 0 end + case when count(1) filter (event_id % 5000 <> 0) > 0 then 1 else 0 end) as n, count(1) as records from events group by event_id // 5000)")
 def landed_files(spark, folder):
     """What a landing folder holds: files by base name, and records."""
     path = staging.landing_folder(spark, folder)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import market
 from tickloom.operators import positions as pos
+from tickloom.plans import stop_losses
 from tickloom.registry import views
 from tickloom.registry.book import query
 from tickloom.registry.views import with_views
@@ -85,23 +86,25 @@ def first_stop_order(spark, folder):
     return joined.select("position_id", "symbol", "stop_order_id", "current_stop")
 
 
-@query(
-    "x5_trailing_stops",
-    with_views(
-        "positions open_orders",
-        f""", levels(trigger, lock) as (values {LEVELS}), {STOPS},
+DECIDED = f"""levels(trigger, lock) as (values {LEVELS}), {STOPS},
         r as (select *, {ROI} as roi, {SIDE} as side from positions),
         l as (select r.*, s.stop_order_id, s.current_stop, case when roi > 0 then
             (select max(lock) from levels where trigger <= r.roi) end as locked
             from r left join first_stops s on r.position_id = s.position_id),
-        n as (select *, {_null_safe_two(_SHIFT)} as new_stop from l)
-        select position_id, side, roi, stop_order_id, current_stop, locked, new_stop,
-        case when position_amt = 0 or entry_price = 0 then 'flat' when roi <= 0 then 'not in profit'
+        n as (select *, {_null_safe_two(_SHIFT)} as new_stop from l),
+        d as (select *, case when position_amt = 0 or entry_price = 0 then 'flat' when roi <= 0 then 'not in profit'
         when locked is null then 'below first level'
         when side = 'LONG' and new_stop < current_stop then 'would reduce'
         when side = 'SHORT' and new_stop > current_stop then 'would reduce'
         when abs(current_stop - new_stop) < 0.0001 then 'within tolerance'
-        when stop_order_id is null then 'create' else 'replace' end as decision from n""",
+        when stop_order_id is null then 'create' else 'replace' end as decision from n)"""
+
+
+@query(
+    "x5_trailing_stops",
+    with_views(
+        "positions open_orders",
+        f", {DECIDED} select position_id, side, roi, stop_order_id, current_stop, locked, new_stop, decision from d",
     ),
 )
 def trailing_stops(spark, folder):
@@ -111,6 +114,19 @@ def trailing_stops(spark, folder):
     )
 
 
+@query(
+    "x5_trailing_orders",
+    with_views(
+        "positions open_orders",
+        f""", {DECIDED} select position_id, symbol, stop_order_id as cancel_order_id,
+        case when position_amt > 0 then 'SELL' else 'BUY' end as order_side, 'STOP_MARKET' as order_type,
+        new_stop as stop_price, abs(position_amt) as quantity, true as reduce_only from d where decision in ('create', 'replace')""",
+    ),
+)
+def trailing_orders(spark, folder):
+    return stop_losses.trailing_orders(views.positions(spark, folder), views.open_orders(spark, folder))
+
+
 @query(
     "x6_missing_stops",
     with_views(

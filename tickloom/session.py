@@ -48,12 +48,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path under the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A free path in a new folder under the shared one; the folder goes when the driver ends."""
+    folder = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{folder}/data"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, so that later steps start from stable files."""
+    """Write ``df`` once to the shared folder and read it back, so that later steps start from stable files.
+
+    The files last as long as the session, since the returned frame reads them.
+    """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
