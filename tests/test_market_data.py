@@ -149,3 +149,13 @@ def test_shaping_refuses_what_it_cannot_do(spark):
     with pytest.raises(ValueError):
         shaping.all_of([])
     assert shaping.rename(frame, {"absent": "x"}).columns == ["id"]
+
+
+def test_ordinal_orders_by_time_then_number(spark):
+    from tickloom.functions.moments import ordinal
+
+    times = [datetime.datetime(1969, 1, 1), T0, T0 + datetime.timedelta(microseconds=1), datetime.datetime(9999, 12, 31)]
+    pairs = [(t, n) for t in times for n in (-(2**63), -1, 0, 2**63 - 1)]
+    frame = spark.createDataFrame(pairs, "t timestamp_ntz, n long")
+    rows = [tuple(r) for r in frame.orderBy(ordinal(F.col("t"), F.col("n"))).collect()]
+    assert rows == sorted(pairs)

@@ -21,7 +21,8 @@ def _rows(count, seed=3):
 
 
 def test_rows_of_one_key_and_time_are_spread(spark, small_partitions):
-    parts = segmented(spark.createDataFrame(_rows(4000), SCHEMA), ["k"], ["t", "id"])
+    frame = spark.createDataFrame(_rows(4000), SCHEMA)
+    parts = segmented(frame, ["k"], ["t", "id"], lambda inside: F.lag("v").over(inside), "p")
     sizes = [row["count"] for row in parts.groupBy("segment").count().collect()]
     assert len(sizes) == 8 and max(sizes) < 1200
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The two text formats of a scrape time.
 RECORD_FORMAT = "yyyy-MM-dd HH:mm:ss"
 FILE_FORMAT = "yyyyMMdd_HHmmss"
+_BEYOND_LONG = Decimal(2**64)
 
 
 def look_back_start(as_of: Column, days: int) -> Column:
@@ -27,6 +30,15 @@ def from_millis(millis: Column) -> Column:
     return F.timestamp_millis(millis)
 
 
+def ordinal(moment: Column, number: Column) -> Column:
+    """One number that orders by time, then by a 64-bit number.
+
+    As the order of ``min_by`` and ``max_by`` it keeps them in hash aggregation; a struct forces sorting.
+    """
+    micros = F.unix_micros(moment.cast("timestamp")).cast("decimal(18,0)")
+    return micros * F.lit(_BEYOND_LONG) + number.cast("decimal(19,0)")
+
+
 def in_zone(moment: Column, zone: str) -> Column:
     """Wall-clock time in ``zone`` of a zone-less UTC time."""
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), moment)

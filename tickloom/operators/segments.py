@@ -3,69 +3,70 @@
 A window partitioned by a key puts the whole key into one task, and one asset may hold a third of all rows.
 Here the rows are range-partitioned on (key, order) instead: the bounds come from a sample of the data and the
 order ends in a unique column, so every partition gets its share, whatever the skew. The partition number
-becomes the column ``segment``, the window works inside (key, segment), and what a segment has to know about
-its predecessors comes from a table with one row per (key, segment).
+becomes the column ``segment``, and the window works inside (key, segment). Its shuffle sends each segment to
+the partition of that number, where hashing would put several segments into one task.
 
-The ranged rows are written once to the shared folder: both users of ``segment`` must see the same numbers,
-also when lost tasks are run again. What is carried into a segment then enters its window as one extra first
-row, so the rows are shuffled once more, on (key, segment), and no join is needed.
+The windowed rows are written once to the shared folder, with the first and the last row of each (key,
+segment) marked. What has to cross a border is then found among those few rows: at most two per segment and
+key. Because it is read from files, the numbering stays the same when lost tasks are run again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tickloom.session import written
+from tickloom.session import broadcast_if_small, written
 
+_MARKS = ("segment", "first_row", "last_row")
+# Segments joined by broadcast; each partition of the range shuffle carries at most one key on.
+MAX_BROADCAST_SEGMENTS = 200_000
 
-def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str], descending: bool = False) -> DataFrame:
-    ranged = df.repartitionByRange(*keys, *_ordering(order, descending))
-    return written(ranged.withColumn("segment", F.spark_partition_id()), "segments")
+
+def segmented(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    column: Callable[[WindowSpec], Column],
+    name: str,
+    descending: bool = False,
+) -> DataFrame:
+    """Rows with ``column`` over each (key, segment) as ``name``, the segment, and marks at its ends."""
+    ranged = df.repartitionByRange(*keys, *_ordering(order, descending)).withColumn("segment", F.spark_partition_id())
+    placed = ranged.repartitionById(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("segment"))
+    inside = Window.partitionBy(*keys, "segment").orderBy(*_ordering(order, descending))
+    marked = placed.withColumns(
+        {
+            name: column(inside),
+            "first_row": F.row_number().over(inside) == 1,
+            "last_row": F.lead(F.lit(True), 1, False).over(inside) == F.lit(False),
+        }
+    )
+    return written(marked, "segments")
 
 
 def with_previous(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, descending: bool = False
 ) -> DataFrame:
     """Add ``value`` of the row just before, as ``lag`` over the whole key would. ``order`` must be unique per key."""
-    parts = segmented(df, keys, order, descending)
-    last_of = F.min_by if descending else F.max_by
-    lasts = parts.groupBy(*keys, "segment").agg(last_of(F.col(value), F.struct(*order)).alias("last"))
-    carried = lasts.withColumn(value, F.lag("last").over(_between(keys))).drop("last")
-    rows, inside = _with_first_rows(parts, carried, keys, order, descending)
-    return _own_rows(rows.withColumn(name, F.lag(value).over(inside)))
+    rows = segmented(df, keys, order, lambda inside: F.lag(value).over(inside), name, descending)
+    ends = Window.partitionBy(*keys).orderBy(*_ordering(order, descending))
+    borders = rows.filter("first_row OR last_row").withColumn(name, F.lag(value).over(ends))
+    return rows.filter("NOT first_row").unionByName(borders.filter("first_row")).drop(*_MARKS)
 
 
 def with_running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
     """Add the maximum of ``value`` from the first row of the key up to this one."""
-    parts = segmented(df, keys, order)
-    tops = parts.groupBy(*keys, "segment").agg(F.max(value).alias("top"))
-    before = _between(keys).rowsBetween(Window.unboundedPreceding, -1)
-    carried = tops.withColumn(value, F.max("top").over(before)).drop("top")
-    rows, inside = _with_first_rows(parts, carried, keys, order, False)
-    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return _own_rows(rows.withColumn(name, F.max(value).over(running)))
-
-
-def _with_first_rows(
-    parts: DataFrame, carried: DataFrame, keys: Sequence[str], order: Sequence[str], descending: bool
-) -> tuple[DataFrame, WindowSpec]:
-    rows = parts.withColumn("own", F.lit(True)).unionByName(
-        carried.withColumn("own", F.lit(False)), allowMissingColumns=True
-    )
-    inside = Window.partitionBy(*keys, "segment").orderBy("own", *_ordering(order, descending))
-    return rows, inside
-
-
-def _own_rows(rows: DataFrame) -> DataFrame:
-    return rows.filter("own").drop("own", "segment")
+    rows = segmented(df, keys, order, lambda inside: F.max(value).over(inside), name)
+    earlier = Window.partitionBy(*keys).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.filter("last_row").select(*keys, "segment", F.max(name).over(earlier).alias("carried"))
+    carried = broadcast_if_small(written(tops.filter("carried IS NOT NULL"), "carried"), MAX_BROADCAST_SEGMENTS)
+    same = [rows["segment"] == carried["segment"], *[rows[key].eqNullSafe(carried[key]) for key in keys]]
+    joined = rows.join(carried, same, "left").select(*[rows[c] for c in rows.columns], carried["carried"])
+    return joined.withColumn(name, F.greatest(name, "carried")).drop("carried", *_MARKS)
 
 
 def _ordering(order: Sequence[str], descending: bool) -> list[Column]:
     return [F.col(name).desc() if descending else F.col(name).asc() for name in order]
-
-
-def _between(keys: Sequence[str]) -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy("segment")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.moments import ordinal
 from tickloom.operators.segments import with_previous
 
 _ORDER = ("scraped_timestamp", "id")
@@ -41,7 +42,7 @@ def label_moves(moves: DataFrame) -> DataFrame:
 
 def bars(ticks: DataFrame, interval: str = "15 minutes") -> DataFrame:
     """Open, high, low, close, volume and trade count per asset and interval, aggregated before the shuffle."""
-    moment = F.struct(*_ORDER)
+    moment = ordinal(F.col("scraped_timestamp"), F.col("id"))
     volume = F.col("volume") if "volume" in ticks.columns else F.lit(1.0)
     return (
         ticks.groupBy("asset", F.window("scraped_timestamp", interval).alias("slot"))
