@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 def strict_cast(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Cast the listed columns; a value that does not fit or a column that does not exist is an error."""
+    if df.sparkSession.conf.get("spark.sql.ansi.enabled") != "true":
+        raise ValueError("strict casts need spark.sql.ansi.enabled, otherwise bad values become null")
     missing = [name for name in types if name not in df.columns]
     if missing:
         raise ValueError(f"no such columns: {missing}")
