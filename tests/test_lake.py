@@ -127,6 +127,11 @@ def test_a_condition_is_required(spark, table):
     assert ids(spark, table) == [1, 2, 3, 4, 5]
 
 
+def test_a_delete_that_matches_nothing_changes_nothing(spark, table):
+    lake.delete_rows(spark, table, ["id = 99"])
+    assert ids(spark, table) == [1, 2, 3, 4, 5]
+
+
 def test_delete_all_keeps_the_table(spark, table):
     lake.delete_all(spark, table)
     assert ids(spark, table) == [] and spark.table(table).columns == ["id", "price", "asset", "day"]

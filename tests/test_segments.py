@@ -22,7 +22,7 @@ def _rows(count, seed=3):
 
 def test_rows_of_one_key_and_time_are_spread(spark, small_partitions):
     frame = spark.createDataFrame(_rows(4000), SCHEMA)
-    parts = segmented(frame, ["k"], ["t", "id"], lambda inside: F.lag("v").over(inside), "p")
+    parts = segmented(frame, ["k"], ["t", "id"], lambda inside: {"p": F.lag("v").over(inside)})
     sizes = [row["count"] for row in parts.groupBy("segment").count().collect()]
     assert len(sizes) == 8 and max(sizes) < 1200
 

@@ -67,6 +67,16 @@ def test_capture_wise_isolation(spark):
     assert klines.typed_bars(frame).collect() == []
 
 
+def test_captured_files_are_read_whole(spark, tmp_path):
+    (tmp_path / "A_B_20240131_235959.json").write_text(json.dumps([BAR, changed(1, "3.25")], indent=2))
+    (tmp_path / "C_20240101_000000.json").write_text("{}")
+    good, rejected = klines.split_by_health(klines.parse_bars(klines.read_captures(spark, str(tmp_path))))
+    rows = good.collect()
+    assert sorted(r["open"] for r in rows) == [1.0, 3.25]
+    assert {(r["asset"], str(r["scraped_time"])) for r in rows} == {("A_B", "2024-01-31 23:59:59")}
+    assert [r["asset"] for r in rejected.collect()] == ["C"]
+
+
 RECORD = {"timestamp": "2024-01-01 00:00:05", "asset": "A", "price": "1.5", "source_id": 0, "engine": 0}
 
 

@@ -6,9 +6,9 @@ order ends in a unique column, so every partition gets its share, whatever the s
 becomes the column ``segment``, and the window works inside (key, segment). Its shuffle sends each segment to
 the partition of that number, where hashing would put several segments into one task.
 
-The windowed rows are written once to the shared folder, with the first and the last row of each (key,
-segment) marked. What has to cross a border is then found among those few rows: at most two per segment and
-key. Because it is read from files, the numbering stays the same when lost tasks are run again.
+The windowed rows are written once to the shared folder, with the ends of each (key, segment) marked. What has
+to cross a border is then found among those few rows, at most two per segment and key. Both steps read the same
+files, so the numbering is the same for both, also when lost tasks run again.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from tickloom.session import broadcast_if_small, written
 
-_MARKS = ("segment", "first_row", "last_row")
 # Segments joined by broadcast; each partition of the range shuffle carries at most one key on.
 MAX_BROADCAST_SEGMENTS = 200_000
 
@@ -29,43 +28,41 @@ def segmented(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    column: Callable[[WindowSpec], Column],
-    name: str,
+    columns: Callable[[WindowSpec], dict[str, Column]],
     descending: bool = False,
 ) -> DataFrame:
-    """Rows with ``column`` over each (key, segment) as ``name``, the segment, and marks at its ends."""
+    """Rows with their ``segment``, the given ``columns`` over each (key, segment), and ``last_row`` at its end."""
     ranged = df.repartitionByRange(*keys, *_ordering(order, descending)).withColumn("segment", F.spark_partition_id())
     placed = ranged.repartitionById(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("segment"))
     inside = Window.partitionBy(*keys, "segment").orderBy(*_ordering(order, descending))
-    marked = placed.withColumns(
-        {
-            name: column(inside),
-            "first_row": F.row_number().over(inside) == 1,
-            "last_row": F.lead(F.lit(True), 1, False).over(inside) == F.lit(False),
-        }
-    )
-    return written(marked, "segments")
+    last_row = F.lead(F.lit(False), 1, True).over(inside)
+    return written(placed.withColumns({**columns(inside), "last_row": last_row}), "segments")
 
 
 def with_previous(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, descending: bool = False
 ) -> DataFrame:
     """Add ``value`` of the row just before, as ``lag`` over the whole key would. ``order`` must be unique per key."""
-    rows = segmented(df, keys, order, lambda inside: F.lag(value).over(inside), name, descending)
+
+    def previous(inside: WindowSpec) -> dict[str, Column]:
+        return {name: F.lag(value).over(inside), "first_row": F.lag(F.lit(False), 1, True).over(inside)}
+
+    rows = segmented(df, keys, order, previous, descending)
     ends = Window.partitionBy(*keys).orderBy(*_ordering(order, descending))
     borders = rows.filter("first_row OR last_row").withColumn(name, F.lag(value).over(ends))
-    return rows.filter("NOT first_row").unionByName(borders.filter("first_row")).drop(*_MARKS)
+    result = rows.filter("NOT first_row").unionByName(borders.filter("first_row"))
+    return result.drop("segment", "first_row", "last_row")
 
 
 def with_running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
     """Add the maximum of ``value`` from the first row of the key up to this one."""
-    rows = segmented(df, keys, order, lambda inside: F.max(value).over(inside), name)
+    rows = segmented(df, keys, order, lambda inside: {name: F.max(value).over(inside)})
     earlier = Window.partitionBy(*keys).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     tops = rows.filter("last_row").select(*keys, "segment", F.max(name).over(earlier).alias("carried"))
     carried = broadcast_if_small(written(tops.filter("carried IS NOT NULL"), "carried"), MAX_BROADCAST_SEGMENTS)
     same = [rows["segment"] == carried["segment"], *[rows[key].eqNullSafe(carried[key]) for key in keys]]
     joined = rows.join(carried, same, "left").select(*[rows[c] for c in rows.columns], carried["carried"])
-    return joined.withColumn(name, F.greatest(name, "carried")).drop("carried", *_MARKS)
+    return joined.withColumn(name, F.greatest(name, "carried")).drop("carried", "segment", "last_row")
 
 
 def _ordering(order: Sequence[str], descending: bool) -> list[Column]:

@@ -227,6 +227,33 @@ def guarded(spark, folder):
     return guarded_select(spark, text, limit=100, args={"floor": 10.0})
 
 
+WEIGHTS_STATEMENT = """
+    WITH recent AS (
+        SELECT id, asset, price, scraped_timestamp FROM IDENTIFIER(:ticks)
+        WHERE asset = :asset AND scraped_date >= date_sub(:as_of, :days)
+        ORDER BY scraped_timestamp DESC, id DESC LIMIT :count),
+    moves AS (
+        SELECT id, asset, sign(lag(price) OVER (ORDER BY scraped_timestamp DESC, id DESC) - price) AS direction FROM recent),
+    scores AS (
+        SELECT model_type, asset, count(1) AS total_predicted,
+            count_if(round(prediction) = if(direction > 0, 1, 0)) AS corrected_prediction
+        FROM moves JOIN (SELECT raw_data_id AS id, model_type, prediction FROM IDENTIFIER(:predictions)
+            WHERE asset = :asset AND predicted_date >= date_sub(:as_of, :days)) USING (id)
+        WHERE direction <> 0 AND prediction IS NOT NULL GROUP BY ALL HAVING corrected_prediction > 0)
+    SELECT model_type, asset, corrected_prediction, total_predicted, round(corrected_prediction / total_predicted, 9) AS accuracy,
+        round(corrected_prediction / total_predicted / sum(corrected_prediction / total_predicted) OVER (PARTITION BY asset), 9) AS weight
+    FROM scores"""
+
+
+@query("s12_weights_by_statement", evaluation._weights_sql(evaluation.RECENT, "rn <= 15 and asset = 'purchase'"))
+def weights_by_statement(spark, folder):
+    """The weights of one asset as a parameterised statement."""
+    views.ticks(spark, folder).createOrReplaceTempView("ticks_scored")
+    views.predictions(spark, folder).createOrReplaceTempView("predictions_scored")
+    values = {"ticks": "ticks_scored", "predictions": "predictions_scored", "asset": "purchase", "as_of": AS_OF, "days": 1, "count": 15}
+    return guarded_select(spark, WEIGHTS_STATEMENT, limit=1000, args=values)
+
+
 @query("s13_delete_all", with_views("ticks", " select (select count(1) from ticks) as rows_before, cast(0 as bigint) as rows_after, 7 as columns_after"))
 def delete_all(spark, folder):
     name = staging.tick_table(spark, folder)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.functions.moments import FILE_FORMAT
+from tickloom.functions.text import base_name
 from tickloom.session import broadcast_if_small, written
 
 # Names and types of the positions of a bar.
@@ -26,9 +28,19 @@ BAR_TYPES = {
 }
 # Failed units joined by broadcast; a unit is a few dozen bytes.
 MAX_BROADCAST_UNITS = 200_000
+_FILE_NAME = r"^(.+)_(\d{8}_\d{6})\.json$"
 _INTEGERS = ("bigint", "int", "smallint", "tinyint")
 
 
+def read_captures(spark: SparkSession, folder: str) -> DataFrame:
+    """Captured payload files named ``{asset}_{yyyyMMdd_HHmmss}.json``: asset, scrape time and whole text of each."""
+    name = base_name(F.col("_metadata.file_path"))
+    time = F.to_timestamp_ntz(F.regexp_extract(name, _FILE_NAME, 2), F.lit(FILE_FORMAT))
+    return spark.read.option("pathGlobFilter", "*_*.json").text(folder, wholetext=True).select(
+        F.regexp_extract(name, _FILE_NAME, 1).alias("asset"), time.alias("scraped_time"), F.col("value").alias("payload")
+    )
+
+
 def parse_bars(payloads: DataFrame, types: Mapping[str, str] = BAR_TYPES) -> DataFrame:
     """One row per bar with ``bad`` telling whether it does not fit ``types``.
 
