@@ -9,7 +9,7 @@ from tickloom.functions import market, numbers
 
 def _rounded(spark, values, places):
     frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
-    rows = frame.select("i", numbers.nearest("v", places).alias("r")).collect()
+    rows = numbers.with_nearest(frame, {"r": F.col("v")}, places).collect()
     return [row["r"] for row in sorted(rows, key=lambda row: row["i"])]
 
 

@@ -1,6 +1,7 @@
 """What the plans must look like to hold at scale."""
 
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,3 +84,15 @@ def test_the_date_filter_prunes_partitions(spark):
     views.ticks(spark, SMALL).write.mode("overwrite").partitionBy("scraped_date").parquet(path)
     text = plan(shaping.since(spark.read.parquet(path), "scraped_date", views.AS_OF, 1).agg(F.sum("price")))
     assert "scraped_date" in text.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+
+
+def test_generated_methods_stay_small_enough_to_be_compiled(spark):
+    held, orders = views.positions(spark, SMALL), views.open_orders(spark, SMALL)
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for frame in (positions.trailing_decisions(held, orders), positions.missing_stops(held, orders)):
+            code = debug.codegenString(frame._jdf.queryExecution().executedPlan())
+            assert max(int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", code)) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

@@ -11,30 +11,29 @@ _SPLIT = 134217729.0  # 2**27 + 1, splits a double into two halves whose product
 _EXACT_LIMIT = 2251799813685248.0  # 2**51, below it a double can hold halves
 
 
-def nearest(name: str, places: int) -> Column:
-    """Decimal rounding of the exact binary value of a double column, exact ties to the even digit.
+def with_nearest(df: DataFrame, values: Mapping[str, Column], places: int) -> DataFrame:
+    """Add double columns, rounded on their exact binary value with exact ties to the even digit.
 
     ``F.round`` rounds the shortest decimal text of a double with ties up, which differs on values such as
     2.675 (stored just below the tie). Here the rounding error of ``value * 10**places`` is recovered exactly
     (Dekker's product) and decides the direction, so no decimal type is needed. ``places`` may be 0 to 7.
 
-    The value occurs many times in the formula, hence a column name: round a formula with :func:`with_nearest`.
+    The value and its two intermediate results occur several times in the formula. Each is a column first, which
+    computes it once and keeps the generated code below the size the JVM compiles.
     """
     if not 0 <= places <= 7:
         raise ValueError("places must be between 0 and 7")
-    x, scale, split = f"`{name}`", f"{10**places}.0D", f"{_SPLIT!r}D"
-    scaled = f"({x} * {scale})"
-    high = f"({x} * {split} - ({x} * {split} - {x}))"
-    error = f"({high} * {scale} - {scaled} + ({x} - {high}) * {scale})"
-    below = f"floor({scaled})"
-    excess = f"({scaled} - {below} - 0.5D + {error})"
-    rounded = f"rint({below} + 0.5D + 0.5D * signum({excess})) / {scale}"
-    return F.expr(f"CASE WHEN abs({scaled}) < {_EXACT_LIMIT!r}D THEN {rounded} ELSE {x} END")
-
-
-def with_nearest(df: DataFrame, values: Mapping[str, Column], places: int) -> DataFrame:
-    """Add double columns rounded as :func:`nearest` does. Each value is computed once."""
-    return df.withColumns(dict(values)).withColumns({name: nearest(name, places) for name in values})
+    scale, split = f"{10**places}.0D", f"{_SPLIT!r}D"
+    parts, rounded = {}, {}
+    for name in values:
+        x, scaled, high = f"`{name}`", f"`{name}__scaled`", f"`{name}__high`"
+        parts[f"{name}__scaled"] = F.expr(f"{x} * {scale}")
+        parts[f"{name}__high"] = F.expr(f"{x} * {split} - ({x} * {split} - {x})")
+        error = f"({high} * {scale} - {scaled} + ({x} - {high}) * {scale})"
+        excess = f"({scaled} - floor({scaled}) - 0.5D + {error})"
+        nearest = f"rint(floor({scaled}) + 0.5D + 0.5D * signum({excess})) / {scale}"
+        rounded[name] = F.expr(f"CASE WHEN abs({scaled}) < {_EXACT_LIMIT!r}D THEN {nearest} ELSE {x} END")
+    return df.withColumns(dict(values)).withColumns(parts).withColumns(rounded).drop(*parts)
 
 
 def whole(value: Column) -> Column:

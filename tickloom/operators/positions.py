@@ -79,10 +79,12 @@ def missing_stops(
     """Stop for each open position without one: the first rung the mark price has not crossed.
 
     Rungs move away from the entry price, so the last crossed one is found by halving, five price comparisons
-    for thirty rungs, each in a column of its own. ``stop_pct`` and ``stop_price`` are null where even the last
+    for thirty rungs. The last price tried that is not crossed is the stop. ``stop_pct`` and ``stop_price`` are null where even the last
     rung is crossed.
     """
     rungs = market.ladder(first, last, step)
+    if not rungs:
+        raise ValueError("the ladder has no rung")
     percents = F.expr("array(" + ", ".join(f"{percent!r}D" for percent in rungs) + ")")
     amount, passed, tried = F.col("position_amt"), F.col("passed"), F.col("tried")
 
@@ -91,19 +93,24 @@ def missing_stops(
         return {"tried": market.shifted(F.col("entry_price"), percent, F.lit(float(leverage)), amount < 0)}
 
     exposed = without_stop(positions.filter(amount != 0), orders)
-    searched = exposed.withColumns({"passed": F.lit(-1), "sign": F.signum(amount)})
-    crossed = tried.isNotNull() & F.coalesce((F.col("mark_price") - tried) * F.col("sign") <= 0, F.lit(True))
+    start = {"passed": F.lit(-1), "sign": F.signum(amount), "stop_price": F.lit(None).cast("double")}
+    searched = exposed.withColumns(start)
+    crossed = F.coalesce((F.col("mark_price") - tried) * F.col("sign") <= 0, tried.isNotNull())
     stride = 1 << (len(rungs).bit_length() - 1)
     while stride:
         searched = with_nearest(searched, price(passed + stride), market.PRICE_PLACES)
-        searched = searched.withColumn("passed", F.when(crossed, passed + stride).otherwise(passed))
+        step = {
+            "passed": F.when(crossed, passed + stride).otherwise(passed),
+            "stop_price": F.when(crossed | tried.isNull(), F.col("stop_price")).otherwise(tried),
+        }
+        searched = searched.withColumns(step)
         stride >>= 1
-    return with_nearest(searched, price(passed + 1), market.PRICE_PLACES).select(
+    return searched.select(
         "position_id",
         market.closing_side(amount).alias("order_side"),
         F.abs(amount).alias("quantity"),
         F.get(percents, passed + 1).alias("stop_pct"),
-        tried.alias("stop_price"),
+        "stop_price",
     )
 
 
