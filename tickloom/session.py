@@ -70,6 +70,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` only after counting that it holds at most ``max_rows`` rows; otherwise a plain join side.
 
-    Give it a frame that is cheap to count, such as one returned by :func:`written`.
+    The whole frame is counted, by all tasks. Give it one that is cheap to count, such as one returned by
+    :func:`written`, whose counts stand in the files' footers.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
