@@ -22,7 +22,7 @@ from tickloom.llm.scan import Slice, mixed, slices, span_hashes, words
 from tickloom.llm.workers import ship
 from tickloom.session import written
 
-MIN_WORDS = 16
+MIN_WORDS = 24
 _FIRST, _SECOND, _STRETCH, _LONGEST = (1 << 32) // 8, (1 << 32) // 8 + (1 << 32) // 4, 16, 256
 _WINDOW = 32
 _SPAN = 1 << 10

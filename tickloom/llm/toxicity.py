@@ -1,8 +1,10 @@
 """Toxicity by a classifier chain: linear models for one category after the other.
 
-Each model sees the words of a text (hashed, present or not) and the probabilities of the categories before it. A later
-model is trained on out-of-fold probabilities of the earlier ones, so that it learns how far they can be trusted on
-texts they have not seen. Models are fitted on a bounded sample of labelled rows; all rows are scored.
+Each model sees the words of a text (present or not, as 64-bit hashes) and the probabilities of the categories before
+it. A later model is trained on out-of-fold probabilities of the earlier ones, so that it learns how far they can be
+trusted on texts they have not seen. A model keeps only words whose share differs clearly between its two classes, so
+that a long text is not judged by the many words that say nothing. Models are fitted on a bounded sample of labelled
+rows; all rows are scored.
 """
 
 from __future__ import annotations
@@ -21,49 +23,83 @@ from tickloom.llm.workers import ship
 from tickloom.session import written
 
 #: Most labelled documents a chain is fitted on: those with the smallest hash of their key.
-MAX_SAMPLE = 8_000
-FOLDS, ROUNDS, RATE, PENALTY = 3, 60, 0.5, 1e-4
-BITS = 18
+MAX_SAMPLE = 12_000
+FOLDS, ROUNDS, RATE, PENALTY = 3, 300, 0.5, 1e-4
+#: A word counts for a category if this many sample texts have it and its shares differ by so many deviations.
+MIN_TEXTS, MIN_DEVIATIONS = 4, 6.0
 
 _SEPARATORS = table(bytes(b for b in range(128) if not chr(b).isalnum()))
 
 
 def features(part: Slice) -> tuple[np.ndarray, np.ndarray]:
-    """Owner and feature of the different words of each text, in order of both."""
+    """Owner and hash of the different words of each text, by owner."""
     found = words(LOWERED[part.bytes], part.offsets, _SEPARATORS)
-    owner = np.repeat(np.arange(len(part.offsets) - 1, dtype=np.uint64), found.counts)
-    both = np.unique((owner << np.uint64(BITS)) | (found.hashes >> np.uint64(64 - BITS)))
-    return (both >> np.uint64(BITS)).astype(np.int64), (both & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    owner = np.repeat(np.arange(len(part.offsets) - 1), found.counts)
+    order = np.lexsort((found.hashes, owner))
+    owner, hashes = owner[order], found.hashes[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
+    return owner[new], hashes[new]
 
 
 @dataclass
 class Linear:
-    """Logistic model: a weight per word feature and per earlier category, and a constant."""
+    """Logistic model: weights of its words (sorted hashes), a weight per earlier category, and a constant."""
 
     words: np.ndarray
+    weights: np.ndarray
     earlier: np.ndarray
     constant: float
 
+    def known(self, owner: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Owner and number in the model of the words it knows."""
+        if not len(self.words):
+            return owner[:0], np.empty(0, int)
+        at = np.minimum(np.searchsorted(self.words, feature), len(self.words) - 1)
+        hit = self.words[at] == feature
+        return owner[hit], at[hit]
+
     def score(self, owner: np.ndarray, feature: np.ndarray, before: np.ndarray) -> np.ndarray:
-        sums = np.bincount(owner, weights=self.words[feature], minlength=len(before))
-        return 1 / (1 + np.exp(-np.clip(sums + before @ self.earlier + self.constant, -30, 30)))
+        own, at = self.known(owner, feature)
+        sums = np.bincount(own, weights=self.weights[at], minlength=len(before))
+        return _logistic(sums + before @ self.earlier + self.constant)
+
+
+def _logistic(sums: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(sums, -30, 30)))
+
+
+def telling_words(owner: np.ndarray, feature: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Sorted hashes of the words whose share of texts differs clearly between the classes."""
+    different, which = np.unique(feature, return_inverse=True)
+    with_it = np.bincount(which, minlength=len(different))
+    positive = np.bincount(which, weights=labels[owner], minlength=len(different))
+    n, n1 = len(labels), labels.sum()
+    if not 0 < n1 < n:
+        return different[:0]
+    share = with_it / n
+    spread = np.sqrt(share * (1 - share) * (1 / n1 + 1 / (n - n1))) + 1e-12
+    deviations = np.abs(positive / n1 - (with_it - positive) / (n - n1)) / spread
+    return different[(with_it >= MIN_TEXTS) & (deviations >= MIN_DEVIATIONS)]
 
 
 def fit_linear(owner: np.ndarray, feature: np.ndarray, before: np.ndarray, labels: np.ndarray) -> Linear:
     """Logistic regression by full-batch steps with a rate per weight; the same result on every run."""
-    count, width = len(labels), before.shape[1]
-    weights, total = np.zeros((1 << BITS) + width + 1), np.zeros((1 << BITS) + width + 1)
-    rows = np.concatenate([owner, np.repeat(np.arange(count), width + 1)])
-    ends = np.arange(1 << BITS, (1 << BITS) + width + 1)
-    columns = np.concatenate([feature, np.tile(ends, count)])
-    values = np.concatenate([np.ones(len(feature)), np.column_stack([before, np.ones(count)]).ravel()])
+    telling = telling_words(owner, feature, labels)
+    width, count = len(telling), len(labels)
+    model = Linear(telling, np.zeros(width), np.zeros(before.shape[1]), 0.0)
+    own, at = model.known(owner, feature)
+    others = np.column_stack([before, np.ones(count)])
+    rows = np.concatenate([own, np.repeat(np.arange(count), others.shape[1])])
+    columns = np.concatenate([at, np.tile(np.arange(others.shape[1]) + width, count)])
+    values = np.concatenate([np.ones(len(own)), others.ravel()])
+    weights, total = np.zeros(width + others.shape[1]), np.zeros(width + others.shape[1])
     for _ in range(ROUNDS):
-        sums = np.bincount(rows, weights=weights[columns] * values, minlength=count)
-        errors = 1 / (1 + np.exp(-np.clip(sums, -30, 30))) - labels
+        errors = _logistic(np.bincount(rows, weights=weights[columns] * values, minlength=count)) - labels
         gradient = np.bincount(columns, weights=errors[rows] * values, minlength=len(weights)) + PENALTY * weights
         total += gradient**2
         weights -= RATE * gradient / np.sqrt(total + 1e-12)
-    return Linear(weights[: 1 << BITS].astype(np.float32), weights[1 << BITS : -1], float(weights[-1]))
+    return Linear(telling, weights[:width], weights[width:-1], float(weights[-1]))
 
 
 def fit_chain(owner: np.ndarray, feature: np.ndarray, keys: np.ndarray, labels: np.ndarray) -> list[Linear]:
@@ -74,13 +110,12 @@ def fit_chain(owner: np.ndarray, feature: np.ndarray, keys: np.ndarray, labels:
     for k in range(labels.shape[1]):
         models.append(fit_linear(owner, feature, before, labels[:, k]))
         held = np.zeros(count)
-        for f in range(FOLDS):
+        for f in range(FOLDS if k + 1 < labels.shape[1] else 0):
             learned, own = fold != f, np.cumsum(fold != f) - 1
-            use = learned[owner]
-            if not learned.any():
-                continue
-            model = fit_linear(own[owner[use]], feature[use], before[learned], labels[learned, k])
-            held[~learned] = model.score(owner, feature, before)[~learned]
+            if learned.any():
+                use = learned[owner]
+                model = fit_linear(own[owner[use]], feature[use], before[learned], labels[learned, k])
+                held[~learned] = model.score(owner, feature, before)[~learned]
         before = np.column_stack([before, held])
     return models
 
@@ -115,11 +150,11 @@ def train_chain(
             for part in slices(batch, "text"):
                 owner, feature = features(part)
                 borders = np.searchsorted(owner, np.arange(len(part.offsets))).astype(np.int32)
-                own = pa.ListArray.from_arrays(pa.array(borders), pa.array(feature.astype(np.int32)))
+                own = pa.ListArray.from_arrays(pa.array(borders), pa.array(feature.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.rows.column(0), own], ["key", "features"])
 
     schema = T.StructType([T.StructField("key", documents.schema[key].dataType)])
-    schema = schema.add("features", T.ArrayType(T.IntegerType()))
+    schema = schema.add("features", T.ArrayType(T.LongType()))
     named = documents.select(documents[key].alias("key"), documents[text].alias("text")).dropna()
     extracted = named.join(F.broadcast(sample.select("key")), "key", "left_semi").mapInArrow(extract, schema)
     rows = extracted.join(F.broadcast(sample), "key").toArrow().combine_chunks().sort_by("key")
@@ -128,7 +163,7 @@ def train_chain(
     lists = rows.column("features").combine_chunks()
     owner = np.repeat(np.arange(rows.num_rows), np.diff(np.asarray(lists.offsets)))
     truth = np.column_stack([np.asarray(rows.column(c), float) for c in categories])
-    return fit_chain(owner, np.asarray(lists.flatten()).astype(np.int64), _numbers(rows.column("key")), truth)
+    return fit_chain(owner, np.asarray(lists.flatten()).view(np.uint64), _numbers(rows.column("key")), truth)
 
 
 def _numbers(keys: pa.ChunkedArray) -> np.ndarray:
@@ -169,11 +204,11 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 
 CATEGORIES = ("low_quality", "toxic")
-LIMIT = 0.5
+LIMIT = 0.4
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per document ``doc_id, p_low_quality, p_toxic, rejected`` (``p_toxic`` above one half; false without models)."""
+    """Per document ``doc_id, p_low_quality, p_toxic, rejected`` (``p_toxic`` above ``LIMIT``; false without models)."""
     models = train_chain(documents, labelled(labels), CATEGORIES)
     scored = predict(documents, models, CATEGORIES)
     return scored.withColumn("rejected", F.coalesce(F.col("p_toxic") > LIMIT, F.lit(False)))
