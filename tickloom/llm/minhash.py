@@ -3,9 +3,9 @@
 Texts with equal shingle sets form a class; only one representative of each goes on. Candidates are found in two
 rounds. The first pairs the members of a band bucket with its smallest member, so a group of near copies of any size
 gives one pair per member. The second looks into the buckets whose other members still lie in several components:
-those outside the component of the smallest one meet all others in blocks of signatures, inside Arrow functions, and
-only pairs that survive the pruning leave the block. So no bucket is expanded into its pairs, and no link between
-components is lost.
+those outside the component of the smallest one meet all others in blocks, inside Arrow functions, are pruned and
+verified there, and only links that join components leave the block. So no bucket is expanded into its pairs, and no
+link between components is lost.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from tickloom.session import broadcast_if_small, written
 ROWS_PER_BAND = 4
 MISS_PROBABILITY = 1e-6
 CHECK_EVERY = 16
-BLOCK = 256
+#: Most members and shingles, about, of one side of a block.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 18
 MAX_BROADCAST_IDS = 1_000_000
 _CHUNK = 1 << 12
 
@@ -108,10 +109,10 @@ def with_sets(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
 
 
 def band_keys(sketched: DataFrame, bands: int, rows: int = ROWS_PER_BAND) -> DataFrame:
-    """``key, band`` for every band of every signature; the band's number is part of the hash."""
+    """``key, no, band`` for every band of every signature; the band's number ``no`` is part of the hash ``band``."""
     width = rows * 4
     parts = [F.xxhash64(F.lit(b), F.substring("signature", 1 + b * width, width)) for b in range(bands)]
-    return sketched.select("key", F.explode(F.array(*parts)).alias("band"))
+    return sketched.select("key", F.posexplode(F.array(*parts)).alias("no", "band"))
 
 
 def _survivors(left: np.ndarray, right: np.ndarray, threshold: float, miss: float) -> np.ndarray:
@@ -170,43 +171,72 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(compare, both.select("a", "b").schema)
 
 
-def _block_pairs(members: DataFrame, sketched: DataFrame, threshold: float, hashes: int, miss: float) -> DataFrame:
-    """Second round: surviving pairs of different components from ``band, key, component, minor`` rows.
+def _block_links(members: DataFrame, sets: DataFrame, sketched: DataFrame, percent: int, hashes: int, rows: int, miss: float) -> DataFrame:
+    """Second round: confirmed links between components from ``band, no, key, component, minor`` rows.
 
     ``minor`` members are those outside the component of the bucket's smallest member. Every minor one meets every
-    member once: both sides are cut into blocks by hash, and each block of minor members is sent to each block of all.
+    member of another component: both sides are cut into blocks by hash, bounded in members and in shingles, and each
+    block of minor members is sent to each block of all, with signatures and full sets. A pair is tested in the first
+    band it shares. What the signatures do not rule out is checked exactly at once; of the links found in a block only
+    those leave it that join components not yet joined there, fewer than it has members.
     """
-    counts = members.groupBy("band").agg(F.count("*").alias("n"), F.count_if("minor").alias("n_minor"))
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    sized = members.join(counts.select("band", blocks("n").alias("all_blocks"), blocks("n_minor").alias("minor_blocks")), "band")
-    signed = sized.join(sketched.select("key", "signature"), "key")
-    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-    left = signed.filter("minor").select(
-        "band", own("minor_blocks").alias("x"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("y"), F.lit(True).alias("is_left"), "key", "component", "signature"
-    )
-    right = signed.select(
-        "band", F.explode(F.sequence(F.lit(0), F.col("minor_blocks") - 1)).alias("x"), own("all_blocks").alias("y"), F.lit(False).alias("is_left"), "key", "component", "signature"
+    sized = members.join(sketched.select("key", "n_shingles", "signature"), "key")
+    load = lambda n, words: F.ceil(F.greatest(n / BLOCK, words / BLOCK_SHINGLES)).cast("int")
+    minor_words = F.sum(F.when(F.col("minor"), F.col("n_shingles")).otherwise(0))
+    blocks = sized.groupBy("band").agg(
+        load(F.count("*"), F.sum("n_shingles")).alias("all_blocks"), load(F.count_if("minor"), minor_words).alias("minor_blocks")
     )
-
-    def meet(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        is_left = np.asarray(table.column("is_left"))
-        keys, component = table.column("key").combine_chunks(), np.asarray(table.column("component"))
-        signatures = _matrix(table.column("signature"), hashes)
-        rights = np.flatnonzero(~is_left)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for i in np.flatnonzero(is_left):
-            others = rights[component[rights] != component[i]]
+    whole = sized.drop("n_shingles").join(sets, "key").join(blocks, "band")
+    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    carried = ["no", "key", "component", "minor", "signature", "shingles"]
+    left = whole.filter("minor").select("band", own("minor_blocks").alias("x"), each("all_blocks").alias("y"), F.lit(True).alias("is_left"), *carried)
+    right = whole.select("band", each("minor_blocks").alias("x"), own("all_blocks").alias("y"), F.lit(False).alias("is_left"), *carried)
+
+    def meet(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        is_left, minor = (np.asarray(block.column(name)) for name in ("is_left", "minor"))
+        keys, component = block.column("key").combine_chunks(), np.asarray(block.column("component"))
+        order = np.argsort(np.argsort(keys.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+        signatures = _matrix(block.column("signature"), hashes)
+        banded = signatures.reshape(len(signatures), -1, rows)
+        shingles = [np.frombuffer(value.as_buffer(), np.uint64) for value in block.column("shingles")]
+        lengths = np.array([len(own) for own in shingles])
+        number, rights = block.column("no")[0].as_py(), np.flatnonzero(~is_left)
+        root: dict = {}
+        found: list[tuple[int, int]] = []
+        for i in np.flatnonzero(is_left).tolist():
+            others = rights[(component[rights] != component[i]) & (~minor[rights] | (order[rights] > order[i]))]
+            others = others[(banded[others] == banded[i]).all(axis=2).argmax(axis=1) == number]
             same = np.broadcast_to(signatures[i], (len(others), hashes))
-            found.append((i, others[_survivors(same, signatures[others], threshold, miss)]))
-        first = np.concatenate([np.full(len(other), i) for i, other in found]) if found else np.empty(0, int)
-        second = np.concatenate([other for _, other in found]) if found else np.empty(0, int)
-        return pa.table({"a": keys.take(pa.array(first)), "b": keys.take(pa.array(second))})
+            others = others[_survivors(same, signatures[others], percent / 100, miss)]
+            for j in others[_similar(shingles[i], [shingles[j] for j in others], lengths[others], percent)].tolist():
+                a, b = _root(root, component[i]), _root(root, component[j])
+                if a != b:
+                    root[a] = b
+                    found.append((i, j))
+        first, second = (pa.array([pair[k] for pair in found], pa.int64()) for k in (0, 1))
+        return pa.table({"a": keys.take(first), "b": keys.take(second)})
 
     kind = members.schema["key"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    met = left.union(right).groupBy("band", "x", "y").applyInArrow(meet, schema)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return left.union(right).groupBy("band", "x", "y").applyInArrow(meet, schema)
+
+
+def _root(root: dict, node):
+    while node in root:
+        node = root[node]
+    return node
+
+
+def _similar(own: np.ndarray, others: list[np.ndarray], lengths: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the sorted sets share enough with ``own``: ``100 * shared >= percent * union``."""
+    if not others:
+        return np.empty(0, np.int64)
+    joined = np.concatenate(others)
+    at = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+    shared = np.add.reduceat(own[at] == joined, np.cumsum(lengths) - lengths, dtype=np.int64)
+    return np.flatnonzero(100 * shared >= percent * (len(own) + lengths - shared))
 
 
 def near_duplicates(
@@ -232,10 +262,10 @@ def near_duplicates(
     sketched = written(sketches(df, key, text, size, hashes), "sketches")
     filled = sketched.filter((F.col("n_shingles") > 0) & F.col("key").isNotNull())
     classes = filled.groupBy("d1", "d2").agg(F.min("key").alias("key"))
-    signed = written(filled.join(classes, ["d1", "d2", "key"], "left_semi").select("key", "signature"), "signatures")
+    signed = written(filled.join(classes, ["d1", "d2", "key"], "left_semi").select("key", "n_shingles", "signature"), "signatures")
     banded = band_keys(signed, bands, rows)
     hubs = banded.groupBy("band").agg(F.min("key").alias("a"), F.count("*").alias("n")).filter("n > 1").select("band", "a")
-    buckets = written(banded.join(hubs, "band").select("band", F.col("a").alias("hub"), "key"), "buckets")
+    buckets = written(banded.join(hubs, "band").select("band", "no", F.col("a").alias("hub"), "key"), "buckets")
 
     stars = buckets.filter(F.col("key") != F.col("hub")).select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
     first = written(pruned(stars, signed, threshold, hashes, miss), "survivors")
@@ -246,7 +276,7 @@ def near_duplicates(
     members = buckets.join(labels.withColumnsRenamed({"node": "key", "component": "own"}), "key", "left")
     members = members.join(labels.withColumnsRenamed({"node": "hub", "component": "of_hub"}), "hub", "left")
     members = members.filter(F.col("key") != F.col("hub")).select(
-        "band", "key", named(F.col("own")).alias("component"), (named(F.col("own")) != F.coalesce("of_hub", "hub")).alias("minor")
+        "band", "no", "key", named(F.col("own")).alias("component"), (named(F.col("own")) != F.coalesce("of_hub", "hub")).alias("minor")
     )
     members = written(members.distinct(), "members")
     spread = members.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.bool_or("minor").alias("any"))
@@ -255,8 +285,8 @@ def near_duplicates(
     if rest.isEmpty():
         final = labels
     else:
-        second = written(_block_pairs(rest, signed, threshold, hashes, miss), "survivors")
-        more = written(_confirmed(df, second, key, text, size, percent), "confirmed")
+        sets = _sets_of(df, rest.select("key").distinct(), key, text, size)
+        more = written(_block_links(rest, sets, signed, percent, hashes, rows, miss), "confirmed")
         final = labels if more.isEmpty() else components(links.union(more))
 
     named_classes = classes.withColumnRenamed("key", "representative")
@@ -269,8 +299,14 @@ def near_duplicates(
     return result.select(key, "n_shingles", F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"), own.alias("kept"))
 
 
-def _confirmed(df: DataFrame, pairs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """Exact check of pairs; only the texts that a pair names are read again."""
-    wanted = written(pairs.select(F.col("a").alias(key)).union(pairs.select(F.col("b").alias(key))).distinct(), "wanted")
+def _sets_of(df: DataFrame, keys: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """Shingle sets of the documents with the given keys; only their texts are read again."""
+    wanted = written(keys.withColumnRenamed("key", key), "wanted")
     texts = df.select(df[key], df[text]).join(broadcast_if_small(wanted, MAX_BROADCAST_IDS), key, "left_semi")
-    return verified(pairs, written(with_sets(texts, key, text, size), "sets"), percent)
+    return written(with_sets(texts, key, text, size), "sets")
+
+
+def _confirmed(df: DataFrame, pairs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """Exact check of pairs."""
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    return verified(pairs, _sets_of(df, keys, key, text, size), percent)
