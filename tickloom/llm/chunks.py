@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm.scan import Slice, mixed, slices, span_hashes, words
-from tickloom.llm.workers import ship
+from tickloom.llm.workers import ship, tidied
 from tickloom.session import written
 
 MIN_WORDS = 24
@@ -106,7 +106,7 @@ def chunked(df: DataFrame, key: str, text: str) -> DataFrame:
     longs = T.ArrayType(T.LongType())
     schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("row", T.LongType())])
     schema = schema.add("n_words", T.LongType()).add("digests", longs).add("spans", longs).add("again", longs)
-    return _named(df, key, text).mapInArrow(cut, schema)
+    return _named(df, key, text).mapInArrow(tidied(cut), schema)
 
 
 def _named(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -151,7 +151,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", min_w
 
     run = T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([*collected.schema.fields[:2], T.StructField("runs", T.ArrayType(run))])
-    runs = collected.mapInArrow(join_runs, schema).filter(F.size("runs") > 0)
+    runs = collected.mapInArrow(tidied(join_runs), schema).filter(F.size("runs") > 0)
     counts = cut.select("key", "row", "n_words", (F.size("digests") + F.size("again")).cast("long").alias("n_chunks"))
     return counts, runs
 
@@ -192,7 +192,7 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", min_
                 new[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(new, columns)
 
-    return joined.select(*[df[name] for name in columns], "__runs").mapInArrow(strip, df.schema)
+    return joined.select(*[df[name] for name in columns], "__runs").mapInArrow(tidied(strip), df.schema)
 
 
 def _stripped(old: str | None, i: int, runs: list[dict], part: Slice, found) -> str | None:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tickloom.llm.scan import LOWERED, slices, table, words
-from tickloom.llm.workers import ship
+from tickloom.llm.workers import ship, tidied
 
 #: Phrases that count as base places, with their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -203,7 +203,7 @@ def license_scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             T.StructField("score", T.DoubleType()),
         ]
     )
-    return df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(scan, schema).withColumnRenamed("key", key)
+    return df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(tidied(scan), schema).withColumnRenamed("key", key)
 
 
 _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.float64()]

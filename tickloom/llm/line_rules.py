@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm.scan import BLANKS, LOWERED, Slice, mixed, slices, span_hashes, table, windows, words
-from tickloom.llm.workers import ship
+from tickloom.llm.workers import ship, tidied
 from tickloom.session import written
 
 MIN_DOCS, MAX_SHARE, MAX_LOSS = 20, 0.1, 0.5
@@ -103,7 +103,7 @@ def scanned_lines(df: DataFrame, key: str, text: str, host: str) -> DataFrame:
     for name in ("line_hashes", "line_words"):
         schema = schema.add(name, T.ArrayType(T.LongType()))
     named = df.select(df[key].alias("key"), F.coalesce(df[host].cast("string"), F.lit("")).alias("host"), df[text].alias("text"))
-    return named.mapInArrow(scan, schema)
+    return named.mapInArrow(tidied(scan), schema)
 
 
 def frequent_lines(scanned: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
@@ -177,7 +177,7 @@ def without_frequent_lines(
 
     schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("text", T.StringType())])
     joined = rows.join(unwanted, "row", "left").select("key", "text", "unwanted")
-    return joined.mapInArrow(strip, schema).withColumnsRenamed({"key": key, "text": text})
+    return joined.mapInArrow(tidied(strip), schema).withColumnsRenamed({"key": key, "text": text})
 
 
 def _stripped(old: str, drop: list[int] | None) -> str:

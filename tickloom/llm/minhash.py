@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tickloom.llm.components import components
 from tickloom.llm.scan import LOWERED, mixed, shingle_sets, slices, words
-from tickloom.llm.workers import ship
+from tickloom.llm.workers import ship, tidied
 from tickloom.session import broadcast_if_small, written
 
 ROWS_PER_BAND = 4
@@ -92,7 +92,7 @@ def sketches(df: DataFrame, key: str, text: str, size: int, hashes: int) -> Data
     for name in ("n_shingles", "d1", "d2"):
         schema = schema.add(name, T.LongType())
     named = df.select(df[key].alias("key"), df[text].alias("text"))
-    return named.mapInArrow(sketch, schema.add("signature", T.BinaryType()))
+    return named.mapInArrow(tidied(sketch), schema.add("signature", T.BinaryType()))
 
 
 def with_sets(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -105,7 +105,7 @@ def with_sets(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.rows.column(0), pa.array(sets, pa.binary())], ["key", "shingles"])
 
     schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("shingles", T.BinaryType())])
-    return df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(collect, schema)
+    return df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(tidied(collect), schema)
 
 
 def band_keys(sketched: DataFrame, bands: int, rows: int = ROWS_PER_BAND) -> DataFrame:
@@ -142,7 +142,7 @@ def pruned(pairs: DataFrame, sketched: DataFrame, threshold: float, hashes: int,
     side = sketched.select("key", "signature")
     both = pairs.join(side.withColumnsRenamed({"key": "b", "signature": "sb"}), "b")
     both = both.join(side.withColumnsRenamed({"key": "a", "signature": "sa"}), "a").select("a", "b", "sa", "sb")
-    return both.mapInArrow(test, both.select("a", "b").schema)
+    return both.mapInArrow(tidied(test), both.select("a", "b").schema)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -168,7 +168,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     both = pairs.join(sets.withColumnsRenamed({"key": "b", "shingles": "sb"}), "b")
     both = both.join(sets.withColumnsRenamed({"key": "a", "shingles": "sa"}), "a").select("a", "b", "sa", "sb")
-    return both.mapInArrow(compare, both.select("a", "b").schema)
+    return both.mapInArrow(tidied(compare), both.select("a", "b").schema)
 
 
 def _block_links(members: DataFrame, sets: DataFrame, sketched: DataFrame, percent: int, hashes: int, rows: int, miss: float) -> DataFrame:

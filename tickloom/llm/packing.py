@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tickloom.llm.scan import slices
 from tickloom.llm.tokens import SLICE_BYTES, encoder
-from tickloom.llm.workers import ship
+from tickloom.llm.workers import ship, tidied
 from tickloom.session import written
 
 CAPACITY = 2048
@@ -115,7 +115,7 @@ def token_pieces(
         T.StructField("length", T.LongType()),
         T.StructField("ids_crc32", T.LongType()),
     ] + [T.StructField("ids", T.BinaryType())] * with_ids
-    cut_up = df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(tokenise, T.StructType(fields))
+    cut_up = df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(tidied(tokenise), T.StructType(fields))
     return cut_up.withColumnRenamed("key", key)
 
 
@@ -148,7 +148,7 @@ def best_fit(
     order = F.xxhash64(*[F.col(f"`{name}`") for name in pieces.columns if name != "ids"])
     dealt = pieces.repartition(tasks, order).sortWithinPartitions(order, *[n for n in pieces.columns if n != "ids"])
     schema = T.StructType([*pieces.schema.fields]).add("sequence_id", T.LongType()).add("offset", T.LongType())
-    return dealt.mapInArrow(pack_rows, schema)
+    return dealt.mapInArrow(tidied(pack_rows), schema)
 
 
 def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tickloom.llm.scan import BLANKS, Slice, slices, span_hashes, table
-from tickloom.llm.workers import ship
+from tickloom.llm.workers import ship, tidied
 
-BATCH_BYTES, SLICE_BYTES = 1 << 18, 1 << 22
+BATCH_BYTES, SLICE_BYTES = 1 << 18, 1 << 20
 #: Pieces remembered in each of two generations, and the longest of them in bytes.
-REMEMBERED, LONGEST_REMEMBERED = 500_000, 64
+REMEMBERED, LONGEST_REMEMBERED = 200_000, 64
 
 _CONTROLS = table(bytes(b for b in range(32) if not BLANKS[b]) + b"\x7f")
 _LETTERS = table(bytes(range(65, 91)) + bytes(range(97, 123)))
@@ -218,5 +218,5 @@ def token_counts(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
             T.StructField("over_limit", T.BooleanType()),
         ]
     )
-    counted = df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(count, schema)
+    counted = df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(tidied(count), schema)
     return counted.withColumnRenamed("key", key)

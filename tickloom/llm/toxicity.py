@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm.scan import LOWERED, Slice, mixed, slices, table, words
-from tickloom.llm.workers import ship
+from tickloom.llm.workers import ship, tidied
 from tickloom.session import written
 
 #: Most labelled documents a chain is fitted on: those with the smallest hash of their key.
@@ -156,7 +156,7 @@ def train_chain(
     schema = T.StructType([T.StructField("key", documents.schema[key].dataType)])
     schema = schema.add("features", T.ArrayType(T.LongType()))
     named = documents.select(documents[key].alias("key"), documents[text].alias("text")).dropna()
-    extracted = named.join(F.broadcast(sample.select("key")), "key", "left_semi").mapInArrow(extract, schema)
+    extracted = named.join(F.broadcast(sample.select("key")), "key", "left_semi").mapInArrow(tidied(extract), schema)
     rows = extracted.join(F.broadcast(sample), "key").toArrow().combine_chunks().sort_by("key")
     if not rows.num_rows:
         return []
@@ -194,7 +194,7 @@ def predict(
     schema = T.StructType([T.StructField("key", documents.schema[key].dataType)])
     for name in names:
         schema = schema.add(name, T.DoubleType())
-    scored = documents.select(documents[key].alias("key"), documents[text].alias("text")).mapInArrow(score, schema)
+    scored = documents.select(documents[key].alias("key"), documents[text].alias("text")).mapInArrow(tidied(score), schema)
     return scored.withColumnRenamed("key", key)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.workers import ship
+from tickloom.llm.workers import ship, tidied
 from tickloom.session import written
 
 END = "\r\n\r\n"
@@ -287,7 +287,7 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -
                     yield batch_of(rows)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("content")
-    return files.mapInArrow(parse, T.StructType([field for field in _RECORD.fields if field.name in names]))
+    return files.mapInArrow(tidied(parse), T.StructType([field for field in _RECORD.fields if field.name in names]))
 
 
 def assemble(records: DataFrame) -> DataFrame:
