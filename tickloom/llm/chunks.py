@@ -130,8 +130,8 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", min_w
 
     ``runs`` are pairs of first word and end. Digests are reduced to their smallest and largest key inside each task
     before the shuffle; places of repeated digests are found by a join that adaptive execution can split, and meet again
-    only by row. Rows that share a key keep what they share; of rows with a null key everything that has a place under
-    a key is removed.
+    only by row. Rows that share a key keep what they share; rows with a null key lose only what they repeat
+    themselves.
     """
     cut = written(chunked(df, key, text), "chunks")
     digests = cut.select("key", F.explode("digests").alias("digest"))
@@ -139,7 +139,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", min_w
     repeated = ends.filter(F.col("keeper") != F.col("last")).select("digest", "keeper")
     pairs = cut.select("key", "row", F.explode(F.arrays_zip("digests", "spans")).alias("place"))
     places = pairs.select("key", "row", F.col("place.digests").alias("digest"), F.col("place.spans").alias("span"))
-    others = places.join(repeated, "digest").filter(F.col("key").isNull() | (F.col("key") != F.col("keeper")))
+    others = places.join(repeated, "digest").filter(F.col("key") != F.col("keeper"))
     again = cut.select("key", "row", F.explode("again").alias("span"))
     collected = others.select("key", "row", "span").union(again).groupBy("key", "row").agg(F.collect_set("span").alias("spans"))
 
