@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import chats, chunks, containment, licenses, line_rules, minhash, packing, tokens, toxicity, warc
+from tickloom.llm import chats, chunks, containment, licenses, line_rules, minhash, oracles, packing, tokens, toxicity, warc
 from tickloom.registry.book import query
 from tickloom.registry.views import table
 from tickloom.session import scratch_path
@@ -13,27 +13,27 @@ from tickloom.session import scratch_path
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
-@query("op1_warc_transactions")
+@query("op1_warc_transactions", oracles.WARC)
 def warc_transactions(spark: SparkSession, folder: str) -> DataFrame:
     return warc.page_archive(table(spark, folder, "pages"), scratch_path(spark, "archives"))
 
 
-@query("op2_minhash_near_duplicates")
+@query("op2_minhash_near_duplicates", oracles.NEAR_DUPLICATES)
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), size=3, percent=85)
 
 
-@query("op3_snapshot_collapse")
+@query("op3_snapshot_collapse", oracles.CHATS)
 def snapshot_collapse(spark: SparkSession, folder: str) -> DataFrame:
     return chats.collapsed_chats(table(spark, folder, "conversations"))
 
 
-@query("op4_line_frequency_rules")
+@query("op4_line_frequency_rules", oracles.LINE_RULES)
 def line_frequency_rules(spark: SparkSession, folder: str) -> DataFrame:
     return line_rules.quality_rules(table(spark, folder, "documents"))
 
 
-@query("op5_benchmark_containment")
+@query("op5_benchmark_containment", oracles.CONTAINMENT)
 def benchmark_containment(spark: SparkSession, folder: str) -> DataFrame:
     return containment.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
