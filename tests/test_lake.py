@@ -159,3 +159,16 @@ def test_the_session_setting_is_restored(spark, table):
 def test_the_shared_folder_is_the_one_named_in_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert uuid.uuid4().hex not in shared_dir(spark)
+
+
+def test_columns_the_table_does_not_have_are_an_error(spark):
+    from tickloom.registry.staging import new_table
+
+    name = new_table(spark, "strict")
+    rows = spark.createDataFrame([(1, "a")], "id long, part string")
+    lake.insert_to_table(rows, name, {"id": "bigint"}, ["part"])
+    with pytest.raises(ValueError, match="extra"):
+        lake.insert_to_table(rows.selectExpr("*", "1 as extra"), name, {"id": "bigint"}, ["part"], mode="append")
+    with pytest.raises(ValueError, match="extra"):
+        lake.delete_insert(rows.selectExpr("*", "1 as extra"), name, ["id = 1"])
+    assert spark.table(name).count() == 1

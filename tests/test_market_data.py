@@ -159,3 +159,18 @@ def test_ordinal_orders_by_time_then_number(spark):
     frame = spark.createDataFrame(pairs, "t timestamp_ntz, n long")
     rows = [tuple(r) for r in frame.orderBy(ordinal(F.col("t"), F.col("n"))).collect()]
     assert rows == sorted(pairs)
+
+
+def test_a_float_that_loses_digits_is_an_error(spark):
+    from pyspark.errors import PySparkException
+
+    for value in (1.2345e-15, 1e21):
+        frame = spark.createDataFrame([(value,)], "v double")
+        with pytest.raises(PySparkException):
+            frame.select(documents.exact_decimals(F.col("v"), frame.schema["v"].dataType)).collect()
+
+
+def test_type_names_of_malformed_records_and_big_integers(spark):
+    frame = spark.createDataFrame([('{"a": 123456789012345678901, "b": 1.5}',), ('{"a": ',)], "doc string")
+    names = [r[0] for r in frame.select(documents.json_type_names(F.col("doc"), ["a", "b"])).collect()]
+    assert names == [["int", "float"], ["NoneType", "NoneType"]]

@@ -33,6 +33,14 @@ def test_nearest_equals_round(spark, values):
     assert _rounded(spark, values, 2) == [round(v, 2) for v in values]
 
 
+def test_nearest_equals_round_where_the_scaled_value_cannot_hold_halves(spark):
+    source = random.Random(11)
+    for places in (0, 1, 2, 3, 6, 7):
+        top = [source.choice((-1, 1)) * source.uniform(2.0**50, 2.0**54) / 10**places for _ in range(4000)]
+        ties = [source.choice((-1, 1)) * (source.randint(2**51, 2**52) // 8 + source.randint(0, 7) / 8) / 2**k for k in range(12) for _ in range(200)]
+        assert _rounded(spark, top + ties, places) == [round(v, places) for v in top + ties]
+
+
 def test_nearest_keeps_null_and_huge_values(spark):
     assert _rounded(spark, [None, 1e300, float("inf")], 2) == [None, 1e300, float("inf")]
 

@@ -147,3 +147,21 @@ def test_ratchet_never_goes_back(spark, small_partitions):
                 best = row["candidate"]
             assert row["stop"] == best
     assert len(rows) == 2000
+
+
+def test_requests_without_price_or_leverage_are_rejected_and_stop_nothing(spark):
+    rows = [(1, "LONG", 100.0, 10, 50.0), (2, "LONG", 0.0, 10, 50.0), (3, "SHORT", 100.0, 0, 50.0), (4, "SHORT", None, 5, 50.0)]
+    requests = spark.createDataFrame(rows, "request_id int, direction string, price double, leverage int, available_balance double")
+    valid, rejected = pos.entry_requests_split(requests)
+    assert [r.request_id for r in valid.collect()] == [1] and sorted(r.request_id for r in rejected.collect()) == [2, 3, 4]
+    sizes = {r.request_id: r.order_size for r in pos.with_order_size(requests).collect()}
+    assert sizes[1] == 4.75 and sizes[2] is None
+
+
+def test_several_balances_and_positions_do_not_multiply_requests(spark):
+    requests = spark.createDataFrame([(1, 7, 3), (2, 8, 4)], "request_id int, account int, symbol int")
+    balances = spark.createDataFrame([(7, "USDT", 5.0), (7, "USDT", 9.0), (7, "BTC", 1.0)], "account int, asset string, available_balance double")
+    positions = spark.createDataFrame([(3, 20), (3, 10)], "symbol int, leverage int")
+    owned = {r.request_id: r.available_balance for r in pos.with_account_balance(requests, balances).collect()}
+    assert owned == {1: 5.0, 2: None}
+    assert {r.request_id: r.leverage for r in pos.with_symbol_leverage(requests, positions).collect()} == {1: 10, 2: None}

@@ -129,8 +129,10 @@ def test_a_limit_must_be_given(spark, tmp_path):
     with pytest.raises(ValueError):
         guarded_select(spark, "SELECT 1", limit=0)
     file = tmp_path / "q.sql"
-    file.write_text("SELECT id FROM range(100)")
+    file.write_text("SELECT id FROM range(7)")
     assert guarded_select(spark, path=str(file), limit=7).count() == 7
+    with pytest.raises(ValueError, match="more than 6"):
+        guarded_select(spark, path=str(file), limit=6)
     with pytest.raises(ValueError):
         statement_text("SELECT 1", str(file))
 

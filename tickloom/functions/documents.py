@@ -20,7 +20,10 @@ def _has_floats(kind: T.DataType) -> bool:
 
 
 def exact_decimals(value: Column, kind: T.DataType) -> Column:
-    """Turn every float inside ``value``, at any depth, into the decimal of its shortest text."""
+    """Turn every float inside ``value``, at any depth, into the decimal of its shortest text.
+
+    One whose text does not fit 20 digits before and 18 after the point is an error: no digit is lost.
+    """
     if not _has_floats(kind):
         return value
     if isinstance(kind, T.ArrayType):
@@ -32,19 +35,24 @@ def exact_decimals(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StructType):
         fields = [exact_decimals(value.getField(f.name), f.dataType).alias(f.name) for f in kind]
         return F.when(value.isNotNull(), F.struct(*fields))
-    return value.cast("string").cast(EXACT)
+    exact = value.cast("string").try_cast(EXACT)
+    lost = F.raise_error(F.concat(F.lit("no exact decimal for "), value.cast("string"))).cast(EXACT)
+    return F.when(value.isNull() | (exact.cast(kind) == value), exact).otherwise(lost)
 
 
 def json_type_names(document: Column, fields: list[str]) -> Column:
-    """Type name of each listed field of a JSON text, in order, to detect records that drift from their schema."""
-    parsed = F.parse_json(document)
+    """Type name of each listed field of a JSON text, in order, to detect records that drift from their schema.
+
+    A text that is no JSON has no fields.
+    """
+    parsed = F.try_parse_json(document)
 
     def name(field: str) -> Column:
         kind = F.schema_of_variant(F.variant_get(parsed, f"$.{field}", "variant"))
         return (
             F.when(kind.isNull() | (kind == "VOID"), "NoneType")
             .when(kind == "STRING", "str")
-            .when(kind == "BIGINT", "int")
+            .when((kind == "BIGINT") | kind.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), "int")
             .when(kind == "BOOLEAN", "bool")
             .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), "float")
             .when(kind.startswith("ARRAY"), "list")

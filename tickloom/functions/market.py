@@ -56,14 +56,14 @@ def roi(amount: Column, entry: Column, mark: Column, leverage: Column) -> Column
 
 
 def shifted(price: Column, percent: Column, leverage: Column, upwards: Column) -> Column:
-    """``price`` moved by a percentage of the leveraged margin, not rounded."""
-    share = percent / F.lit(100.0) / leverage
+    """``price`` moved by a percentage of the leveraged margin, not rounded; null without leverage."""
+    share = percent / F.lit(100.0) / F.nullif(leverage, F.lit(0))
     return price * F.when(upwards, 1 + share).otherwise(1 - share)
 
 
 def affordable(balance: Column, leverage: Column, price: Column) -> Column:
-    """Quantity the usable share of a balance buys, not rounded."""
-    return balance * F.lit(BALANCE_SHARE) * leverage / price
+    """Quantity the usable share of a balance buys, not rounded; null at a price of 0."""
+    return balance * F.lit(BALANCE_SHARE) * leverage / F.nullif(price, F.lit(0.0))
 
 
 def step_lookup(name: str, levels: Sequence[tuple[float, float]]) -> Column:

@@ -127,8 +127,11 @@ def closing_orders(positions: DataFrame) -> DataFrame:
 
 
 def entry_requests_split(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Requests with a valid direction, and the rejected others."""
-    valid = F.coalesce(F.col("direction").isin("LONG", "SHORT"), F.lit(False))
+    """Requests with a valid direction and, where they have such columns, a price and a leverage; the rejected others."""
+    valid = F.col("direction").isin("LONG", "SHORT")
+    for name in {"price", "leverage"} & set(requests.columns):
+        valid &= F.col(name) > 0
+    valid = F.coalesce(valid, F.lit(False))
     return requests.filter(valid), requests.filter(~valid)
 
 
@@ -203,6 +206,12 @@ def ratchet(marks: DataFrame) -> DataFrame:
 
 
 def with_account_balance(requests: DataFrame, balances: DataFrame, asset: str = "USDT") -> DataFrame:
-    """Add the account's available balance of ``asset``."""
-    owned = balances.filter(F.col("asset") == asset).select("account", "available_balance")
+    """Add the account's available balance of ``asset``; of several rows the smallest, so no request multiplies."""
+    owned = balances.filter(F.col("asset") == asset).groupBy("account").agg(F.min("available_balance").alias("available_balance"))
     return requests.join(owned, "account", "left")
+
+
+def with_symbol_leverage(requests: DataFrame, positions: DataFrame) -> DataFrame:
+    """Add the leverage set for the request's symbol; of several positions the smallest, null without one."""
+    known = positions.groupBy("symbol").agg(F.min("leverage").alias("leverage"))
+    return requests.join(known, "symbol", "left")

@@ -20,19 +20,15 @@ def judged(actual: DataFrame, predictions: DataFrame) -> DataFrame:
     of the two an inner join.
     """
     rounded = whole(F.col("raw_prediction"))
-    labelled = actual.dropna(subset=["true_result"]).select("id", "asset", "scraped_timestamp", "true_result")
+    labelled = actual.dropna(subset=["true_result"]).select("id", "asset", "true_result")
     given = predictions.dropna(subset=["prediction"]).select(
         F.col("raw_data_id").alias("id"), "model_type", F.col("prediction").alias("raw_prediction")
     )
     return labelled.join(given, "id").select(
-        "id",
-        "true_result",
-        "scraped_timestamp",
-        "model_type",
-        "asset",
-        rounded.cast("int").alias("prediction"),
         F.when(F.col("true_result") == rounded, "correct").otherwise("wrong").alias("result"),
         F.when(rounded == 0, "sell").when(rounded == 1, "buy").alias("signal"),
+        rounded.cast("int").alias("prediction"),
+        *["asset", "model_type", "id", "true_result"],
     )
 
 

@@ -82,7 +82,10 @@ def guarded_select(
     args: Mapping[str, object] | None = None,
     path: str | None = None,
 ) -> DataFrame:
-    """Run a parameterised query; the caller must say how many rows are wanted at most."""
+    """Run a parameterised query; the caller must say how many rows it gives at most. More are an error, none is cut."""
     if limit < 1:
         raise ValueError("limit must be positive")
-    return spark.sql(statement_text(query, path), args=dict(args or {})).limit(limit)
+    found = spark.sql(statement_text(query, path), args=dict(args or {}))
+    if found.limit(limit + 1).count() > limit:
+        raise ValueError(f"the query gives more than {limit} rows")
+    return found

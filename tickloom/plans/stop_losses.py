@@ -25,7 +25,9 @@ def trailing_orders(positions: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-def protective_orders(positions: DataFrame, orders: DataFrame, **ladder: float) -> DataFrame:
-    """Stop order to place for every position without one; positions past the last rung are left out."""
-    found = missing_stops(positions, orders, **ladder).filter(F.col("stop_price").isNotNull())
-    return found.select("position_id", "order_side", F.lit("STOP_MARKET").alias("order_type"), "stop_price", "quantity")
+def protective_orders(positions: DataFrame, orders: DataFrame, **ladder: float) -> tuple[DataFrame, DataFrame]:
+    """Stop order to place for every position without one, and the open positions past the last rung, which get none."""
+    found = missing_stops(positions, orders, **ladder)
+    placed = found.filter(F.col("stop_price").isNotNull())
+    order = placed.select("position_id", "order_side", F.lit("STOP_MARKET").alias("order_type"), "stop_price", "quantity")
+    return order, found.filter(F.col("stop_price").isNull()).select("position_id", "order_side", "quantity")

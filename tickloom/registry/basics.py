@@ -120,6 +120,30 @@ def balance_of_many(spark, folder):
     return pos.with_account_balance(views.entry_requests(spark, folder), views.balances(spark, folder))
 
 
+@query(
+    "p13_leverage_of_symbol",
+    with_views(
+        "entry_requests positions",
+        """ select r.* exclude (leverage), k.leverage from entry_requests r
+        left join (select symbol, min(leverage) as leverage from positions group by symbol) k on r.symbol = k.symbol""",
+    ),
+)
+def leverage_of_symbol(spark, folder):
+    return pos.with_symbol_leverage(views.entry_requests(spark, folder).drop("leverage"), views.positions(spark, folder))
+
+
+@query(
+    "f2_nearest_large",
+    """select l_orderkey, l_linenumber, l_extendedprice * 40000 + l_discount / 7 as value,
+    cast(printf('%.6f', l_extendedprice * 40000 + l_discount / 7) as double) as six,
+    cast(printf('%.7f', l_extendedprice * 40000 + l_discount / 7) as double) as seven from lineitem""",
+)
+def nearest_large(spark, folder):
+    value = F.col("l_extendedprice") * 40000 + F.col("l_discount") / 7
+    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", value.alias("value"))
+    return numbers.with_nearest(numbers.with_nearest(rows, {"six": F.col("value")}, 6), {"seven": F.col("value")}, 7)
+
+
 @query("f1_round", with_views("predictions", " select raw_data_id, model_type, round(prediction) as rounded, cast(round(prediction) as integer) as as_int from predictions"))
 def rounding(spark, folder):
     rounded = numbers.whole(F.col("prediction"))
@@ -327,13 +351,13 @@ def preview(spark, folder):
     return views.ticks(spark, folder).select("id", "asset", "price").orderBy("id").limit(10)
 
 
-@query("u1_concatenate", with_views("ticks", " select id, asset, price, cast(asset = 'view' as int) as flag from ticks where asset in ('view', 'click', 'purchase')"))
+@query("u1_concatenate", with_views("ticks", " select id, asset, price, cast(asset = 'view' as int) as flag from ticks"))
 def concatenate(spark, folder):
     rows = views.ticks(spark, folder).select("id", "asset", "price")
+    viewed = F.col("asset") == "view"
     frames = [
-        rows.filter(F.col("asset") == "view").withColumn("flag", F.lit(1)),
-        rows.filter(F.col("asset") == "click").withColumn("flag", F.lit(0)).select("flag", "price", "asset", "id"),
-        rows.filter(F.col("asset") == "purchase").withColumn("flag", F.lit(0)),
+        rows.filter(viewed).withColumn("flag", F.lit(1)),
+        rows.filter(~viewed).withColumn("flag", F.lit(0)).select("flag", "price", "asset", "id"),
     ]
     first, *others = frames
     for frame in others:

@@ -13,33 +13,29 @@ from tickloom.plans import model_weights
 from tickloom.registry import views
 from tickloom.registry.book import query
 from tickloom.registry.views import AS_OF, with_views
+from tickloom.session import written
 
 RECENT = f"""select *, lag(price) over (partition by asset order by scraped_timestamp desc, id desc) - price as diff,
     row_number() over (partition by asset order by scraped_timestamp desc, id desc) as rn
     from ticks where scraped_date >= date '{AS_OF}' - 1"""
 EVERY = "select *, lag(price) over (partition by asset order by scraped_timestamp desc, id desc) - price as diff from ticks"
 LABEL = "case when diff > 0 then 1 when diff < 0 then 0 end as true_result"
-JUDGED = """select a.id, a.true_result, a.scraped_timestamp, p.model_type, a.asset,
-    cast(round(p.prediction) as integer) as prediction,
-    case when a.true_result = round(p.prediction) then 'correct' else 'wrong' end as result,
-    case when round(p.prediction) = 0 then 'sell' when round(p.prediction) = 1 then 'buy' end as signal
-    from actual a left join predictions p on a.id = p.raw_data_id
-    where p.prediction is not null and a.true_result is not null"""
-ACCURACY = """select t.model_type, t.asset, c.corrected_prediction, t.total_predicted,
-    cast(c.corrected_prediction as double) / cast(t.total_predicted as double) as accuracy
-    from (select model_type, asset, count(1) as corrected_prediction from judged where result = 'correct' group by all) c
-    left join (select model_type, asset, count(1) as total_predicted from judged group by all) t
-    on c.model_type = t.model_type and c.asset = t.asset"""
-WEIGHT = """select a.model_type, a.asset, a.corrected_prediction, a.total_predicted, round(a.accuracy, 9) as accuracy,
-    round(a.accuracy / s.total, 9) as weight
-    from accuracy a join (select asset, sum(accuracy) as total from accuracy group by asset) s on a.asset = s.asset"""
-
-
-def _weights_sql(moves: str, keep: str) -> str:
+JUDGED = """select asset, model_type, id, true_result, cast(guess as integer) as prediction,
+    ['sell', 'buy'][cast(guess as integer) + 1] as signal, if(guess = true_result, 'correct', 'wrong') as result
+    from (select raw_data_id, model_type, round(prediction) as guess from predictions) g join actual on actual.id = g.raw_data_id
+    where guess + true_result is not null"""
+ACCURACY = """select *, corrected_prediction / total_predicted as accuracy from (
+    select asset, model_type, count(*) as total_predicted, count(*) filter (where result = 'correct') as corrected_prediction
+    from judged group by asset, model_type) where corrected_prediction > 0"""
+WEIGHT = """select * replace (round(accuracy, 9) as accuracy), round(accuracy / sum(accuracy) over (partition by asset), 9) as weight
+    from accuracy"""
+
+
+def _weights_sql(moves: str, keep: str, weight: str = WEIGHT) -> str:
     return with_views(
         "ticks predictions",
         f""", moves as ({moves}), actual as (select *, {LABEL} from moves where {keep}),
-        judged as ({JUDGED}), accuracy as ({ACCURACY}) {WEIGHT}""",
+        judged as ({JUDGED}), accuracy as ({ACCURACY}) {weight}""",
     )
 
 
@@ -116,11 +112,13 @@ def predictions_of_evaluated_ticks(spark, folder):
     with_views("ticks predictions", f", moves as ({EVERY}), actual as (select *, {LABEL} from moves), judged as ({JUDGED}) {ACCURACY}"),
 )
 def correct_counts_with_totals(spark, folder):
-    """The two aggregates and the join as written; ``a2`` gives the same in one pass."""
-    rows = actual_with_prediction(spark, folder)
+    """Totals joined to the counts that are not zero: the rows are counted once, and the small counts are joined."""
     keys = ["model_type", "asset"]
-    totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_predicted"))
-    correct = rows.filter(F.col("result") == "correct").groupBy(*keys).agg(F.count(F.lit(1)).alias("corrected_prediction"))
+    right = F.count_if(F.col("result") == "correct").alias("corrected_prediction")
+    rows = actual_with_prediction(spark, folder).groupBy(*keys).agg(F.count(F.lit(1)).alias("total_predicted"), right)
+    counts = written(rows, "counts")
+    totals = counts.select(*keys, "total_predicted")
+    correct = counts.select(*keys, "corrected_prediction").filter("corrected_prediction > 0")
     accuracy = F.col("corrected_prediction").cast("double") / F.col("total_predicted").cast("double")
     return correct.join(totals, keys, "left").withColumn("accuracy", accuracy)
 

@@ -202,10 +202,12 @@ def overwrite(spark, folder):
 
 @query(
     "s11_stored_weights",
-    evaluation._weights_sql(evaluation.RECENT, "rn <= 15").replace(
-        "select a.model_type, a.asset, a.corrected_prediction, a.total_predicted, round(a.accuracy, 9) as accuracy,\n    round(a.accuracy / s.total, 9) as weight",
-        "select a.model_type, a.asset, cast(a.corrected_prediction as int) as corrected_prediction, cast(a.total_predicted as int) as total_predicted,"
-        " round(cast(cast(a.accuracy as float) as double), 5) as accuracy, round(cast(cast(a.accuracy / s.total as float) as double), 5) as weight",
+    evaluation._weights_sql(
+        evaluation.RECENT,
+        "rn <= 15",
+        """select asset, model_type, cast(total_predicted as int) as total_predicted,
+        cast(corrected_prediction as int) as corrected_prediction, round(cast(cast(accuracy as float) as double), 5) as accuracy,
+        round(cast(cast(accuracy / sum(accuracy) over (partition by asset) as float) as double), 5) as weight from accuracy""",
     ),
 )
 def stored_weights(spark, folder):
@@ -217,14 +219,14 @@ def stored_weights(spark, folder):
     return stored.withColumns({c: F.round(F.col(c).cast("double"), 5) for c in ("accuracy", "weight")})
 
 
-@query("s12_guarded_select", with_views("ticks", " select asset, scraped_date, count(1) as n from ticks where price > 10 group by all order by asset, scraped_date limit 100"))
+@query("s12_guarded_select", with_views("ticks", " select asset, scraped_date, count(1) as n from ticks where price > 10 group by all"))
 def guarded(spark, folder):
     views.ticks(spark, folder).createOrReplaceTempView("ticks_guarded")
     text = (
         "SELECT asset, scraped_date, count(1) AS n FROM ticks_guarded WHERE price > :floor"
-        " GROUP BY asset, scraped_date ORDER BY asset, scraped_date"
+        " GROUP BY asset, scraped_date"
     )
-    return guarded_select(spark, text, limit=100, args={"floor": 10.0})
+    return guarded_select(spark, text, limit=100_000, args={"floor": 10.0})
 
 
 WEIGHTS_STATEMENT = """
@@ -315,7 +317,7 @@ def csv_export(spark, folder):
 def json_export(spark, folder):
     path = scratch_path(spark, "json")
     landing.export_records(staging.tick_records(spark, folder).drop("id"), path)
-    return spark.read.schema(landing.TICK_SCHEMA).json(path)
+    return spark.read.schema(landing.TICK_SCHEMA).json(path).drop("by_asset")
 
 
 @query("s17_landed_files", "select cast(sum(n) as bigint) as files, cast(sum(records) as bigint) as records from (select (case when count(1) filter (event_id % 5000 = 0) > 0 then 1 else 0 end + case when count(1) filter (event_id % 5000 <> 0) > 0 then 1 else 0 end) as n, count(1) as records from events group by event_id // 5000)")

@@ -75,7 +75,7 @@ def positions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def open_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """Three orders per position of the upper priorities, at one time; some stops lack a price."""
+    """Three orders per position, at one time; some stops lack a price."""
     key = F.col("o_orderkey")
     legs = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(f).alias("f")) for n, f in [(0, 1.02), (1, 0.99), (2, 1.01)]])
     kind = (
@@ -85,8 +85,7 @@ def open_orders(spark: SparkSession, folder: str) -> DataFrame:
         .when((F.col("leg.n") == 2) & (key % 2 == 0), "STOP_MARKET")
         .otherwise("LIMIT")
     )
-    upper = table(spark, folder, "orders").filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "3-MEDIUM"))
-    return upper.withColumn("leg", F.explode(legs)).select(
+    return table(spark, folder, "orders").withColumn("leg", F.explode(legs)).select(
         (key * 3 + F.col("leg.n")).alias("order_id"),
         key.alias("position_id"),
         kind.alias("type"),
@@ -192,8 +191,7 @@ SQL = {
              when n = 1 and o_orderkey % 3 = 1 then 'STOP_MARKET' when n = 2 and o_orderkey % 2 = 0 then 'STOP_MARKET'
              else 'LIMIT' end as type,
         case when o_orderkey % 5 <> 0 then o_totalprice / 100 * leg.f end as stop_price, o_orderdate as order_time
-        from orders cross join (values (0, cast(1.02 as double)), (1, cast(0.99 as double)), (2, cast(1.01 as double))) as leg(n, f)
-        where o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM')""",
+        from orders cross join (values (0, cast(1.02 as double)), (1, cast(0.99 as double)), (2, cast(1.01 as double))) as leg(n, f)""",
     "marks": """select event_id as mark_id, user_id as position_id,
         cast(case when user_id % 2 = 0 then 1 else -1 end as double) as position_amt, cast(50 as double) as entry_price,
         value as mark_price, cast(1 + user_id % 20 as int) as leverage, ts as mark_time from events""",

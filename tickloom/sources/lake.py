@@ -74,13 +74,22 @@ def insert_to_table(
 def _insert(df: DataFrame, table: str, mode: str) -> None:
     spark = df.sparkSession
     partitions = partition_columns(spark, table)
-    rows = df.select(*spark.table(table).columns)
+    rows = _fitting(df, table)
     rows = rows.hint("rebalance", *partitions) if partitions else rows
     dynamic = mode == "overwrite_partitions" and bool(partitions)
     with _overwriting(spark, "dynamic" if dynamic else "static"):
         rows.write.mode("append" if mode == "append" else "overwrite").insertInto(table)
 
 
+def _fitting(df: DataFrame, table: str) -> DataFrame:
+    """The columns of ``df`` in the table's order. Columns the table does not have are an error, nothing is dropped."""
+    columns = df.sparkSession.table(table).columns
+    unknown = [name for name in df.columns if name.lower() not in {known.lower() for known in columns}]
+    if unknown:
+        raise ValueError(f"{table} has no column {', '.join(unknown)}")
+    return df.select(*columns)
+
+
 @contextmanager
 def _overwriting(spark: SparkSession, mode: str) -> Iterator[None]:
     """Set the overwrite mode of catalog tables, which they take from the session only, for one write."""
@@ -109,18 +118,18 @@ def delete_insert(df: DataFrame, table: str, conditions: Sequence[str | Column])
 
 def _replace(spark: SparkSession, table: str, conditions: Sequence[str | Column], new: DataFrame | None) -> None:
     doomed = F.coalesce(all_of(conditions), F.lit(False))
-    current, columns = spark.table(table), spark.table(table).columns
+    current = spark.table(table)
     partitions = partition_columns(spark, table)
     if not partitions:
         result = current.filter(~doomed)
-        result = result if new is None else result.unionByName(new.select(*columns))
+        result = result if new is None else result.unionByName(_fitting(new, table))
         _insert(written(result, "replaced"), table, "overwrite")
         return
     hit = current.filter(all_of(conditions)).select(*partitions).distinct()
     touched = hit if new is None else hit.union(new.select(*partitions)).distinct()
     touched = written(touched, "touched")
     result = _within(current, touched, partitions).filter(~doomed)
-    result = result if new is None else result.unionByName(new.select(*columns))
+    result = result if new is None else result.unionByName(_fitting(new, table))
     result = written(result, "replaced")
     _insert(result, table, "overwrite_partitions")
     kept = result.select(*partitions).distinct()

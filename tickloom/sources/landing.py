@@ -55,5 +55,5 @@ def ticker_records(payloads: DataFrame, scraped_at: Column) -> DataFrame:
 
 
 def export_records(records: DataFrame, folder: str) -> None:
-    """Write records as JSON, one folder per asset; Spark sizes the files."""
-    records.write.partitionBy("asset").json(folder)
+    """Write records as JSON, one folder per asset; Spark sizes the files. The record keeps its ``asset``."""
+    records.withColumn("by_asset", F.col("asset")).write.partitionBy("by_asset").json(folder)

@@ -16,9 +16,10 @@ from tickloom.sources.landing import TICK_SCHEMA, typed_ticks
 def landing_stream(spark: SparkSession, folder: str, archive: str | None = None, schema: str = TICK_SCHEMA) -> DataFrame:
     """Tick records of a landing folder, each file once.
 
-    The checkpoint remembers processed files. With ``archive`` a file moves there when a later batch commits.
+    The checkpoint remembers processed files. A file that does not parse fails the batch, as in a batch read, so that it
+    neither counts as processed nor lands as empty rows. With ``archive`` a file moves there when a later batch commits.
     """
-    reader = spark.readStream.schema(schema).option("multiLine", True)
+    reader = spark.readStream.schema(schema).option("multiLine", True).option("mode", "FAILFAST")
     if archive is not None:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     return typed_ticks(reader.json(folder))
