@@ -134,6 +134,7 @@ def test_ratchet_never_goes_back(spark, small_partitions):
         F.col("id").alias("mark_id"),
         (F.col("id") % 2).alias("position_id"),
         F.when(F.col("id") % 2 == 0, 1.0).otherwise(-1.0).alias("position_amt"),
+        F.lit(0).alias("opened_at"),
         F.lit(100.0).alias("entry_price"),
         (100 + 30 * F.sin(F.col("id") / 50)).alias("mark_price"),
         F.lit(5).alias("leverage"),
@@ -149,6 +150,41 @@ def test_ratchet_never_goes_back(spark, small_partitions):
     assert len(rows) == 2000
 
 
+MARK = "mark_id long, position_id long, position_amt double, entry_price double, mark_price double, leverage int, mark_time int"
+
+
+def test_a_stop_ends_with_its_position(spark):
+    rows = [(1, 1, 1.0, 100.0, 110.0, 5, 1), (2, 1, 0.0, 0.0, 110.0, 5, 2), (3, 1, 1.0, 50.0, 50.5, 5, 3), (4, 1, -1.0, 50.0, 45.0, 5, 4)]
+    marks = pos.with_opening(spark.createDataFrame(rows, MARK))
+    found = {r.mark_id: (r.opened_at and tuple(r.opened_at), r.stop) for r in pos.ratchet(marks).collect()}
+    assert found[1][0] == (1, 1) and found[1][1] > 100
+    assert found[2] == (None, None)
+    assert found[3][0] == (3, 3) and 50 < found[3][1] < 50.5
+    assert found[4][0] == (4, 4) and found[4][1] < 50
+
+
+def test_openings_equal_a_walk_over_each_position(spark, small_partitions):
+    source = random.Random(5)
+    rows = [(i, 0 if source.random() < 0.8 else source.randint(1, 5), source.choice([1.0, 1.0, 1.0, -1.0, 0.0]), 1.0, 1.0, 1, i // 3)
+            for i in range(3000)]
+    expected, held = {}, {}
+    for i, position, amount, *_, time in rows:
+        side, opened = held.get(position, (0.0, None))
+        if amount != side:
+            opened = (time, i) if amount else None
+        held[position] = (amount, opened)
+        expected[i] = opened
+    found = pos.with_opening(spark.createDataFrame(rows, MARK).repartition(8)).collect()
+    assert {r.mark_id: r.opened_at and tuple(r.opened_at) for r in found} == expected
+
+
+def test_oldest_stop_order_is_found_by_hash_aggregation(spark):
+    rows = [(3, 1, "STOP", 9.0, None), (2, 1, "STOP", 8.0, 0), (5, 2, "STOP", None, 7), (4, 2, "STOP_MARKET", 6.0, 7), (1, 2, "LIMIT", 1.0, 1)]
+    first = pos.first_stop_orders(spark.createDataFrame(rows, ORDER))
+    assert {tuple(r) for r in first.collect()} == {(1, 3, 9.0), (2, 4, 6.0)}
+    assert "SortAggregate" not in first._jdf.queryExecution().executedPlan().toString()
+
+
 def test_requests_without_price_or_leverage_are_rejected_and_stop_nothing(spark):
     rows = [(1, "LONG", 100.0, 10, 50.0), (2, "LONG", 0.0, 10, 50.0), (3, "SHORT", 100.0, 0, 50.0), (4, "SHORT", None, 5, 50.0)]
     requests = spark.createDataFrame(rows, "request_id int, direction string, price double, leverage int, available_balance double")

@@ -4,6 +4,7 @@ import datetime
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import keyed, pnl, positions
@@ -25,10 +26,10 @@ def stream(spark, path, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def run(updates, target, checkpoint):
-    query = changes.write_changes(updates, target, checkpoint)
+def run(frame, target, checkpoint, merge):
+    query = changes.write_parts(frame, target, checkpoint, merge)
     query.awaitTermination()
-    return query
+    assert query.exception() is None
 
 
 def rows(frame):
@@ -37,60 +38,87 @@ def rows(frame):
 
 def test_latest_items_over_batches_restart_and_compaction(spark):
     keys, order = ["asset", "model_type"], ["updated_at", "seq"]
+    merge = jobs.latest_items(keys, order)
     puts = views.kv_puts(spark, SMALL)
     path, target, checkpoint = (scratch_path(spark, n) for n in ("puts", "changes", "offsets"))
     add_files(spark, path, puts.filter("seq < 600"), "seq", 3)
-    first = run(jobs.latest_item_updates(stream(spark, path, puts.schema), keys, order), target, checkpoint)
-    assert len(os.listdir(target)) >= 3 and first.exception() is None
-    assert rows(changes.current(spark, target, keys)) == rows(keyed.latest_per_key(puts.filter("seq < 600"), keys, order))
-    base = scratch_path(spark, "base")
-    changes.compact(spark, target, keys, base)
+    run(stream(spark, path, puts.schema), target, checkpoint, merge)
+    assert len(os.listdir(target)) >= 3
+    early = rows(keyed.latest_per_key(puts.filter("seq < 600"), keys, order))
+    assert rows(changes.current(spark, target, merge)) == early
+    changes.compact(spark, target, merge)
+    assert rows(changes.current(spark, target, merge)) == early
     add_files(spark, path, puts.filter("seq >= 600"), "seq", 3)
-    run(jobs.latest_item_updates(stream(spark, path, puts.schema), keys, order), target, checkpoint)
+    run(stream(spark, path, puts.schema), target, checkpoint, merge)
     expected = rows(keyed.latest_per_key(puts, keys, order))
-    assert rows(changes.current(spark, target, keys)) == expected
-    assert rows(changes.current(spark, target, keys, base=base)) == expected
-    again = scratch_path(spark, "base")
-    changes.compact(spark, target, keys, again, base=base)
-    assert rows(changes.current(spark, target, keys, base=again)) == expected
-
-
-def test_a_batch_that_runs_again_counts_once(spark):
-    target = scratch_path(spark, "changes")
-    batch = spark.createDataFrame([("a", 1)], "k string, v int")
-    for _ in range(2):
-        batch.write.mode("overwrite").parquet(f"{target}/batch=0")
-    assert rows(changes.current(spark, target, ["k"])) == ["Row(k='a', v=1)"]
+    assert rows(changes.current(spark, target, merge)) == expected
+    last = changes.compact(spark, target, merge)
+    assert rows(changes.current(spark, target, merge)) == expected
+    assert changes.compact(spark, target, merge) == last
+
+
+def test_expired_items_go_and_folders_stay_few(spark):
+    schema = "k int, v int, updated_at timestamp_ntz, seq long, expiration_time long"
+    merge, target = jobs.latest_items(["k"], ["updated_at", "seq"]), scratch_path(spark, "changes")
+    moment = datetime.datetime(2024, 1, 1)
+    for number in range(20):
+        batch = spark.createDataFrame([(number, number, moment, number, number), (-1, number, moment, number, None)], schema)
+        merge(batch).coalesce(1).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        if number % 4 == 3:
+            changes.compact(spark, target, merge, keep=lambda items, now=number - 2: keyed.live(items, F.lit(now)))
+            assert sum(name.startswith(("batch=", "upto=")) for name in os.listdir(target)) <= 6
+    kept = {(r.k, r.v) for r in changes.current(spark, target, merge).collect()}
+    assert kept == {(-1, 19), (18, 18), (19, 19)}
+
+
+def test_a_batch_that_runs_again_counts_once_and_an_unfinished_one_not_at_all(spark):
+    merge, target = jobs.add_up, scratch_path(spark, "changes")
+    batch = spark.createDataFrame([(datetime.date(2024, 1, 1), 1, 2.0, 1)], "day date, symbol long, pnl double, entries long")
+    for number in (0, 0, 1):
+        merge(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+    os.remove(f"{target}/batch=1/_SUCCESS")
+    assert [r.pnl for r in changes.current(spark, target, merge).collect()] == [2.0]
+    changes.compact(spark, target, merge)
+    merge(batch).write.mode("overwrite").parquet(f"{target}/batch=0")
+    assert [r.pnl for r in changes.current(spark, target, merge).collect()] == [2.0]
+    merge(batch).write.mode("overwrite").parquet(f"{target}/batch=1")
+    assert [r.pnl for r in changes.current(spark, target, merge).collect()] == [4.0]
+
+
+def test_no_finished_batch_is_an_error(spark):
+    with pytest.raises(ValueError, match="no finished batch"):
+        changes.current(spark, scratch_path(spark, "changes"), jobs.add_up)
 
 
 def test_stops_over_batches_equal_the_last_of_the_history(spark):
     marks = views.marks(spark, SMALL)
     path, target, checkpoint = (scratch_path(spark, n) for n in ("marks", "changes", "offsets"))
-    add_files(spark, path, marks, "mark_id")
-    run(jobs.stop_updates(stream(spark, path, marks.schema)), target, checkpoint)
-    history = positions.ratchet(marks).filter(F.col("stop").isNotNull())
-    last = history.groupBy("position_id", "side").agg(F.max_by("stop", F.struct("mark_time", "mark_id")).alias("stop"))
-    assert rows(changes.current(spark, target, ["position_id", "side"])) == rows(last)
+    add_files(spark, path, marks, F.col("mark_id") % 7)
+    run(jobs.scored_marks(stream(spark, path, marks.schema)), target, checkpoint, jobs.best_stops)
+    stopped = positions.ratchet(marks).groupBy("position_id")
+    last = stopped.agg(F.max_by(F.struct("side", "stop"), F.struct("mark_time", "mark_id")).alias("last")).select("position_id", "last.*")
+    actual = jobs.stops_in_force(changes.current(spark, target, jobs.best_stops))
+    assert rows(actual) == rows(last.filter("stop IS NOT NULL"))
 
 
 def test_daily_profit_over_batches_includes_the_open_day(spark):
     income = views.income(spark, SMALL)
     path, target, checkpoint = (scratch_path(spark, n) for n in ("income", "changes", "offsets"))
     add_files(spark, path, income, "income_time")
-    run(jobs.daily_pnl_updates(stream(spark, path, income.schema)), target, checkpoint)
-    actual = changes.current(spark, target, ["day", "symbol"]).withColumn("pnl", F.round("pnl", 6))
+    run(jobs.pnl_entries(stream(spark, path, income.schema)), target, checkpoint, jobs.add_up)
+    actual = changes.current(spark, target, jobs.add_up).withColumn("pnl", F.round("pnl", 6))
     assert rows(actual) == rows(pnl.daily_pnl(income).withColumn("pnl", F.round("pnl", 6)))
 
 
-def test_income_later_than_the_watermark_is_left_out(spark):
+def test_late_income_counts(spark):
     schema = "event_id long, symbol long, income_type string, income double, income_time timestamp_ntz"
     path, target, checkpoint = (scratch_path(spark, n) for n in ("income", "changes", "offsets"))
-    for number, day in enumerate([1, 9, 2, 8]):
+    for number, day in enumerate([1, 9, 2, 8, 1]):
         row = [(number, 1, "REALIZED_PNL", 1.0, datetime.datetime(2024, 1, day))]
         spark.createDataFrame(row, schema).coalesce(1).write.mode("append").parquet(path)
-        run(jobs.daily_pnl_updates(stream(spark, path, schema)), target, checkpoint)
-    days = {r["day"].day for r in changes.current(spark, target, ["day", "symbol"]).collect()}
-    assert days == {1, 9, 8}
+        run(jobs.pnl_entries(stream(spark, path, schema)), target, checkpoint, jobs.add_up)
+    days = {(r["day"].day, r["pnl"], r["entries"]) for r in changes.current(spark, target, jobs.add_up).collect()}
+    assert days == {(1, 2.0, 2), (2, 1.0, 1), (9, 1.0, 1), (8, 1.0, 1)}
 
 
 def test_landing_takes_each_file_once_and_archives(spark, tmp_path):

@@ -7,13 +7,18 @@ A position has ``position_id, symbol, position_amt, entry_price, mark_price, lev
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import market
+from tickloom.functions.moments import ordinal
 from tickloom.functions.numbers import floor_to, with_nearest
-from tickloom.operators.segments import with_running_max
+from tickloom.operators.segments import with_previous, with_running_max
+
+# Below every ordinal: an order without a time is the oldest.
+_BEFORE_ALL_TIMES = Decimal(-(10**37))
 
 
 def with_roi(positions: DataFrame) -> DataFrame:
@@ -23,18 +28,12 @@ def with_roi(positions: DataFrame) -> DataFrame:
 
 
 def first_stop_orders(orders: DataFrame, types: Sequence[str] = ("STOP_MARKET", "STOP")) -> DataFrame:
-    """Oldest open stop order of each position, combined before the shuffle."""
-    order = F.struct("order_id", F.coalesce("stop_price", F.lit(0.0)).alias("stop_price"))
-    return (
-        orders.filter(F.col("type").isin(*types))
-        .groupBy("position_id")
-        .agg(F.min_by(order, F.struct("order_time", "order_id")).alias("first"))
-        .select(
-            "position_id",
-            F.col("first.order_id").alias("stop_order_id"),
-            F.col("first.stop_price").alias("current_stop"),
-        )
-    )
+    """Oldest open stop order of each position, combined before the shuffle in hash aggregation. Order ids are numbers."""
+    number = F.col("order_id").cast("decimal(19,0)")
+    age = F.coalesce(ordinal(F.col("order_time"), F.col("order_id")), F.lit(_BEFORE_ALL_TIMES) + number)
+    price = F.coalesce("stop_price", F.lit(0.0))
+    first = [F.min_by("order_id", age).alias("stop_order_id"), F.min_by(price, age).alias("current_stop")]
+    return orders.filter(F.col("type").isin(*types)).groupBy("position_id").agg(*first)
 
 
 def without_stop(positions: DataFrame, orders: DataFrame) -> DataFrame:
@@ -197,11 +196,31 @@ def towards_profit(price: Column, position_side: Column) -> Column:
     return F.when(position_side == "LONG", price).otherwise(-price)
 
 
+def with_opening(marks: DataFrame) -> DataFrame:
+    """Add ``opened_at``, the time and id of the mark that opened the position anew; null while it is flat.
+
+    For feeds that do not say when a position was opened: the first mark opens, and so does each whose side differs from the one
+    before, which a flat mark does too.
+    """
+    order = ["mark_time", "mark_id"]
+    sided = marks.withColumn("side", market.side(F.col("position_amt")))
+    turned = with_previous(sided, ["position_id"], order, "side", "previous_side")
+    opens = F.col("side").isNotNull() & ~F.col("side").eqNullSafe(F.col("previous_side"))
+    openings = turned.withColumn("opening", F.when(opens, F.struct(*order)))
+    history = with_running_max(openings, ["position_id"], order, "opening", "opened_at")
+    opened = F.when(F.col("side").isNotNull(), F.col("opened_at"))
+    return history.withColumn("opened_at", opened).drop("previous_side", "opening", "side")
+
+
 def ratchet(marks: DataFrame) -> DataFrame:
-    """Stop in force after each mark: it only ever moves in the direction of profit."""
-    signed = stop_candidates(marks).filter(F.col("side").isNotNull())
+    """Stop in force after each mark: it only ever moves in the direction of profit, and ends with the position.
+
+    ``opened_at`` tells a position from an earlier one under the same id; its values grow (:func:`with_opening` finds them).
+    Flat marks have no stop.
+    """
+    signed = stop_candidates(marks)
     signed = signed.withColumn("score", towards_profit(F.col("candidate"), F.col("side")))
-    history = with_running_max(signed, ["position_id", "side"], ["mark_time", "mark_id"], "score", "best")
+    history = with_running_max(signed, ["position_id", "opened_at", "side"], ["mark_time", "mark_id"], "score", "best")
     return history.withColumn("stop", towards_profit(F.col("best"), F.col("side"))).drop("score", "best")
 
 

@@ -21,34 +21,52 @@ def land_files(spark, folder):
     return spark.read.parquet(target).drop("scraped_date")
 
 
-def _run(updates, keys):
-    spark = updates.sparkSession
+def _run(rows, merge):
+    spark = rows.sparkSession
     target = scratch_path(spark, "changes")
-    changes.write_changes(updates, target, scratch_path(spark, "offsets")).awaitTermination()
-    return changes.current(spark, target, keys)
+    changes.write_parts(rows, target, scratch_path(spark, "offsets"), merge).awaitTermination()
+    return changes.current(spark, target, merge)
 
 
 @query("t2_daily_pnl_stream", evaluation.DAILY)
 def daily_pnl_stream(spark, folder):
     income = views.streamed(spark, folder, "events").select(*views.income_columns())
-    return _run(jobs.daily_pnl_updates(income), ["day", "symbol"]).withColumn("pnl", F.round("pnl", 6))
+    return _run(jobs.pnl_entries(income), jobs.add_up).withColumn("pnl", F.round("pnl", 6))
 
 
 @query(
     "t3_stop_stream",
     with_views(
         "marks",
-        f""", {trading.CANDIDATES} select position_id, side, case when side = 'LONG' then max(candidate) else min(candidate) end as stop
-        from c where candidate is not null group by position_id, side""",
+        f""", {trading.CANDIDATES}, newest as (select position_id, opened_at, side from (
+            select *, row_number() over (partition by position_id order by mark_time desc, mark_id desc) as rn from c)
+            where rn = 1 and side is not null)
+        select c.position_id, c.side, case when c.side = 'LONG' then max(candidate) else min(candidate) end as stop
+        from c join newest n on c.position_id = n.position_id and c.opened_at = n.opened_at and c.side = n.side
+        where candidate is not null group by c.position_id, c.side""",
     ),
 )
 def stop_stream(spark, folder):
     marks = views.streamed(spark, folder, "events").select(*views.mark_columns())
-    return _run(jobs.stop_updates(marks), ["position_id", "side"])
+    return jobs.stops_in_force(_run(jobs.scored_marks(marks), jobs.best_stops))
 
 
 @query("t4_latest_item_stream", with_views("kv_puts", f", {keyvalue.STATE} select * from state"))
 def latest_item_stream(spark, folder):
+    return _run(_streamed_puts(spark, folder), jobs.latest_items(keyvalue.KEYS, keyvalue.ORDER))
+
+
+@query(
+    "t4_live_items_after_compaction",
+    with_views("kv_puts", f", {keyvalue.STATE} select * from state where expiration_time is null or expiration_time > {keyvalue.NOW}"),
+)
+def live_items_after_compaction(spark, folder):
+    merge, target = jobs.latest_items(keyvalue.KEYS, keyvalue.ORDER), scratch_path(spark, "changes")
+    changes.write_parts(_streamed_puts(spark, folder), target, scratch_path(spark, "offsets"), merge).awaitTermination()
+    changes.compact(spark, target, merge, keep=lambda items: keyed.live(items, F.lit(keyvalue.NOW)))
+    return changes.current(spark, target, merge)
+
+
+def _streamed_puts(spark, folder):
     puts = views.streamed(spark, folder, "events").select(*views.kv_columns())
-    stamped = keyed.stamped(puts, F.col("updated_at"), F.col("expire_days")).drop("expire_days")
-    return _run(jobs.latest_item_updates(stamped, keyvalue.KEYS, keyvalue.ORDER), keyvalue.KEYS)
+    return keyed.stamped(puts, F.col("updated_at"), F.col("expire_days")).drop("expire_days")

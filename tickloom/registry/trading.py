@@ -198,7 +198,7 @@ CANDIDATES = f"""levels(trigger, lock) as (values {LEVELS}),
         "marks",
         f""", {CANDIDATES} select mark_id, position_id, side, candidate,
         case when side = 'LONG' then max(candidate) over w else min(candidate) over w end as stop
-        from c window w as (partition by position_id, side order by mark_time, mark_id rows unbounded preceding)""",
+        from c window w as (partition by position_id, opened_at, side order by mark_time, mark_id rows unbounded preceding)""",
     ),
 )
 def stop_ratchet(spark, folder):

@@ -95,17 +95,19 @@ def open_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def marks(spark: SparkSession, folder: str) -> DataFrame:
-    """Successive mark prices of one position per user."""
+    """Successive mark prices of one position per user, opened anew every day on a side by turns, flat from 22:00."""
     return table(spark, folder, "events").select(*mark_columns())
 
 
 def mark_columns() -> list:
-    user = F.col("user_id")
+    user, day, is_open = F.col("user_id"), F.dayofmonth("ts"), F.hour("ts") < 22
+    amount = F.when((user + day) % 2 == 0, 1.0).otherwise(-1.0)
     return [
         F.col("event_id").alias("mark_id"),
         user.alias("position_id"),
-        F.when(user % 2 == 0, 1.0).otherwise(-1.0).alias("position_amt"),
-        F.lit(50.0).alias("entry_price"),
+        F.when(is_open, amount).otherwise(0.0).alias("position_amt"),
+        F.when(is_open, F.to_date("ts").cast("timestamp_ntz")).alias("opened_at"),
+        (40 + day % 3 * 10).cast("double").alias("entry_price"),
         F.col("value").alias("mark_price"),
         (1 + user % 20).cast("int").alias("leverage"),
         F.col("ts").alias("mark_time"),
@@ -193,7 +195,9 @@ SQL = {
         case when o_orderkey % 5 <> 0 then o_totalprice / 100 * leg.f end as stop_price, o_orderdate as order_time
         from orders cross join (values (0, cast(1.02 as double)), (1, cast(0.99 as double)), (2, cast(1.01 as double))) as leg(n, f)""",
     "marks": """select event_id as mark_id, user_id as position_id,
-        cast(case when user_id % 2 = 0 then 1 else -1 end as double) as position_amt, cast(50 as double) as entry_price,
+        cast(case when hour(ts) >= 22 then 0 when (user_id + day(ts)) % 2 = 0 then 1 else -1 end as double) as position_amt,
+        case when hour(ts) < 22 then cast(cast(ts as date) as timestamp) end as opened_at,
+        cast(40 + day(ts) % 3 * 10 as double) as entry_price,
         value as mark_price, cast(1 + user_id % 20 as int) as leverage, ts as mark_time from events""",
     "entry_requests": """select o_orderkey as request_id, o_custkey as account, o_custkey as symbol,
         case o_orderstatus when 'O' then 'LONG' when 'F' then 'SHORT' else 'HOLD' end as direction,

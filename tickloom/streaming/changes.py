@@ -1,59 +1,100 @@
-"""Results of update-mode streams, kept as changes.
+"""Results of streams, kept as parts that add up.
 
-Every micro-batch writes the keys it changed, with their new values, into its own ``batch`` folder. A batch
-that is run again overwrites its folder, so each change counts once. The current result is the newest change
-of every key. The state store holds the running values, so no batch reads earlier output.
+Every micro-batch writes one combined row per key it touched into its own ``batch`` folder. A *merge* is an aggregate
+over such rows that gives rows of the same columns, so parts of parts add up to the whole: sums, maxima, newest items.
+The result is the merge of all parts. Nothing is held between batches, so no row is too late and no state grows, and a
+batch that is run again overwrites its folder and counts once. Only folders that Spark has marked as finished are read.
+
+:func:`compact` merges the finished batches into one ``upto`` folder and bounds what a read takes: the keys of the
+newest such folder and those of the batches after it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tickloom.operators.keyed import latest_per_key
+Merge = Callable[[DataFrame], DataFrame]
+
+_BATCH, _BASE = "batch", "upto"
 
 
-def write_changes(updates: DataFrame, folder: str, checkpoint: str, **trigger) -> StreamingQuery:
+def write_parts(rows: DataFrame, folder: str, checkpoint: str, merge: Merge, **trigger) -> StreamingQuery:
     """Start the stream; by default it takes what is there and ends."""
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        merge(batch).write.mode("overwrite").parquet(f"{folder}/{_BATCH}={number}")
 
     return (
-        updates.writeStream.outputMode("update")
-        .foreachBatch(save)
+        rows.writeStream.foreachBatch(save)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
-def current(spark: SparkSession, folder: str, keys: Sequence[str], base: str | None = None) -> DataFrame:
-    """Newest value of every key, combined before the shuffle.
+def current(spark: SparkSession, folder: str, merge: Merge) -> DataFrame:
+    """The result of all finished batches."""
+    return merge(_read(spark, _parts(spark, folder)[1]))
+
+
+def compact(spark: SparkSession, folder: str, merge: Merge, keep: Merge | None = None) -> int:
+    """Merge all finished batches into a new base, while the stream may go on, and return its number.
 
-    With ``base``, a folder written by :func:`compact`, only the batches after it are read from ``folder``.
+    ``keep`` leaves rows out of the base, such as expired items. Of the older folders those go that the base before this
+    one had made superfluous, so a reader that has just listed its folders still finds them.
     """
-    changes = spark.read.parquet(folder)
-    if base is not None:
-        start = spark.read.parquet(base)
-        last = start.agg(F.max("batch")).first()[0]
-        changes = start.unionByName(changes.filter(F.col("batch") > last))
-    return latest_per_key(changes, keys, ["batch"]).drop("batch")
+    base, parts = _parts(spark, folder)
+    numbers = [number for number, _ in parts]
+    last = max(numbers)
+    if last != base:
+        rows = merge(_read(spark, parts))
+        rows = rows if keep is None else keep(rows)
+        rows.write.mode("overwrite").parquet(f"{folder}/{_BASE}={last}")
+        _remove_until(spark, folder, base)
+    return last
 
 
-def compact(spark: SparkSession, folder: str, keys: Sequence[str], target: str, base: str | None = None) -> None:
-    """Write the current result to ``target`` as the base of later reads, while the stream may go on.
+def _parts(spark: SparkSession, folder: str) -> tuple[int | None, list[tuple[int, str]]]:
+    """Number of the newest finished base, and that base and the finished batches after it, each with its path."""
+    bases = _finished(spark, folder, _BASE)
+    base = max(bases, default=None)
+    parts = [] if base is None else [(base, bases[base])]
+    parts += [(number, path) for number, path in _finished(spark, folder, _BATCH).items() if base is None or number > base]
+    if not parts:
+        raise ValueError(f"{folder} holds no finished batch")
+    return base, parts
 
-    The newest batch is left out: the stream may still be writing it.
-    """
-    changes = spark.read.parquet(folder)
-    newest = changes.agg(F.max("batch")).first()[0]
-    settled = changes.filter(F.col("batch") < newest)
-    if base is not None:
-        settled = settled.unionByName(spark.read.parquet(base))
-    last = settled.agg(F.max("batch")).first()[0]
-    if last is not None:
-        latest_per_key(settled, keys, ["batch"]).withColumn("batch", F.lit(last)).write.parquet(target)
+
+def _read(spark: SparkSession, parts: Sequence[tuple[int, str]]) -> DataFrame:
+    return spark.read.parquet(*[path for _, path in parts])
+
+
+def _finished(spark: SparkSession, folder: str, kind: str) -> dict[int, str]:
+    """Folders of a kind by number; the writer marks a folder when all its files are in place."""
+    found = _matching(spark, f"{folder}/{kind}=*/_SUCCESS")
+    return {_number(path): path.rsplit("/", 1)[0] for path in found}
+
+
+def _remove_until(spark: SparkSession, folder: str, base: int | None) -> None:
+    """Remove the batches that ``base`` contains and the bases before it."""
+    if base is None:
+        return
+    for kind, past in ((_BATCH, base + 1), (_BASE, base)):
+        for path in _matching(spark, f"{folder}/{kind}=*"):
+            if _number(path) < past:
+                target = spark._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _matching(spark: SparkSession, pattern: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [entry.getPath().toString() for entry in found or []]
+
+
+def _number(path: str) -> int:
+    return int(re.search(rf"/(?:{_BATCH}|{_BASE})=(\d+)", path)[1])
