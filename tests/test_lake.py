@@ -1,5 +1,6 @@
 import datetime
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.errors import PySparkException
@@ -172,3 +173,17 @@ def test_columns_the_table_does_not_have_are_an_error(spark):
     with pytest.raises(ValueError, match="extra"):
         lake.delete_insert(rows.selectExpr("*", "1 as extra"), name, ["id = 1"])
     assert spark.table(name).count() == 1
+
+
+def test_threads_of_one_session_do_not_share_an_overwrite_mode(spark, table):
+    other = new_table(spark, "t")
+    lake.insert_to_table(spark.createDataFrame(ROWS, SCHEMA), other, {}, PARTS)
+    row = spark.createDataFrame([(9, 9.0, "a", DAY(2024, 1, 1))], SCHEMA)
+
+    def write(number):
+        mode = "overwrite" if number % 2 else "overwrite_partitions"
+        lake.insert_to_table(row, other if number % 2 else table, {}, PARTS, mode=mode)
+
+    with ThreadPoolExecutor(4) as threads:
+        list(threads.map(write, range(8)))
+    assert ids(spark, table) == [3, 4, 5, 9] and ids(spark, other) == [9]

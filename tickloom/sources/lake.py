@@ -6,6 +6,7 @@ partitions and dropping one removes its files. Changes rewrite only the partitio
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
@@ -23,6 +24,7 @@ MODES = ("append", "overwrite", "overwrite_partitions")
 MAX_BROADCAST_PARTITIONS = 20_000
 _DROPS_PER_STATEMENT = 100
 _OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
+_ONE_MODE_AT_A_TIME = threading.RLock()
 
 
 @dataclass(frozen=True)
@@ -92,13 +94,17 @@ def _fitting(df: DataFrame, table: str) -> DataFrame:
 
 @contextmanager
 def _overwriting(spark: SparkSession, mode: str) -> Iterator[None]:
-    """Set the overwrite mode of catalog tables, which they take from the session only, for one write."""
-    before = spark.conf.get(_OVERWRITE_MODE)
-    spark.conf.set(_OVERWRITE_MODE, mode)
-    try:
-        yield
-    finally:
-        spark.conf.set(_OVERWRITE_MODE, before)
+    """Set the overwrite mode of catalog tables, which they take from the session only, for one write.
+
+    Threads that share a session write one after the other, so none writes in the mode of another.
+    """
+    with _ONE_MODE_AT_A_TIME:
+        before = spark.conf.get(_OVERWRITE_MODE)
+        spark.conf.set(_OVERWRITE_MODE, mode)
+        try:
+            yield
+        finally:
+            spark.conf.set(_OVERWRITE_MODE, before)
 
 
 def delete_all(spark: SparkSession, table: str) -> None:
