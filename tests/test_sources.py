@@ -77,6 +77,16 @@ def test_captured_files_are_read_whole(spark, tmp_path):
     assert [r["asset"] for r in rejected.collect()] == ["C"]
 
 
+def test_files_with_other_names_are_quarantined(spark, tmp_path):
+    for name in ("A_20240131_235959.json", "A_late.json", "notes.json", "A_20241331_000000.json"):
+        (tmp_path / name).write_text(json.dumps([BAR]))
+    (tmp_path / "empty.json").write_text("[]")
+    for unit in (("asset",), ("asset", "scraped_time")):
+        good, rejected = klines.split_by_health(klines.parse_bars(klines.read_captures(spark, str(tmp_path))), unit)
+        assert [r["asset"] for r in good.collect()] == ["A"]
+        assert sorted(r["asset"] for r in rejected.collect()) == ["A_20241331_000000.json", "A_late.json", "empty.json", "notes.json"]
+
+
 RECORD = {"timestamp": "2024-01-01 00:00:05", "asset": "A", "price": "1.5", "source_id": 0, "engine": 0}
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.moments import FILE_FORMAT
 from tickloom.functions.text import base_name
+from tickloom.operators.shaping import all_of
 from tickloom.session import broadcast_if_small, written
 
 # Names and types of the positions of a bar.
@@ -33,11 +34,15 @@ _INTEGERS = ("bigint", "int", "smallint", "tinyint")
 
 
 def read_captures(spark: SparkSession, folder: str) -> DataFrame:
-    """Captured payload files named ``{asset}_{yyyyMMdd_HHmmss}.json``: asset, scrape time and whole text of each."""
+    """Captured payload files named ``{asset}_{yyyyMMdd_HHmmss}.json``: asset, scrape time and whole text of each.
+
+    A file with another name has its name as asset and no scrape time, which makes its bars bad.
+    """
     name = base_name(F.col("_metadata.file_path"))
-    time = F.to_timestamp_ntz(F.regexp_extract(name, _FILE_NAME, 2), F.lit(FILE_FORMAT))
-    return spark.read.option("pathGlobFilter", "*_*.json").text(folder, wholetext=True).select(
-        F.regexp_extract(name, _FILE_NAME, 1).alias("asset"), time.alias("scraped_time"), F.col("value").alias("payload")
+    time = F.try_to_timestamp(F.regexp_extract(name, _FILE_NAME, 2), F.lit(FILE_FORMAT)).cast("timestamp_ntz")
+    asset = F.when(time.isNotNull(), F.regexp_extract(name, _FILE_NAME, 1)).otherwise(name)
+    return spark.read.text(folder, wholetext=True).select(
+        asset.alias("asset"), time.alias("scraped_time"), F.col("value").alias("payload")
     )
 
 
@@ -45,17 +50,18 @@ def parse_bars(payloads: DataFrame, types: Mapping[str, str] = BAR_TYPES) -> Dat
     """One row per bar with ``bad`` telling whether it does not fit ``types``.
 
     ``payloads`` has ``asset``, ``scraped_time`` and ``payload``. Text that is not a list of lists, a bar of
-    the wrong length, a value that does not cast and a null in an integer column are bad. A bad payload
-    without any readable bar gives one bad row, so that it is seen.
+    the wrong length, a value that does not cast, a null in an integer column and every bar without an asset or a
+    scrape time are bad. A bad payload without any readable bar gives one bad row, so that it is seen.
     """
     parsed = payloads.withColumn("bars", F.from_json("payload", "array<array<string>>"))
     readable = F.col("bars").isNotNull()
     bar = F.explode_outer("bars").alias("bar")
     rows = parsed.select("asset", "scraped_time", readable.alias("readable"), (F.size("bars") > 0).alias("filled"), bar)
-    rows = rows.filter(~F.col("readable") | F.col("filled"))
+    unnamed = F.col("asset").isNull() | F.col("scraped_time").isNull()
+    rows = rows.filter(~F.col("readable") | F.col("filled") | unnamed)
     values = {name: F.get("bar", i).try_cast(kind) for i, (name, kind) in enumerate(types.items())}
     flawed = [_flawed(F.get("bar", i), kind) for i, kind in enumerate(types.values())]
-    bad = ~F.col("readable") | F.col("bar").isNull() | (F.size("bar") != len(types)) | F.greatest(*flawed)
+    bad = ~F.col("readable") | F.col("bar").isNull() | (F.size("bar") != len(types)) | F.greatest(*flawed) | unnamed
     return rows.select(
         *[value.alias(name) for name, value in values.items()], "scraped_time", "asset", F.coalesce(bad, F.lit(True)).alias("bad")
     )
@@ -77,8 +83,9 @@ def split_by_health(bars: DataFrame, unit: Sequence[str] = ("asset",)) -> tuple[
     bars = written(bars, "bars")
     failed = broadcast_if_small(written(bars.filter("bad").select(*unit).distinct(), "failed"), MAX_BROADCAST_UNITS)
     columns = [name for name in bars.columns if name != "bad"]
-    good = bars.join(failed, list(unit), "left_anti").select(*columns)
-    quarantined = bars.join(failed, list(unit), "left_semi").select(*columns)
+    same = all_of([bars[name].eqNullSafe(failed[name]) for name in unit])
+    good = bars.join(failed, same, "left_anti").select(*columns)
+    quarantined = bars.join(failed, same, "left_semi").select(*columns)
     return good, quarantined
 
 
