@@ -115,3 +115,31 @@ def test_toxicity_without_labels_or_documents(spark):
     some = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (None, 1, 1), (1, None, 0)], labels.schema)
     assert toxicity.toxicity(docs, some).count() == 2
     assert toxicity.toxicity(docs.limit(0), some).count() == 0
+
+
+def test_toxic_documents_of_every_language_are_found_on_held_out_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    found = {}
+    for fold in range(4):
+        judged = toxicity.toxicity(docs, labels.filter(f"doc_id % 4 <> {fold}"))
+        held = judged.join(labels.filter(f"doc_id % 4 = {fold}"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+        for r in held.select("lang", "toxic", "rejected").collect():
+            found.setdefault((r.lang, r.toxic), []).append(r.rejected)
+    print({key: (sum(rejected), len(rejected)) for key, rejected in sorted(found.items())})
+    for lang, recall in (("de", 0.95), ("en", 0.93), ("es", 0.9), ("fr", 0.95)):
+        assert np.mean(found[lang, 1]) >= recall and np.mean(found[lang, 0]) < 0.01, lang
+
+
+def test_a_sign_before_ever_other_endings_is_learned(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("aeiostrné") for _ in range(n))
+    rows = []
+    for key in range(400):
+        text = [word(rng.randint(4, 9)) for _ in range(rng.randint(20, 200))]
+        signs = 1 + len(text) // 30 if key % 4 == 0 else 0
+        rows.append((key, " ".join([*text, *("Réeux" + word(5) for _ in range(signs))]), int(key % 4 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, t) for k, _, t in rows if k % 8 > 3], "doc_id long, quality int, toxic int")
+    rejected = {r.doc_id for r in toxicity.toxicity(docs, labels).filter("rejected").collect()}
+    assert rejected == {k for k, _, t in rows if t}

@@ -1,8 +1,10 @@
 """Toxicity by a classifier chain: linear models for one category after the other.
 
-Each model sees the words of a text (present or not, as 64-bit hashes) and the probabilities of the categories before
-it. A later model is trained on out-of-fold probabilities of the earlier ones, so that it learns how far they can be
-trusted on texts they have not seen. A model keeps only words whose share differs clearly between its two classes, so
+Each model sees the words of a text and their beginnings of four to seven characters (as 64-bit hashes), each with its
+damped share of the text's words, and the probabilities of the categories before it. Beginnings find signs that stand
+before ever other endings, each full word too rare to learn; shares tell a text full of a sign from a long one that has
+it by chance. A later model is trained on out-of-fold probabilities of the earlier ones, so that it learns how far they
+can be trusted on texts they have not seen. A model keeps only features that clearly more texts of one class have, so
 that a long text is not judged by the many words that say nothing. Models are fitted on a bounded sample of labelled
 rows; all rows are scored.
 """
@@ -11,57 +13,86 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.scan import LOWERED, Slice, mixed, slices, table, words
+from tickloom.llm.scan import LOWERED, Slice, mixed, slices, span_hashes, table, words
 from tickloom.llm.workers import ship, tidied
 from tickloom.session import written
 
 #: Most labelled documents a chain is fitted on: those with the smallest hash of their key.
 MAX_SAMPLE = 12_000
 FOLDS, ROUNDS, RATE, PENALTY = 3, 300, 0.5, 1e-4
-#: A word counts for a category if this many sample texts have it and its shares differ by so many deviations.
+#: A word or beginning counts for a category if this many sample texts have it and its shares differ by so many deviations.
 MIN_TEXTS, MIN_DEVIATIONS = 4, 6.0
+#: Characters of the beginnings, and the factor of a share before it is damped by a logarithm.
+BEGINNINGS, SHARE_SCALE = (4, 5, 6, 7), 20.0
 
 _SEPARATORS = table(bytes(b for b in range(128) if not chr(b).isalnum()))
 
 
-def features(part: Slice) -> tuple[np.ndarray, np.ndarray]:
-    """Owner and hash of the different words of each text, by owner."""
-    found = words(LOWERED[part.bytes], part.offsets, _SEPARATORS)
-    owner = np.repeat(np.arange(len(part.offsets) - 1), found.counts)
-    order = np.lexsort((found.hashes, owner))
-    owner, hashes = owner[order], found.hashes[order]
+def features(part: Slice, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, hash and damped share of the different words and beginnings of each text, by owner.
+
+    With ``known`` (sorted hashes) only of those. A word is a beginning of itself; characters are those of UTF-8.
+    """
+    data = LOWERED[part.bytes]
+    found = words(data, part.offsets, _SEPARATORS, hashed=False)
+    leading = (data & 0xC0) != 0x80
+    places = np.append(np.flatnonzero(leading), len(data))
+    before = np.concatenate([[0], np.cumsum(leading)])
+    text = np.repeat(np.arange(len(part.offsets) - 1), found.counts)
+    starts, ends, owner, kind = [found.starts], [found.ends], [text], [np.zeros(len(text), np.uint64)]
+    for size in BEGINNINGS:
+        at = before[found.starts] + size
+        fits = at <= before[found.ends]
+        starts.append(found.starts[fits])
+        ends.append(np.minimum(places[at[fits]], found.ends[fits]))
+        owner.append(text[fits])
+        kind.append(np.full(len(owner[-1]), size, np.uint64))
+    owner, kind = np.concatenate(owner), np.concatenate(kind)
+    hashes = span_hashes(data.astype(np.uint64) + np.uint64(1), np.concatenate(starts), np.concatenate(ends))
+    hashes = np.where(kind > 0, mixed(hashes + kind * np.uint64(0x9E3779B97F4A7C15)), hashes)
+    if known is not None:
+        hit = _places(known, hashes)[0]
+        owner, hashes = owner[hit], hashes[hit]
+    order = np.lexsort((hashes, owner))
+    owner, hashes = owner[order], hashes[order]
     new = np.ones(len(owner), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
-    return owner[new], hashes[new]
+    times = np.diff(np.append(np.flatnonzero(new), len(owner)))
+    owner = owner[new]
+    return owner, hashes[new], np.log1p(SHARE_SCALE * times / found.counts[owner]).astype(np.float32)
+
+
+def _places(known: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which hashes are among the known (sorted) ones, and their numbers there."""
+    if not len(known):
+        return np.zeros(len(hashes), bool), np.empty(0, int)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    hit = known[at] == hashes
+    return hit, at[hit]
 
 
 @dataclass
 class Linear:
-    """Logistic model: weights of its words (sorted hashes), a weight per earlier category, and a constant."""
+    """Logistic model: weights of its words and beginnings (sorted hashes), a weight per earlier category, and a constant."""
 
     words: np.ndarray
     weights: np.ndarray
     earlier: np.ndarray
     constant: float
 
-    def known(self, owner: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Owner and number in the model of the words it knows."""
-        if not len(self.words):
-            return owner[:0], np.empty(0, int)
-        at = np.minimum(np.searchsorted(self.words, feature), len(self.words) - 1)
-        hit = self.words[at] == feature
-        return owner[hit], at[hit]
-
-    def score(self, owner: np.ndarray, feature: np.ndarray, before: np.ndarray) -> np.ndarray:
-        own, at = self.known(owner, feature)
-        sums = np.bincount(own, weights=self.weights[at], minlength=len(before))
+    def score(self, owner: np.ndarray, feature: np.ndarray, values: np.ndarray, before: np.ndarray) -> np.ndarray:
+        hit, at = _places(self.words, feature)
+        sums = np.bincount(owner[hit], weights=self.weights[at] * values[hit], minlength=len(before))
         return _logistic(sums + before @ self.earlier + self.constant)
 
 
@@ -70,7 +101,7 @@ def _logistic(sums: np.ndarray) -> np.ndarray:
 
 
 def telling_words(owner: np.ndarray, feature: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Sorted hashes of the words whose share of texts differs clearly between the classes."""
+    """Sorted hashes of the words and beginnings whose share of texts differs clearly between the classes."""
     different, which = np.unique(feature, return_inverse=True)
     with_it = np.bincount(which, minlength=len(different))
     positive = np.bincount(which, weights=labels[owner], minlength=len(different))
@@ -83,16 +114,16 @@ def telling_words(owner: np.ndarray, feature: np.ndarray, labels: np.ndarray) ->
     return different[(with_it >= MIN_TEXTS) & (deviations >= MIN_DEVIATIONS)]
 
 
-def fit_linear(owner: np.ndarray, feature: np.ndarray, before: np.ndarray, labels: np.ndarray) -> Linear:
+def fit_linear(owner: np.ndarray, feature: np.ndarray, values: np.ndarray, before: np.ndarray, labels: np.ndarray) -> Linear:
     """Logistic regression by full-batch steps with a rate per weight; the same result on every run."""
     telling = telling_words(owner, feature, labels)
     width, count = len(telling), len(labels)
-    model = Linear(telling, np.zeros(width), np.zeros(before.shape[1]), 0.0)
-    own, at = model.known(owner, feature)
+    hit, at = _places(telling, feature)
+    own = owner[hit]
     others = np.column_stack([before, np.ones(count)])
     rows = np.concatenate([own, np.repeat(np.arange(count), others.shape[1])])
     columns = np.concatenate([at, np.tile(np.arange(others.shape[1]) + width, count)])
-    values = np.concatenate([np.ones(len(own)), others.ravel()])
+    values = np.concatenate([values[hit], others.ravel()])
     weights, total = np.zeros(width + others.shape[1]), np.zeros(width + others.shape[1])
     for _ in range(ROUNDS):
         errors = _logistic(np.bincount(rows, weights=weights[columns] * values, minlength=count)) - labels
@@ -102,28 +133,38 @@ def fit_linear(owner: np.ndarray, feature: np.ndarray, before: np.ndarray, label
     return Linear(telling, weights[:width], weights[width:-1], float(weights[-1]))
 
 
-def fit_chain(owner: np.ndarray, feature: np.ndarray, keys: np.ndarray, labels: np.ndarray) -> list[Linear]:
-    """One model per column of ``labels``; folds follow from a hash of the key."""
+def _folds(keys: np.ndarray) -> np.ndarray:
+    return (mixed(keys.astype(np.int64).view(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
+
+
+def fit_chain(
+    owner: np.ndarray, feature: np.ndarray, keys: np.ndarray, labels: np.ndarray, values: np.ndarray | None = None
+) -> list[Linear]:
+    """One model per column of ``labels``; folds follow from a hash of the key. Without ``values`` each counts as 1."""
     count = len(labels)
-    fold = (mixed(keys.astype(np.int64).view(np.uint64)) % np.uint64(FOLDS)).astype(int)
+    values = np.ones(len(feature), np.float32) if values is None else values
+    fold = _folds(keys)
     before, models = np.empty((count, 0)), []
     for k in range(labels.shape[1]):
-        models.append(fit_linear(owner, feature, before, labels[:, k]))
+        models.append(fit_linear(owner, feature, values, before, labels[:, k]))
         held = np.zeros(count)
         for f in range(FOLDS if k + 1 < labels.shape[1] else 0):
             learned, own = fold != f, np.cumsum(fold != f) - 1
             if learned.any():
                 use = learned[owner]
-                model = fit_linear(own[owner[use]], feature[use], before[learned], labels[learned, k])
-                held[~learned] = model.score(owner, feature, before)[~learned]
+                model = fit_linear(own[owner[use]], feature[use], values[use], before[learned], labels[learned, k])
+                held[~learned] = model.score(owner, feature, values, before)[~learned]
         before = np.column_stack([before, held])
     return models
 
 
-def apply_chain(models: list[Linear], owner: np.ndarray, feature: np.ndarray, count: int) -> np.ndarray:
+def apply_chain(
+    models: list[Linear], owner: np.ndarray, feature: np.ndarray, count: int, values: np.ndarray | None = None
+) -> np.ndarray:
+    values = np.ones(len(feature), np.float32) if values is None else values
     before = np.empty((count, 0))
     for model in models:
-        before = np.column_stack([before, model.score(owner, feature, before)])
+        before = np.column_stack([before, model.score(owner, feature, values, before)])
     return before
 
 
@@ -135,7 +176,7 @@ def train_chain(
     text: str = "text",
     max_sample: int = MAX_SAMPLE,
 ) -> list[Linear]:
-    """Fit a chain on at most ``max_sample`` labelled rows, whose features come to the driver.
+    """Fit a chain on at most ``max_sample`` labelled rows, whose telling features come to the driver.
 
     ``labels`` has the key and a 0/1 column per category; rows with a null are not used, nor keys without a text.
     Of labels that repeat a key the largest counts. Without any usable row there are no models.
@@ -145,31 +186,74 @@ def train_chain(
     unique = usable.groupBy("key").agg(*[F.max(c).alias(c) for c in categories])
     sample = written(unique.orderBy(F.xxhash64("key"), "key").limit(max_sample), "sample")
 
+    names = ["key", "number", *categories]
+    number = F.col("key").cast("long") if isinstance(documents.schema[key].dataType, T.IntegralType) else F.xxhash64("key")
+
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                owner, feature = features(part)
-                borders = np.searchsorted(owner, np.arange(len(part.offsets))).astype(np.int32)
-                own = pa.ListArray.from_arrays(pa.array(borders), pa.array(feature.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.rows.column(0), own], ["key", "features"])
+                owner, feature, values = features(part)
+                fold = pa.array(_folds(np.asarray(part.rows.column(1), np.int64)))
+                lists = _lists(owner, feature, values, part.rows.num_rows)
+                yield pa.RecordBatch.from_arrays([*part.rows.columns[:-1], fold, *lists], [*names, "fold", "features", "values"])
 
-    schema = T.StructType([T.StructField("key", documents.schema[key].dataType)])
-    schema = schema.add("features", T.ArrayType(T.LongType()))
     named = documents.select(documents[key].alias("key"), documents[text].alias("text")).dropna()
-    extracted = named.join(F.broadcast(sample.select("key")), "key", "left_semi").mapInArrow(tidied(extract), schema)
-    rows = extracted.join(F.broadcast(sample), "key").toArrow().combine_chunks().sort_by("key")
+    chosen = named.join(F.broadcast(sample), "key").withColumn("number", number).select(*names, "text")
+    lists = [T.StructField("features", T.ArrayType(T.LongType())), T.StructField("values", T.ArrayType(T.FloatType()))]
+    kept = chosen.drop("text").schema.fields
+    schema = T.StructType([*kept, T.StructField("fold", T.LongType()), *lists])
+    extracted = written(chosen.mapInArrow(tidied(extract), schema), "features")
+    known = _telling_anywhere(extracted, categories)
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(batch.num_columns - 2)
+            owner = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(own)))
+            feature, values = np.asarray(own.flatten()).view(np.uint64), np.asarray(batch.column(batch.num_columns - 1).flatten())
+            hit = _places(known, feature)[0]
+            found = _lists(owner[hit], feature[hit], values[hit], batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *found], [*names, "features", "values"])
+
+    few = extracted.drop("fold").mapInArrow(tidied(reduced), T.StructType([*kept, *lists]))
+    rows = few.toArrow().combine_chunks().sort_by("key")
     if not rows.num_rows:
         return []
     lists = rows.column("features").combine_chunks()
     owner = np.repeat(np.arange(rows.num_rows), np.diff(np.asarray(lists.offsets)))
     truth = np.column_stack([np.asarray(rows.column(c), float) for c in categories])
-    return fit_chain(owner, np.asarray(lists.flatten()).view(np.uint64), _numbers(rows.column("key")), truth)
+    values = np.asarray(rows.column("values").combine_chunks().flatten())
+    return fit_chain(owner, np.asarray(lists.flatten()).view(np.uint64), np.asarray(rows.column("number")), truth, values)
+
 
+def _lists(owner: np.ndarray, feature: np.ndarray, values: np.ndarray, count: int) -> list[pa.ListArray]:
+    borders = pa.array(np.searchsorted(owner, np.arange(count + 1)).astype(np.int32))
+    return [pa.ListArray.from_arrays(borders, pa.array(own)) for own in (feature.view(np.int64), values)]
 
-def _numbers(keys: pa.ChunkedArray) -> np.ndarray:
-    if pa.types.is_integer(keys.type):
-        return np.asarray(keys, np.int64)
-    return np.arange(len(keys), dtype=np.int64)
+
+def _telling_anywhere(extracted: DataFrame, categories: Sequence[str]) -> np.ndarray:
+    """Sorted hashes of the features that ``telling_words`` keeps for any category, on all rows or on those of other folds.
+
+    They are counted by an aggregate, so that the driver needs none of the others.
+    """
+    folds = range(FOLDS)
+    counted = [F.count_if(F.col("fold") == f).alias(f"n_{f}") for f in folds]
+    counted += [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"p{k}_{f}") for k, c in enumerate(categories) for f in folds]
+    totals = extracted.agg(*counted).first()
+    tests = []
+    for k in range(len(categories)):
+        for use in [set(folds), *({*folds} - {f} for f in folds)]:
+            n, n1 = sum(totals[f"n_{f}"] for f in use), sum(totals[f"p{k}_{f}"] or 0 for f in use)
+            if not 0 < n1 < n:
+                continue
+            with_it, positive = sum(F.col(f"n_{f}") for f in use), sum(F.col(f"p{k}_{f}") for f in use)
+            spread = F.sqrt(with_it / n * (1 - with_it / n) * (1 / n1 + 1 / (n - n1))) + 1e-12
+            deviations = F.abs(positive / n1 - (with_it - positive) / (n - n1)) / spread
+            tests.append((with_it >= MIN_TEXTS) & (deviations >= MIN_DEVIATIONS - 1e-6))
+    if not tests:
+        return np.empty(0, np.uint64)
+    exploded = extracted.select("fold", *categories, F.explode("features").alias("feature"))
+    telling = exploded.groupBy("feature").agg(*counted).filter(reduce(or_, tests)).select("feature").toArrow()
+    return np.sort(np.asarray(telling.column(0).combine_chunks(), np.int64).view(np.uint64))
 
 
 def predict(
@@ -178,6 +262,7 @@ def predict(
     """Per row: key and ``p_<category>`` for each. Null and empty texts get what the constants say; null without models."""
     ship(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(models)
+    known = np.unique(np.concatenate([model.words for model in models])) if models else None
     names = [f"p_{category}" for category in categories]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +270,8 @@ def predict(
             for part in slices(batch, "text"):
                 count = part.rows.num_rows
                 if shared.value:
-                    found = apply_chain(shared.value, *features(part), count)
+                    owner, feature, values = features(part, known)
+                    found = apply_chain(shared.value, owner, feature, count, values)
                     columns = [pa.array(found[:, k]) for k in range(len(names))]
                 else:
                     columns = [pa.nulls(count, pa.float64())] * len(names)
