@@ -165,6 +165,19 @@ def test_repeated_passages_go_but_the_first_place_stays(spark):
     assert chunks.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_no_passage_of_51_words_is_wholly_missed(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(1500):
+        shared = passage(rng, 51)
+        rows += [(k, f"{passage(rng, 40)} {shared} {passage(rng, 40)}") for k in (2 * i, 2 * i + 1)]
+    got = {r.doc_id: r for r in chunks.repeated_passages(spark.createDataFrame(rows, DOCUMENTS)).collect()}
+    removed = [got[2 * i + 1].n_removed_words for i in range(1500)]
+    print("missed", removed.count(0), "removed", sum(removed) / (51 * len(removed)))
+    assert removed.count(0) == 0 and max(removed) <= 51
+    assert all(got[2 * i].n_removed_words == 0 for i in range(1500))
+
+
 def test_chunks_do_not_depend_on_the_texts_around_and_resist_shifts():
     import pyarrow as pa
 
