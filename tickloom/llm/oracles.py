@@ -65,3 +65,16 @@ bs as (select item_id, unnest(list_distinct(list_transform(range(1, greatest(len
 n as (select item_id, count(*) as n from bs group by item_id)
 select doc_id, item_id, n as n_item_members, count(*) as n_shared, count(*) / n as containment
 from ds join bs using (s) join n using (item_id) group by doc_id, item_id, n having count(*) >= n * 0.8"""
+
+
+URL_FILTER = r"""
+with u as (select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+h as (select page_id, regexp_extract(rest, '^[^/?#]*') as named, rest from u),
+p as (select page_id, translate(named, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(substr(rest, length(named) + 1), '^[^?#]*') as path from h),
+r(rule_host, rule_path, rule_verdict) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+    ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fits as (select page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) as rule,
+    arg_max(rule_verdict, length(rule_host || rule_path)) as verdict
+    from p join r on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path) group by page_id)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from p left join fits using (page_id)"""

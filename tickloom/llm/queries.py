@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import chats, chunks, containment, licenses, line_rules, minhash, oracles, packing, tokens, toxicity, warc
+from tickloom.llm import chats, chunks, containment, licenses, line_rules, minhash, oracles, packing, tokens, toxicity, url_rules, warc, whitening
 from tickloom.registry.book import query
 from tickloom.registry.views import table
 from tickloom.session import scratch_path
@@ -62,3 +62,24 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     return licenses.license_scan(table(spark, folder, "documents")).select(*columns, "expressions", "permissive")
+
+
+@query("op11_embedding_whitening")
+def embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened_embeddings(table(spark, folder, "embeddings"))
+
+
+#: The rules of the task.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+@query("op12_url_filter", oracles.URL_FILTER)
+def url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judged_urls(table(spark, folder, "pages"), rules)
