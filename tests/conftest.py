@@ -9,6 +9,7 @@ import pytest
 ROOT = Path(__file__).resolve().parent.parent
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
+from tickloom.operators.segments import SEGMENT_ROWS  # noqa: E402
 from tickloom.session import build_session  # noqa: E402
 
 
@@ -30,10 +31,8 @@ def spark():
 
 
 @pytest.fixture
-def small_partitions(spark):
-    """Keeps partitions apart that would be merged for being small, so that rows cross partition borders."""
-    name = "spark.sql.adaptive.coalescePartitions.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+def small_buckets(spark):
+    """Cuts keys of more than 20 rows, so that rows cross bucket borders."""
+    spark.conf.set(SEGMENT_ROWS, "20")
     yield
-    spark.conf.set(name, before)
+    spark.conf.unset(SEGMENT_ROWS)

@@ -129,7 +129,7 @@ def test_closing_orders(spark):
     assert [(r["position_id"], r["order_side"], r["quantity"]) for r in orders] == [(1, "SELL", 1.5), (2, "BUY", 2.5)]
 
 
-def test_ratchet_never_goes_back(spark, small_partitions):
+def test_ratchet_never_goes_back(spark, small_buckets):
     marks = spark.range(2000).select(
         F.col("id").alias("mark_id"),
         (F.col("id") % 2).alias("position_id"),
@@ -163,7 +163,7 @@ def test_a_stop_ends_with_its_position(spark):
     assert found[4][0] == (4, 4) and found[4][1] < 50
 
 
-def test_openings_equal_a_walk_over_each_position(spark, small_partitions):
+def test_openings_equal_a_walk_over_each_position(spark, small_buckets):
     source = random.Random(5)
     rows = [(i, 0 if source.random() < 0.8 else source.randint(1, 5), source.choice([1.0, 1.0, 1.0, -1.0, 0.0]), 1.0, 1.0, 1, i // 3)
             for i in range(3000)]

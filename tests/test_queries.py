@@ -25,6 +25,6 @@ def test_entry_gives_weights_that_sum_to_one(spark):
     assert rows and all(abs(total - 1) < 1e-3 for total in sums.values())
 
 
-def test_ordered_queries_across_partition_borders(spark, database, small_partitions):
+def test_ordered_queries_across_bucket_borders(spark, database, small_buckets):
     for name in ("w1_price_move_history", "w1_price_move_with_ties", "w4_stop_ratchet", "a4_model_weights_history"):
         assert differences(entry.queries()[name](spark, SMALL), database, entry.oracle_sql()[name]) == []

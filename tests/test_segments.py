@@ -1,50 +1,118 @@
+import datetime
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.segments import segmented, with_previous, with_running_max
+from tickloom.operators import positions, ticks
+from tickloom.operators.segments import SEGMENT_ROWS, Buckets, with_previous, with_running_max
 
 SCHEMA = "k string, t int, id int, v double"
 
 
+@pytest.fixture(params=[100, 1_000_000])
+def bucket_rows(spark, request):
+    """Buckets of a hundred rows, and one per key."""
+    spark.conf.set(SEGMENT_ROWS, str(request.param))
+    yield request.param
+    spark.conf.unset(SEGMENT_ROWS)
+
+
 def _rows(count, seed=3):
-    """One key holds nearly all rows, most of them at one time; some keys and values are null."""
+    """One key holds nearly all rows, most of them at one time; some keys, times and values are null."""
     source = random.Random(seed)
     rows = []
     for i in range(count):
-        key = source.choices(["hot", "cold", None, "rare"], [90, 5, 3, 2])[0]
-        time = 5 if source.random() < 0.6 else source.randint(0, 9)
+        key = source.choices(["hot", "cold", None, "rare"], [85, 5, 8, 2])[0]
+        time = source.choices([5, source.randint(0, 9), None], [60, 30, 10])[0]
         value = None if source.random() < 0.1 else float(source.randint(0, 10**6))
         rows.append((key, time, i, value))
+    source.shuffle(rows)
     return rows
 
 
-def test_rows_of_one_key_and_time_are_spread(spark, small_partitions):
+def _sorted(frame, like):
+    return sorted(map(str, frame.select(*like.columns).collect()))
+
+
+def test_rows_of_one_key_and_time_are_spread(spark):
+    spark.conf.set(SEGMENT_ROWS, "100")
     frame = spark.createDataFrame(_rows(4000), SCHEMA)
-    parts = segmented(frame, ["k"], ["t", "id"], lambda inside: {"p": F.lag("v").over(inside)})
-    sizes = [row["count"] for row in parts.groupBy("segment").count().collect()]
-    assert len(sizes) == 8 and max(sizes) < 1200
+    buckets = Buckets(frame, ["k"], ["t", "id"])
+    spark.conf.unset(SEGMENT_ROWS)
+    placed = buckets.placed(frame).groupBy("k", "bucket").count().collect()
+    hot = [row["count"] for row in placed if row.k == "hot"]
+    assert 25 <= len(hot) <= 50 and max(hot) < 250
+    assert {row.bucket for row in placed if row.k == "rare"} == {0} and sum(row["count"] for row in placed) == 4000
 
 
-def test_previous_equals_lag(spark, small_partitions):
+@pytest.mark.parametrize("order", [["t", "id"], ["at", "id"], ["at", "odd"]])
+def test_previous_equals_lag(spark, bucket_rows, order):
+    """Also with times, and numbers that lack one value."""
     frame = spark.createDataFrame(_rows(4000), SCHEMA)
+    at = F.timestamp_seconds(F.col("t").cast("long")).cast("timestamp_ntz")
+    frame = frame.withColumns({"at": at, "odd": F.when(F.col("id") != 77, F.col("id") - 2000)})
     for descending in (False, True):
-        order = [F.col(c).desc() if descending else F.col(c) for c in ("t", "id")]
-        expected = frame.withColumn("p", F.lag("v").over(Window.partitionBy("k").orderBy(*order)))
-        actual = with_previous(frame, ["k"], ["t", "id"], "v", "p", descending)
-        assert sorted(map(str, actual.select(*expected.columns).collect())) == sorted(map(str, expected.collect()))
+        by = [F.col(c).desc() if descending else F.col(c) for c in order]
+        expected = frame.withColumn("p", F.lag("v").over(Window.partitionBy("k").orderBy(*by)))
+        actual = with_previous(frame, ["k"], order, "v", "p", descending)
+        assert _sorted(actual, expected) == _sorted(expected, expected)
 
 
-def test_running_max_equals_window(spark, small_partitions):
+def test_running_totals_equal_windows(spark, bucket_rows):
     frame = spark.createDataFrame(_rows(4000), SCHEMA)
     window = Window.partitionBy("k").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
-    expected = frame.withColumn("m", F.max("v").over(window))
-    actual = with_running_max(frame, ["k"], ["t", "id"], "v", "m")
-    assert sorted(map(str, actual.select(*expected.columns).collect())) == sorted(map(str, expected.collect()))
+    expected = frame.withColumns({"m": F.max("v").over(window), "s": F.sum("id").over(window), "n": F.row_number().over(window).cast("long")})
+    buckets = Buckets(frame, ["k"], ["t", "id"])
+    found = buckets.running(buckets.placed(frame), {"m": ("max", "v"), "s": ("sum", "id"), "n": ("sum", F.lit(1))})
+    assert _sorted(buckets.plain(found), expected) == _sorted(expected, expected)
+    alone = with_running_max(frame, ["k"], ["t", "id"], "v", "m")
+    assert _sorted(alone, expected.drop("s", "n")) == _sorted(expected.drop("s", "n"), expected.drop("s", "n"))
 
 
 def test_no_rows_give_no_rows(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert with_previous(empty, ["k"], ["t", "id"], "v", "p").collect() == []
     assert with_running_max(empty, ["k"], ["t", "id"], "v", "m").columns == ["k", "t", "id", "v", "m"]
+
+
+def test_whole_rows_are_shuffled_once_and_not_written(spark, bucket_rows):
+    frame = spark.createDataFrame(_rows(4000), SCHEMA).withColumn("payload", F.lit("x"))
+    for found in (with_previous(frame, ["k"], ["t", "id"], "v", "p"), with_running_max(frame, ["k"], ["t", "id"], "v", "m")):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan and "SortMergeJoin" not in plan
+        assert plan.count("LocalTableScan") + plan.count("Scan ExistingRDD") == 1
+    marks = frame.selectExpr("k as position_id", "timestamp_seconds(t) as mark_time", "cast(id as bigint) as mark_id", "v as position_amt", "payload")
+    opened = positions.with_opening(marks)._jdf.queryExecution().executedPlan().toString()
+    assert opened.count("Exchange hashpartitioning") == 1
+
+
+CLASHES = ["segment", "bucket", "bounds", "first_row", "last_row", "carried", "carried_m", "carried_best", "newer", "rank", "of_asset", "of_position_id",
+           "previous_side", "opening", "score", "best", "rn", "slot", "moment"]
+
+
+@pytest.mark.parametrize("rows", ["10", "100000"])
+@pytest.mark.parametrize("name", ["all_moves", "latest_moves", "latest_ticks", "label_moves", "with_opening", "ratchet", "stop_candidates"])
+def test_columns_of_the_caller_stay(spark, name, rows):
+    """Columns an operator does not name come out as they went in, whatever they are called."""
+    start = datetime.datetime(2024, 1, 1)
+    kinds = ", ".join(f"{c} string" for c in CLASHES)
+    own = [f"own {c}" for c in CLASHES]
+    data = [("a", i, start + datetime.timedelta(seconds=i // 3), float(i % 7), [1.0, -2.0, 0.0][i // 20 % 3], 5, 40.0, float(30 + i % 20), *own) for i in range(120)]
+    base = spark.createDataFrame(data, f"asset string, id bigint, at timestamp_ntz, price double, position_amt double, leverage int, entry_price double, mark_price double, {kinds}")
+    spark.conf.set(SEGMENT_ROWS, rows)
+    try:
+        if name in ("with_opening", "ratchet", "stop_candidates"):
+            frame = base.selectExpr("asset as position_id", "id as mark_id", "at as mark_time", "position_amt", "leverage", "entry_price", "mark_price", *CLASHES)
+            frame = positions.with_opening(frame) if name == "ratchet" else frame
+            found = getattr(positions, name)(frame)
+        else:
+            frame = base.selectExpr("asset", "id", "at as scraped_timestamp", "price", *CLASHES)
+            frame = frame.withColumn("diff", F.lit(1)) if name == "label_moves" else frame
+            found = getattr(ticks, name)(frame, 500) if name.startswith("latest") else getattr(ticks, name)(frame)
+        assert set(frame.columns) <= set(found.columns)
+        got = found.select(*CLASHES).collect()
+        assert len(got) == 120 and all(tuple(row) == tuple(own) for row in got)
+    finally:
+        spark.conf.unset(SEGMENT_ROWS)

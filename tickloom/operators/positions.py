@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import market
 from tickloom.functions.moments import ordinal
 from tickloom.functions.numbers import floor_to, with_nearest
-from tickloom.operators.segments import with_previous, with_running_max
+from tickloom.operators.segments import Buckets, free_name, with_running_max
 
 # Below every ordinal: an order without a time is the oldest.
 _BEFORE_ALL_TIMES = Decimal(-(10**37))
@@ -203,13 +203,15 @@ def with_opening(marks: DataFrame) -> DataFrame:
     before, which a flat mark does too.
     """
     order = ["mark_time", "mark_id"]
-    sided = marks.withColumn("side", market.side(F.col("position_amt")))
-    turned = with_previous(sided, ["position_id"], order, "side", "previous_side")
-    opens = F.col("side").isNotNull() & ~F.col("side").eqNullSafe(F.col("previous_side"))
-    openings = turned.withColumn("opening", F.when(opens, F.struct(*order)))
-    history = with_running_max(openings, ["position_id"], order, "opening", "opened_at")
-    opened = F.when(F.col("side").isNotNull(), F.col("opened_at"))
-    return history.withColumn("opened_at", opened).drop("previous_side", "opening", "side")
+    side, before, opening = (free_name(marks, label) for label in ("side", "previous_side", "opening"))
+    buckets = Buckets(marks, ["position_id"], order)
+    sided = buckets.placed(marks).withColumn(side, market.side(F.col("position_amt")))
+    turned = buckets.previous(sided, side, before)
+    opens = F.col(side).isNotNull() & ~F.col(side).eqNullSafe(F.col(before))
+    openings = turned.withColumn(opening, F.when(opens, F.struct(*order)))
+    history = buckets.running(openings, {"opened_at": ("max", opening)})
+    opened = F.when(F.col(side).isNotNull(), F.col("opened_at"))
+    return buckets.plain(history.withColumn("opened_at", opened).drop(before, opening, side))
 
 
 def ratchet(marks: DataFrame) -> DataFrame:
@@ -219,9 +221,10 @@ def ratchet(marks: DataFrame) -> DataFrame:
     Flat marks have no stop.
     """
     signed = stop_candidates(marks)
-    signed = signed.withColumn("score", towards_profit(F.col("candidate"), F.col("side")))
-    history = with_running_max(signed, ["position_id", "opened_at", "side"], ["mark_time", "mark_id"], "score", "best")
-    return history.withColumn("stop", towards_profit(F.col("best"), F.col("side"))).drop("score", "best")
+    score, best = free_name(signed, "score"), free_name(signed, "best")
+    signed = signed.withColumn(score, towards_profit(F.col("candidate"), F.col("side")))
+    history = with_running_max(signed, ["position_id", "opened_at", "side"], ["mark_time", "mark_id"], score, best)
+    return history.withColumn("stop", towards_profit(F.col(best), F.col("side"))).drop(score, best)
 
 
 def with_account_balance(requests: DataFrame, balances: DataFrame, asset: str = "USDT") -> DataFrame:

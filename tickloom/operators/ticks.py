@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.moments import ordinal
-from tickloom.operators.segments import with_previous
+from tickloom.operators.segments import free_name, with_previous
 
 _ORDER = ("scraped_timestamp", "id")
 
@@ -16,7 +16,8 @@ def latest_ticks(ticks: DataFrame, count: int) -> DataFrame:
 
     The rank filter becomes a group limit below the shuffle: each task sends at most ``count`` rows per asset.
     """
-    return ticks.withColumn("rank", F.row_number().over(_newest_first())).filter(F.col("rank") <= count).drop("rank")
+    rank = free_name(ticks, "rank")
+    return ticks.withColumn(rank, F.row_number().over(_newest_first())).filter(F.col(rank) <= count).drop(rank)
 
 
 def latest_moves(ticks: DataFrame, count: int) -> DataFrame:
@@ -31,8 +32,9 @@ def latest_moves(ticks: DataFrame, count: int) -> DataFrame:
 
 def all_moves(ticks: DataFrame) -> DataFrame:
     """``diff`` for the whole history of every asset, however many ticks an asset has."""
-    moved = with_previous(ticks, ["asset"], _ORDER, "price", "newer", descending=True)
-    return moved.withColumn("diff", F.col("newer") - F.col("price")).drop("newer")
+    newer = free_name(ticks, "newer")
+    moved = with_previous(ticks, ["asset"], _ORDER, "price", newer, descending=True)
+    return moved.withColumn("diff", F.col(newer) - F.col("price")).drop(newer)
 
 
 def label_moves(moves: DataFrame) -> DataFrame:
