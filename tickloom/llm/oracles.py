@@ -78,3 +78,23 @@ fits as (select page_id, arg_max(rule_host || rule_path, length(rule_host || rul
     arg_max(rule_verdict, length(rule_host || rule_path)) as verdict
     from p join r on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path) group by page_id)
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from p left join fits using (page_id)"""
+
+
+CONVERSATION_TRIE = """
+with t as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, [1, 1, 1, 1, 1, 1, 1, 1]),
+    lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))) as t),
+h as (select c, c - c % 5 as base, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(c as varchar), ''), lambda x: ascii(x))),
+    lambda a, b: xor(a >> 8, t[xor(a, b) % 256 + 1])), 4294967295) % 9 as h
+    from (select distinct conv_id as c from conversations where conv_id is not null), t),
+o as (select conv_id as c, list(struct_pack(role := coalesce(role, ''), body := coalesce(text, '')) order by turn nulls first,
+    coalesce(role, ''), coalesce(text, '')) as l from conversations where conv_id is not null group by conv_id),
+r as (select h.c, coalesce(b.l[1:h], []) || coalesce(o.l[h + 1:], []) as l from h join o on o.c = h.c left join o as b on b.c = h.base),
+p as (select c, l[1:d] as k, d, len(l) as n from (select c, l, unnest(range(0, len(l) + 1)) as d from r)),
+node as (select k, d, min(c) as c, count(*) as n, (count(*) - 1) * coalesce(max(strlen(k[d].body)), 0) as own,
+    coalesce(string_agg(cast(c as varchar), ',' order by c) filter (d = n), '') as ends from p group by k, d),
+kids as (select k[1:d - 1] as k, count(*) as n_children from node where d > 0 group by 1),
+above as (select k[1:unnest(range(0, d + 1))] as k, own, k not in (select k from kids) as leaf from node),
+sums as (select k, sum(own) as saved, count(*) filter (leaf) as leaves from above group by k)
+select node.c as conv_id, node.d as depth, up.c as parent_conv_id, node.n as n_convs, coalesce(n_children, 0) as n_children,
+    leaves as n_leaves, cast(saved as bigint) as saved_tokens, sha256(node.ends) as ends_sha256
+from node join sums using (k) left join kids using (k) left join node as up on up.k = node.k[1:node.d - 1] and up.d = node.d - 1"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import chats, chunks, containment, licenses, line_rules, minhash, oracles, packing, tokens, toxicity, url_rules, warc, whitening
+from tickloom.llm import chats, chunks, containment, licenses, line_rules, minhash, oracles, packing, tokens, toxicity, tries, url_rules, warc, whitening
 from tickloom.registry.book import query
 from tickloom.registry.views import table
 from tickloom.session import scratch_path
@@ -83,3 +83,8 @@ URL_RULES = [
 def url_filter(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_rules.judged_urls(table(spark, folder, "pages"), rules)
+
+
+@query("op13_conversation_trie", oracles.CONVERSATION_TRIE)
+def conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return tries.prefix_trie(*tries.rebuilt_conversations(table(spark, folder, "conversations")))
