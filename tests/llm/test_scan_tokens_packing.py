@@ -125,3 +125,30 @@ def test_best_fit_closes_the_fullest_first():
     # The bin with two places left was closed; three and four are left in the others.
     assert bins.place(2) == (2, 7)
     assert bins.place(4) == (0, 6)
+
+
+def test_tokens_of_texts_that_simple_hashes_take_for_equal():
+    from test_duplicates import same_hash_modulo_powers_of_two
+
+    texts = [t for n in (1024, 4096) for t in same_hash_modulo_powers_of_two(n)]
+    texts += [t.translate(str.maketrans("ab", "01")) for t in texts]
+    own, ids = tokens.Encoder(PATH), []
+    for _ in range(2):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+        found = [own.tokens(part) for part in scan.slices(batch, "text")]
+        ids.append([i for f in found for i in f.ids().tolist()])
+    want = [i for x in library_ids(texts) for i in x]
+    assert ids == [want, want]
+
+
+def test_repeated_rows_are_spread_over_tasks_when_packed(spark):
+    """A third of the rows have no id and no text."""
+    rows = spark.range(60_000).selectExpr("if(id % 3 = 0, null, id) as doc_id", "if(id % 3 = 0, 1, 1 + id % 50) as length")
+    packed = packing.best_fit(rows.selectExpr("doc_id", "0 as piece", "length", "1 as number"), pieces_per_task=8000)
+    sizes = [r["count"] for r in packed.groupBy(packed.sequence_id.bitwiseAND(-(1 << 40)).alias("task")).count().collect()]
+    assert packed.columns == ["doc_id", "piece", "length", "number", "sequence_id", "offset"]
+    assert sum(sizes) == 60_000 and len(sizes) == 8 and max(sizes) < 2 * sorted(sizes)[4]
+
+
+def test_packing_an_empty_table(spark):
+    assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0

@@ -15,9 +15,11 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
+#: Moduli and bases of the two hashes of a run. Modulo a power of two a polynomial hash has collisions for every base.
+_MODULI = ((2147483647, 1404928317), (2147483629, 773094113))
+_POWERS: dict[tuple[int, int], np.ndarray] = {}
+#: Sums of this many small values times a power stay below 2**64.
+_SMALL, _LONGEST = 1 << 16, 1 << 16
 
 
 def table(members: bytes) -> np.ndarray:
@@ -77,20 +79,33 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-def _powers(name: str, base: np.uint64, count: int) -> np.ndarray:
-    known = _POWERS.get(name)
-    if known is None or len(known) < count:
-        known = np.full(max(count, SLICE_BYTES + 1), base, np.uint64)
-        known[0] = 1
-        known = _POWERS[name] = np.multiply.accumulate(known)
+def _powers(base: int, modulus: int, count: int) -> np.ndarray:
+    """``base ** i`` modulo the modulus for i below ``count``."""
+    known = _POWERS.get((base, modulus), np.ones(1, np.uint32))
+    while len(known) < count:
+        step = np.uint64(pow(base, len(known), modulus))
+        known = np.concatenate([known, (known * step % np.uint64(modulus)).astype(np.uint32)])
+        _POWERS[base, modulus] = known
     return known[:count]
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each run ``values[start:end]``, the same wherever the run stands; values must not be 0."""
+    """62-bit hash of each run ``values[start:end]``, scrambled, the same wherever the run stands; values must not be 0.
+
+    Two polynomials modulo primes, as differences of running sums. A sum may wrap: the difference of two is right as long
+    as it is below 2**64 itself, so terms are reduced only where values are large or runs long.
+    """
+    small = len(values) > 0 and int(values.max()) < _SMALL and int((ends - starts).max(initial=0)) < _LONGEST
+    result = np.zeros(len(starts), np.uint64)
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _powers("up", _BASE, len(values)), out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * _powers("down", _BASE_INVERSE, len(values) + 1)[starts])
+    for number, base in _MODULI:
+        modulus = np.uint64(number)
+        terms = values if small else values % (modulus - np.uint64(1)) + np.uint64(1)
+        terms = terms * _powers(base, number, len(values))
+        np.cumsum(terms if small else terms % modulus, out=sums[1:])
+        back = _powers(pow(base, -1, number), number, len(values) + 1)[starts]
+        result = (result << np.uint64(31)) | ((sums[ends] - sums[starts]) % modulus * back % modulus)
+    return mixed(result)
 
 
 def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = BLANKS, hashed: bool = True) -> Words:
