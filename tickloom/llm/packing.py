@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tickloom.llm.scan import slices
 from tickloom.llm.tokens import SLICE_BYTES, encoder
 from tickloom.llm.workers import ship, tidied
+from tickloom.operators.segments import free_name
 from tickloom.session import written
 
 CAPACITY = 2048
@@ -127,14 +128,17 @@ def best_fit(
 ) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` of 1 to ``capacity``.
 
-    The pieces come from stable files (:func:`pack` writes them) and are dealt by their hash to tasks of some
-    ``pieces_per_task``; each packs its own, in hash order, with ``open_bins`` open bins. A piece goes into the open
-    bin it leaves least space in; if none fits, a new bin opens, and at the limit the fullest closes first. So memory
-    is that of the open bins, and a task that runs again packs the same way.
+    The pieces are written once with a number each and dealt by the hash of their columns and that number to tasks of some
+    ``pieces_per_task``, so that rows that repeat are spread as well; each task packs its own, in hash order, with
+    ``open_bins`` open bins. A piece goes into the open bin it leaves least space in; if none fits, a new bin opens, and at
+    the limit the fullest closes first. So memory is that of the open bins, and a task that runs again packs the same way.
     """
     ship(pieces.sparkSession)
+    given = pieces.schema.fields
+    number = free_name(pieces, "number")
+    pieces = written(pieces.withColumn(number, F.monotonically_increasing_id()), "pieces")
     tasks = max(1, -(-pieces.count() // pieces_per_task))
-    names = [*pieces.columns, "sequence_id", "offset"]
+    names = [*[field.name for field in given], "sequence_id", "offset"]
     at = pieces.columns.index("length")
 
     def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,12 +146,12 @@ def best_fit(
         first = TaskContext.get().partitionId() << 40
         for batch in batches:
             placed = np.array([bins.place(n) for n in batch.column(at).to_pylist()], np.int64).reshape(-1, 2)
-            columns = [*batch.columns, pa.array(placed[:, 0] + first), pa.array(placed[:, 1])]
+            columns = [*batch.columns[:-1], pa.array(placed[:, 0] + first), pa.array(placed[:, 1])]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     order = F.xxhash64(*[F.col(f"`{name}`") for name in pieces.columns if name != "ids"])
-    dealt = pieces.repartition(tasks, order).sortWithinPartitions(order, *[n for n in pieces.columns if n != "ids"])
-    schema = T.StructType([*pieces.schema.fields]).add("sequence_id", T.LongType()).add("offset", T.LongType())
+    dealt = pieces.repartition(tasks, order).sortWithinPartitions(order, number)
+    schema = T.StructType([*given]).add("sequence_id", T.LongType()).add("offset", T.LongType())
     return dealt.mapInArrow(tidied(pack_rows), schema)
 
 
@@ -156,4 +160,4 @@ def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
 
     Empty tables give no rows. Columns other than key and text are not read.
     """
-    return best_fit(written(token_pieces(df, tokenizer, key, text, **options), "pieces"))
+    return best_fit(token_pieces(df, tokenizer, key, text, **options))
