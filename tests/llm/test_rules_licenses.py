@@ -99,3 +99,22 @@ def test_tags_give_labels_and_scores(spark):
     assert (got[1].labels, got[1].permissive, got[1].score, got[1].n_base) == ("gpl,mit", True, 1.0, 0)
     assert (got[2].labels, got[2].permissive, got[2].score) == ("", None, 0.5)
     assert (got[3].labels, got[3].permissive) == ("gpl,mit", False)
+
+
+def test_a_line_counts_once_per_document_whatever_rows_it_has(spark):
+    line = " ".join(f"word{k}" for k in range(68))
+    rows = [(7, line, "en", "h", 0)] * 30 + [(None, line, "en", "h", 0)] * 30
+    df = spark.createDataFrame(rows, DOCUMENTS).selectExpr("*", "1 as host", "2 as row", "'x' as line_hash")
+    assert {r.n_removed_words for r in line_rules.quality_rules(df).collect()} == {0}
+    assert {r.text for r in line_rules.without_frequent_lines(df).collect()} == {line}
+    more = df.union(spark.createDataFrame([(100 + i, line, "en", "h", 0) for i in range(20)], DOCUMENTS).selectExpr("*", "1 as host", "2 as row", "'x' as line_hash"))
+    assert {r.n_removed_words for r in line_rules.quality_rules(more).collect()} == {68}
+
+
+def test_lines_are_told_apart_where_simple_hashes_agree(spark):
+    from test_duplicates import same_hash_modulo_powers_of_two
+
+    rows = []
+    for n in (1024, 4096):
+        rows += [(n, "\n".join(same_hash_modulo_powers_of_two(n)), "en", "h", 0), (n + 1, "\n".join(" ".join(w) for w in same_hash_modulo_powers_of_two(n)), "en", "h", 0)]
+    assert {r.n_dup_lines for r in line_rules.quality_rules(spark.createDataFrame(rows, DOCUMENTS)).collect()} == {0}

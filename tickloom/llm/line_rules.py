@@ -107,10 +107,16 @@ def scanned_lines(df: DataFrame, key: str, text: str, host: str) -> DataFrame:
 
 
 def frequent_lines(scanned: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """``host, line_hash`` of the lines above the limit; counted inside each task before the shuffle."""
+    """``host, line_hash`` of the lines above the limit; counted inside each task before the shuffle.
+
+    A line counts once for each different key, whatever rows the key has; rows without a key count for none. Where no key
+    repeats, rows are keys and need not be told apart.
+    """
     sizes = scanned.groupBy("host").agg(F.count("*").alias("documents"))
-    lines = scanned.select("host", F.explode("line_hashes").alias("line_hash"))
-    often = lines.groupBy("host", "line_hash").agg(F.count("*").alias("n")).filter(F.col("n") > min_docs)
+    lines = scanned.filter("key is not null").select("host", "key", F.explode("line_hashes").alias("line_hash"))
+    repeats = not scanned.groupBy("key").agg(F.count("*").alias("n")).filter("key is not null and n > 1").isEmpty()
+    counted = F.count_distinct("key") if repeats else F.count("*")
+    often = lines.groupBy("host", "line_hash").agg(counted.alias("n")).filter(F.col("n") > min_docs)
     return often.join(sizes, "host").filter(F.col("n") > F.col("documents") * max_share).select("host", "line_hash")
 
 
@@ -126,9 +132,9 @@ def quality_rules(
     """Per row: key, ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words, kept``.
 
     ``base_failed``: fewer than 50 words, or more than half of them in repeated 3-word windows. ``kept`` is false for
-    those and for depleted documents. Null and empty texts have no words and fail. Each row counts as a document of
-    its own, rows that repeat and rows with a null key too; rows without a host form one host. A document counts once
-    for a line it repeats. Other columns are not read.
+    those and for depleted documents. Null and empty texts have no words and fail. Each row is judged by its own text; for
+    the limit ``min_docs`` a line counts once per key, and rows with a null key not at all, while the share is that of the
+    host's rows. Rows without a host form one host. A document counts once for a line it repeats. Other columns are not read.
     """
     scanned = written(scanned_lines(df, key, text, host).withColumn("row", F.monotonically_increasing_id()), "lines")
     frequent = frequent_lines(scanned, min_docs, max_share)
@@ -163,10 +169,11 @@ def without_frequent_lines(
     ship(df.sparkSession)
     named = df.select(df[key].alias("key"), F.coalesce(df[host].cast("string"), F.lit("")).alias("host"), df[text].alias("text"))
     rows = written(named.withColumn("row", F.monotonically_increasing_id()), "texts")
-    # The key of the scan is the row here, so that rows with equal keys stay apart.
+    # The key of the scan is the row here, so that rows with equal keys stay apart; for the counts it is the key again.
     scanned = written(scanned_lines(rows, "row", "text", "host"), "lines")
     lines = scanned.select(F.col("key").alias("row"), "host", F.explode("line_hashes").alias("line_hash"))
-    unwanted = lines.join(frequent_lines(scanned, min_docs, max_share), ["host", "line_hash"])
+    keyed = scanned.withColumnRenamed("key", "row").join(rows.select("row", "key"), "row")
+    unwanted = lines.join(frequent_lines(keyed, min_docs, max_share), ["host", "line_hash"])
     unwanted = unwanted.groupBy("row").agg(F.collect_list("line_hash").alias("unwanted"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
