@@ -143,3 +143,13 @@ def test_a_sign_before_ever_other_endings_is_learned(spark):
     labels = spark.createDataFrame([(k, 1, t) for k, _, t in rows if k % 8 > 3], "doc_id long, quality int, toxic int")
     rejected = {r.doc_id for r in toxicity.toxicity(docs, labels).filter("rejected").collect()}
     assert rejected == {k for k, _, t in rows if t}
+
+
+def test_the_sample_bounds_rows_not_labels(spark, monkeypatch):
+    rows = [(i % 2, f"text number {i} of many") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as number", "2 as features", "3 as p_toxic")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 1), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda owner, feature, keys, truth, values: seen.append(sorted(keys.tolist())) or [])
+    toxicity.train_chain(docs, toxicity.labelled(labels), toxicity.CATEGORIES, max_sample=3)
+    assert seen == [[0, 1]]

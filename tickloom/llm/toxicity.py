@@ -179,7 +179,8 @@ def train_chain(
     """Fit a chain on at most ``max_sample`` labelled rows, whose telling features come to the driver.
 
     ``labels`` has the key and a 0/1 column per category; rows with a null are not used, nor keys without a text.
-    Of labels that repeat a key the largest counts. Without any usable row there are no models.
+    Of labels that repeat a key the largest counts, of texts that share a key the one with the smallest hash: a key gives
+    one row. Without any usable row there are no models.
     """
     ship(documents.sparkSession)
     usable = labels.select(labels[key].alias("key"), *[labels[c].cast("int").alias(c) for c in categories]).dropna()
@@ -198,7 +199,9 @@ def train_chain(
                 yield pa.RecordBatch.from_arrays([*part.rows.columns[:-1], fold, *lists], [*names, "fold", "features", "values"])
 
     named = documents.select(documents[key].alias("key"), documents[text].alias("text")).dropna()
-    chosen = named.join(F.broadcast(sample), "key").withColumn("number", number).select(*names, "text")
+    # Combined inside each task, so that a key with very many rows sends one text per task.
+    single = named.join(F.broadcast(sample), "key").groupBy("key", *categories).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    chosen = single.withColumn("number", number).select(*names, "text")
     lists = [T.StructField("features", T.ArrayType(T.LongType())), T.StructField("values", T.ArrayType(T.FloatType()))]
     kept = chosen.drop("text").schema.fields
     schema = T.StructType([*kept, T.StructField("fold", T.LongType()), *lists])
@@ -294,7 +297,12 @@ LIMIT = 0.4
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per document ``doc_id, p_low_quality, p_toxic, rejected`` (``p_toxic`` above ``LIMIT``; false without models)."""
+    """Per row of documents ``doc_id, p_low_quality, p_toxic, rejected`` (``p_toxic`` above ``LIMIT``; false without models).
+
+    Null and empty texts are scored by the models' constants, rows that repeat or have a null key each by their own text.
+    Labels with nulls, or of documents that are not there, teach nothing. Other columns are not read; an empty table
+    gives no rows.
+    """
     models = train_chain(documents, labelled(labels), CATEGORIES)
     scored = predict(documents, models, CATEGORIES)
     return scored.withColumn("rejected", F.coalesce(F.col("p_toxic") > LIMIT, F.lit(False)))
