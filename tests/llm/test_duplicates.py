@@ -196,3 +196,58 @@ def test_chunks_do_not_depend_on_the_texts_around_and_resist_shifts():
     assert alone == digests(["noise before", text, "after"], 1)
     shifted = digests([moved], 0)
     assert len(set(alone) & set(shifted)) >= len(alone) - 3
+
+
+def same_hash_modulo_powers_of_two(symbols):
+    """A Thue-Morse word and its complement: their polynomial hashes modulo 2**64 agree for every odd base."""
+    word = "a"
+    while len(word) < symbols:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_texts_are_told_apart_where_simple_hashes_agree(spark):
+    rows = []
+    for n in (1024, 4096):
+        first, second = same_hash_modulo_powers_of_two(n)
+        rows += [(len(rows) + 1, first), (len(rows) + 2, second), (len(rows) + 3, " ".join(first)), (len(rows) + 4, " ".join(second))]
+    df = spark.createDataFrame(rows, DOCUMENTS)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, size=3, percent=85).collect()}
+    assert got == brute(rows, 3, 85)
+
+
+def test_blocks_of_a_hot_band_are_spread_over_tasks(spark):
+    """Two thousand texts of one bucket meet in many blocks; the blocks must not stay in the bucket's task."""
+    base = spark.range(2000).selectExpr("id as key", "id as component", "id % 2 = 1 as minor", "7L as band", "0 as no")
+    sets = base.selectExpr("key", "cast(repeat(char(65 + key % 20), 800) as binary) as shingles")
+    signed = base.selectExpr("key", "100 as n_shingles", "cast(repeat(char(65 + key % 50), 304) as binary) as signature")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = minhash._block_links(base, sets, signed, 85, 76, 4, 1e-6)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        grouped = plan[plan.index("FlatMapGroupsInArrow") :]
+        assert "hashpartitioning(band" in grouped and grouped[grouped.index("hashpartitioning(band") :].startswith("hashpartitioning(band") and ", x#" in grouped.split("hashpartitioning(band")[1][:40]
+        tasks = spark.createDataFrame([(7, x, y) for x in range(4) for y in range(8)], "band long, x int, y int").repartition("band", "x", "y")
+        assert tasks.selectExpr("spark_partition_id() as p").distinct().count() > 1
+        found.count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_ids_repeated_a_thousand_times_are_compared_once(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
+    near = " ".join([*words[:-1], "other"])
+    rows = [(1, " ".join(words))] * 1000 + [(2, near)] * 1000 + [(3, "quite another text of some words")]
+    seen = {}
+
+    def spied(pairs, sets, percent):
+        both = pairs.join(sets.withColumnRenamed("key", "a"), "a").join(sets.select("key").withColumnRenamed("key", "b"), "b")
+        seen["pairs"], seen["comparisons"] = pairs.count(), both.count()
+        return verified(pairs, sets, percent)
+
+    verified = minhash.verified
+    monkeypatch.setattr(minhash, "verified", spied)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, DOCUMENTS), size=3, percent=85).distinct().collect()
+    assert seen == {"pairs": 1, "comparisons": 1}
+    assert {r.doc_id: (r.component_id, r.kept) for r in got} == {1: (1, True), 2: (1, False), 3: (3, True)}

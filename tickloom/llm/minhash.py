@@ -220,7 +220,8 @@ def _block_links(members: DataFrame, sets: DataFrame, sketched: DataFrame, perce
 
     kind = members.schema["key"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    return left.union(right).groupBy("band", "x", "y").applyInArrow(meet, schema)
+    # The union is dealt by band, which would do for the grouping, but leaves all blocks of a bucket in one task.
+    return left.union(right).repartition("band", "x", "y").groupBy("band", "x", "y").applyInArrow(meet, schema)
 
 
 def _root(root: dict, node):
@@ -254,7 +255,8 @@ def near_duplicates(
     ``100 * intersection >= percent * union``. A pair at the threshold is overlooked with probability ``miss`` for the
     bands and as much for each pruning step; links are confirmed on the full sets (of 64-bit shingle hashes). Null and
     empty texts have an empty set and are linked with nothing. Rows that share a key are each judged by
-    their own text; rows with a null key take part in nothing, are their own and are kept. Other columns are not read.
+    their own text, and equal sets under one key are compared once; rows with a null key take part in nothing, are
+    their own and are kept. Other columns are not read.
     """
     threshold = percent / 100
     bands = bands_for(threshold, rows, miss)
@@ -262,14 +264,18 @@ def near_duplicates(
     sketched = written(sketches(df, key, text, size, hashes), "sketches")
     filled = sketched.filter((F.col("n_shingles") > 0) & F.col("key").isNotNull())
     classes = filled.groupBy("d1", "d2").agg(F.min("key").alias("key"))
-    signed = written(filled.join(classes, ["d1", "d2", "key"], "left_semi").select("key", "n_shingles", "signature"), "signatures")
+    chosen = filled.join(classes, ["d1", "d2", "key"], "left_semi").groupBy("d1", "d2", "key")
+    alike = chosen.agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.count("*").alias("copies"))
+    signed = written(alike.select("key", "n_shingles", "signature", "copies"), "signatures")
+    repeated = written(signed.groupBy("key").agg(F.sum("copies").alias("n")).filter("n > 1").select("key"), "repeated")
     banded = band_keys(signed, bands, rows)
     hubs = banded.groupBy("band").agg(F.min("key").alias("a"), F.count("*").alias("n")).filter("n > 1").select("band", "a")
     buckets = written(banded.join(hubs, "band").select("band", "no", F.col("a").alias("hub"), "key"), "buckets")
 
     stars = buckets.filter(F.col("key") != F.col("hub")).select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
     first = written(pruned(stars, signed, threshold, hashes, miss), "survivors")
-    links = written(_confirmed(df, first, key, text, size, percent), "confirmed")
+    pairs = first.select(F.col("a").alias("key")).union(first.select(F.col("b").alias("key"))).distinct()
+    links = written(verified(first, _sets_of(df, pairs, repeated, key, text, size), percent), "confirmed")
 
     labels = components(links)
     named = lambda node: F.coalesce(node, F.col("key"))
@@ -285,7 +291,7 @@ def near_duplicates(
     if rest.isEmpty():
         final = labels
     else:
-        sets = _sets_of(df, rest.select("key").distinct(), key, text, size)
+        sets = _sets_of(df, rest.select("key").distinct(), repeated, key, text, size)
         more = written(_block_links(rest, sets, signed, percent, hashes, rows, miss), "confirmed")
         final = labels if more.isEmpty() else components(links.union(more))
 
@@ -299,14 +305,13 @@ def near_duplicates(
     return result.select(key, "n_shingles", F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"), own.alias("kept"))
 
 
-def _sets_of(df: DataFrame, keys: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """Shingle sets of the documents with the given keys; only their texts are read again."""
+def _sets_of(df: DataFrame, keys: DataFrame, repeated: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """Shingle sets of the documents with the given keys, one row per key and set; only their texts are read again."""
     wanted = written(keys.withColumnRenamed("key", key), "wanted")
     texts = df.select(df[key], df[text]).join(broadcast_if_small(wanted, MAX_BROADCAST_IDS), key, "left_semi")
-    return written(with_sets(texts, key, text, size), "sets")
-
-
-def _confirmed(df: DataFrame, pairs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """Exact check of pairs."""
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    return verified(pairs, _sets_of(df, keys, key, text, size), percent)
+    sets = written(with_sets(texts, key, text, size), "sets")
+    if repeated.isEmpty():
+        return sets
+    several = broadcast_if_small(repeated, MAX_BROADCAST_IDS)
+    once = sets.join(several, "key", "left_semi").distinct()
+    return written(sets.join(several, "key", "left_anti").union(once), "sets")
