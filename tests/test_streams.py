@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import keyed, pnl, positions
 from tickloom.registry import views
 from tickloom.session import scratch_path
-from tickloom.streaming import changes, jobs
+from tickloom.streaming import changes, jobs, landing
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -135,3 +135,74 @@ def test_landing_takes_each_file_once_and_archives(spark, tmp_path):
     assert result.count() == 6
     assert {str(r[0]) for r in result.select("scraped_date").distinct().collect()} == {"2024-01-01", "2024-01-02"}
     assert list(archive.rglob("*.json"))
+
+
+def _record(**more):
+    return {"timestamp": "2024-01-01 00:00:05", "asset": "A", "price": "1.5", "source_id": 0, "engine": 0, **more}
+
+
+def test_a_bad_file_does_not_stop_the_stream(spark, tmp_path):
+    source, target, checkpoint = tmp_path / "in", scratch_path(spark, "landed"), scratch_path(spark, "offsets")
+    source.mkdir()
+    bodies = {
+        "good.json": json.dumps(_record(), indent=4),
+        "list.json": json.dumps([_record(), _record(asset="B")]),
+        "cut.json": json.dumps([_record(), _record()])[:-20],
+        "text.json": "nothing of the kind",
+        "number.json": "5",
+        "type.json": json.dumps([_record(source_id="x"), _record(asset="C"), _record(price="n/a"), None]),
+        "lacking.json": json.dumps({"asset": "D"}),
+        "none.json": "[]",
+        "blank.json": " \n",
+    }
+    for name, body in bodies.items():
+        (source / name).write_text(body)
+    for files_per_batch in (2, None):
+        files = landing.file_stream(spark, str(source), files_per_batch=files_per_batch)
+        query = landing.land_files(files, target, checkpoint)
+        query.awaitTermination()
+        assert query.exception() is None
+        (source / "late.json").write_text(json.dumps(_record(asset="late")))
+    got = landing.landed(spark, target).collect()
+    assert sorted(r.asset for r in got) == ["A", "A", "B", "C", "D", "late"]
+    assert {r.source_file.rsplit("/", 1)[1] for r in got} == {"good.json", "list.json", "type.json", "lacking.json", "late.json"}
+    rejects = {(r.source_file.rsplit("/", 1)[1], r.reason) for r in landing.rejected(spark, target).collect()}
+    assert rejects == {("cut.json", "no records"), ("text.json", "no records"), ("number.json", "no records"),
+                       ("type.json", "value of source_id"), ("type.json", "value of price"), ("type.json", "no object")}
+    texts = {r.source_file.rsplit("/", 1)[1]: r.text for r in landing.rejected(spark, target).filter("reason = 'no records'").collect()}
+    assert texts == {name: bodies[name] for name in ("cut.json", "text.json", "number.json")}
+    assert landing.processed(spark, target).count() == 10
+
+
+def test_a_landing_batch_that_runs_again_counts_once(spark, tmp_path):
+    source, target = tmp_path / "in", scratch_path(spark, "landed")
+    source.mkdir()
+    (source / "a.json").write_text(json.dumps([_record(), _record(price="?")]))
+    for _ in range(2):
+        # A new checkpoint makes the second run repeat batch 0.
+        landing.land_files(landing.file_stream(spark, str(source)), target, scratch_path(spark, "offsets")).awaitTermination()
+        assert (landing.landed(spark, target).count(), landing.rejected(spark, target).count()) == (1, 1)
+    os.remove(f"{target}/landed/batch=0/_SUCCESS")
+    assert landing.landed(spark, target).count() == 0 and landing.landed(spark, target).columns[-1] == "source_file"
+
+
+def test_files_go_from_pending_to_landed_to_archived(spark, tmp_path):
+    source, archive, target, checkpoint = tmp_path / "in", tmp_path / "done", scratch_path(spark, "landed"), scratch_path(spark, "offsets")
+    source.mkdir()
+
+    def states():
+        return {r.file: (r.state, r.batch, r.records) for r in landing.lifecycle(spark, str(source), str(archive), target).collect()}
+
+    def run():
+        files = landing.file_stream(spark, str(source), str(archive), files_per_batch=1)
+        landing.land_files(files, target, checkpoint).awaitTermination()
+
+    for number in range(3):
+        (source / f"{number}.json").write_text(json.dumps([_record()] * number))
+        os.utime(source / f"{number}.json", (number, number))
+    run()
+    assert states() == {"0.json": ("archived", 0, 0), "1.json": ("archived", 1, 1), "2.json": ("landed", 2, 2)}
+    (source / "3.json").write_text(json.dumps(_record()))
+    assert states()["3.json"] == ("pending", None, 0)
+    run()
+    assert states()["2.json"] == ("archived", 2, 2) and states()["3.json"] == ("landed", 3, 1)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.moments import record_text
@@ -14,6 +15,7 @@ from tickloom.session import scratch_path
 from tickloom.sources import lake, relational
 
 RECORDS_PER_FILE = 5000
+SHORT_RUN = 200
 JDBC_URL = "spark.tickloom.jdbc.url"
 
 
@@ -46,16 +48,32 @@ def tick_records(spark: SparkSession, folder: str) -> DataFrame:
 
 def landing_folder(spark: SparkSession, folder: str) -> str:
     """Every tick as JSON: of each run of ids the first alone in a file, the rest as a list in another."""
-    record = F.to_json(F.struct("timestamp", "asset", "price", "source_id", "engine")).alias("record")
-    records = tick_records(spark, folder).select("id", record)
-    run, alone = F.floor(F.col("id") / RECORDS_PER_FILE), F.col("id") % RECORDS_PER_FILE == 0
-    grouped = records.groupBy(run.alias("run"), alone.alias("alone")).agg(F.listagg("record", F.lit(",")).alias("body"))
-    document = F.when(F.col("alone"), F.col("body")).otherwise(F.concat(F.lit("["), F.col("body"), F.lit("]")))
     path = scratch_path(spark, "landing")
-    grouped.select(document.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    land_runs(tick_records(spark, folder), path, RECORDS_PER_FILE)
+    return path
+
+
+def flawed_landing_folder(spark: SparkSession, folder: str) -> str:
+    """As :func:`landing_folder` with short runs; of each third run one file is cut off, of the next one a price is no number."""
+    run, at = F.floor(F.col("id") / SHORT_RUN), F.col("id") % SHORT_RUN
+    records = tick_records(spark, folder)
+    priced = records.withColumn("price", F.when((run % 3 == 2) & (at == 1), "n/a").otherwise(F.col("price")))
+    path = scratch_path(spark, "landing")
+    land_runs(priced, path, SHORT_RUN, cut_off=F.col("run") % 3 == 1)
     return path
 
 
+def land_runs(records: DataFrame, path: str, per_run: int, cut_off: Column | None = None) -> None:
+    """Add the files of the records to a folder; files of single records end early where ``cut_off`` is true."""
+    record = F.to_json(F.struct("timestamp", "asset", "price", "source_id", "engine")).alias("record")
+    records = records.select("id", record)
+    run, alone = F.floor(F.col("id") / per_run), F.col("id") % per_run == 0
+    grouped = records.groupBy(run.alias("run"), alone.alias("alone")).agg(F.listagg("record", F.lit(",")).alias("body"))
+    single = F.col("body") if cut_off is None else F.when(cut_off, F.expr("left(body, length(body) - 10)")).otherwise(F.col("body"))
+    document = F.when(F.col("alone"), single).otherwise(F.concat(F.lit("["), F.col("body"), F.lit("]")))
+    grouped.select(document.alias("value")).write.mode("append").option("maxRecordsPerFile", 1).text(path)
+
+
 def kline_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Hourly bars of the ticks as captured payloads, one per asset and day.
 
@@ -87,7 +105,7 @@ def jdbc_url(spark: SparkSession) -> str:
     named = spark.conf.get(JDBC_URL, None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError(f"set {JDBC_URL} to a database that every executor can reach")
     spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
     return "jdbc:derby:memory:tickloom;create=true"

@@ -10,7 +10,9 @@ from tickloom.registry.book import query
 from tickloom.registry.tables import LOADED
 from tickloom.registry.views import with_views
 from tickloom.session import scratch_path
-from tickloom.streaming import changes, jobs
+from tickloom.streaming import changes, jobs, landing
+
+FILES_PER_BATCH = 500
 
 
 @query("t1_land_files", with_views("ticks", " " + LOADED))
@@ -21,6 +23,57 @@ def land_files(spark, folder):
     return spark.read.parquet(target).drop("scraped_date")
 
 
+_JSON = """'{"timestamp":"' || strftime(scraped_timestamp, '%Y-%m-%d %H:%M:%S') || '","asset":"' || asset || '","price":"'"""
+
+
+@query(
+    "t1_land_files_with_rejects",
+    with_views(
+        "ticks",
+        f""", t as (select *, id // {staging.SHORT_RUN} % 3 as third, id % {staging.SHORT_RUN} as nth,
+            {_JSON} || cast(price as varchar) || '","source_id":0,"engine":0}}' as whole from ticks),
+        j as (select *, third = 1 and nth = 0 as cut, third = 2 and nth = 1 as odd from t)
+        select date_trunc('second', scraped_timestamp) as scraped_timestamp, asset, price, source_id, engine_id,
+            cast(null as varchar) as reason, cast(null as varchar) as text from j where not cut and not odd
+        union all select null, null, null, null, null, 'no records', left(whole, length(whole) - 10) || chr(10) from j where cut
+        union all select null, null, null, null, null, 'value of price', {_JSON} || 'n/a","source_id":"0","engine":"0"}}' from j where odd""",
+    ),
+)
+def land_files_with_rejects(spark, folder):
+    """Files that are cut off and records without a price go to the reject table, in several micro-batches; all else lands."""
+    source, target = staging.flawed_landing_folder(spark, folder), scratch_path(spark, "landed")
+    files = landing.file_stream(spark, source, files_per_batch=FILES_PER_BATCH)
+    landing.land_files(files, target, scratch_path(spark, "offsets")).awaitTermination()
+    none = F.lit(None).cast("string")
+    good = landing.landed(spark, target).withColumns({"reason": none, "text": none})
+    return good.unionByName(landing.rejected(spark, target), allowMissingColumns=True).drop("source_file")
+
+
+@query(
+    "s17_file_lifecycle",
+    with_views(
+        "ticks",
+        f""", f as (select distinct id // {staging.SHORT_RUN} % 2 as odd, id // {staging.SHORT_RUN} as run, id % {staging.SHORT_RUN} = 0 as alone from ticks),
+        n as (select count(*) filter (odd = 0) as taken, count(*) filter (odd = 1) as pending from f),
+        s as (select *, ceil(taken / 3.0) as size from n), b as (select *, cast(ceil(taken / size) as bigint) as batches from s),
+        e as (select *, cast(taken - (batches - 1) * size as bigint) as last from b)
+        select 'pending' as state, pending as files, cast(0 as bigint) as batches from e where pending > 0
+        union all select 'landed', last, 1 from e union all select 'archived', taken - last, batches - 1 from e where batches > 1""",
+    ),
+)
+def file_lifecycle(spark, folder):
+    """Half of the files come before the stream runs, in three micro-batches; the others after it."""
+    source, archive, target = (scratch_path(spark, name) for name in ("incoming", "archive", "landed"))
+    records, odd = staging.tick_records(spark, folder), F.floor(F.col("id") / staging.SHORT_RUN) % 2 == 1
+    staging.land_runs(records.filter(~odd), source, staging.SHORT_RUN)
+    size = -(-landing.listed(spark, source).count() // 3)
+    files = landing.file_stream(spark, source, archive, files_per_batch=size)
+    landing.land_files(files, target, scratch_path(spark, "offsets")).awaitTermination()
+    staging.land_runs(records.filter(odd), source, staging.SHORT_RUN)
+    states = landing.lifecycle(spark, source, archive, target).groupBy("state")
+    return states.agg(F.count("*").alias("files"), F.count_distinct("batch").alias("batches"))
+
+
 def _run(rows, merge):
     spark = rows.sparkSession
     target = scratch_path(spark, "changes")

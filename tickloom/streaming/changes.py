@@ -16,6 +16,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 Merge = Callable[[DataFrame], DataFrame]
 
@@ -36,6 +37,14 @@ def write_parts(rows: DataFrame, folder: str, checkpoint: str, merge: Merge, **t
     )
 
 
+def finished_batches(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """Rows of all finished ``batch`` folders, partition columns below them included; none gives an empty frame."""
+    paths = list(_finished(spark, folder, _BATCH).values())
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", folder).parquet(*paths).select(*schema.names)
+
+
 def current(spark: SparkSession, folder: str, merge: Merge) -> DataFrame:
     """The result of all finished batches."""
     return merge(_read(spark, _parts(spark, folder)[1]))
