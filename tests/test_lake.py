@@ -1,6 +1,7 @@
 import datetime
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import pytest
 from pyspark.errors import PySparkException
@@ -187,3 +188,69 @@ def test_threads_of_one_session_do_not_share_an_overwrite_mode(spark, table):
     with ThreadPoolExecutor(4) as threads:
         list(threads.map(write, range(8)))
     assert ids(spark, table) == [3, 4, 5, 9] and ids(spark, other) == [9]
+
+
+def _failing(step):
+    def fail(*args, **kwargs):
+        raise RuntimeError(step)
+
+    return fail
+
+
+@pytest.mark.parametrize("step", ["_partition_paths", "_move_partitions", "_changed"])
+@pytest.mark.parametrize("conditions", [["day = DATE '2024-01-01'"], ["price > 0", "asset = 'a'"]])
+def test_a_failure_before_the_move_leaves_the_old_rows(spark, table, monkeypatch, step, conditions):
+    new = spark.createDataFrame([(8, 8.0, "a", DAY(2024, 1, 1)), (9, 9.0, "new", DAY(2024, 3, 1))], SCHEMA)
+    monkeypatch.setattr(lake, step, _failing(step))
+    with pytest.raises(RuntimeError, match=step):
+        lake.delete_insert(new, table, conditions)
+    assert sorted(map(tuple, spark.table(table).collect()), key=str) == sorted(ROWS, key=str)
+    monkeypatch.undo()
+    lake.delete_insert(new, table, conditions)
+    gone = {1, 2, 4} if len(conditions) == 1 else {1, 3}
+    assert ids(spark, table) == sorted({1, 2, 3, 4, 5} - gone | {8, 9})
+
+
+def test_whole_partitions_are_replaced_without_reading_any(spark, table):
+    """The old files are unreadable, so a read of one of them would fail."""
+    with pytest.raises(Exception):
+        folder = lake._location(spark, table).removeprefix("file:")
+        for path in Path(folder).rglob("*.parquet"):
+            path.write_bytes(b"broken")
+            (path.parent / f".{path.name}.crc").unlink(missing_ok=True)
+        spark.table(table).collect()
+    new = spark.createDataFrame([(8, 8.0, "a", DAY(2024, 1, 1))], SCHEMA)
+    lake.delete_insert(new, table, ["day >= DATE '2024-01-01'"])
+    assert ids(spark, table) == [8]
+
+
+def test_all_writes_go_on_after_partitions_were_moved(spark, table):
+    row = lambda i, asset, day: spark.createDataFrame([(i, 1.0, asset, DAY(2024, 1, day))], SCHEMA)
+    lake.delete_rows(spark, table, ["id = 1"])
+    lake.insert_to_table(row(10, "a", 1), table, {}, PARTS, mode="append")
+    assert ids(spark, table) == [2, 3, 4, 5, 10]
+    lake.insert_to_table(row(11, "a", 1), table, {}, PARTS)
+    assert ids(spark, table) == [3, 4, 5, 11]
+    lake.delete_insert(row(12, "it's", 1), table, ["id = 4"])
+    lake.delete_insert(row(13, None, 2), table, ["id = 3"])
+    assert ids(spark, table) == [5, 11, 12, 13]
+    versions = Path(lake._location(spark, table).removeprefix("file:")) / "_versions"
+    assert sum(1 for _ in versions.rglob("*.parquet")) <= 5
+    lake.insert_to_table(row(14, "z", 1), table, {}, PARTS, mode="overwrite")
+    assert ids(spark, table) == [14]
+    lake.delete_all(spark, table)
+    lake.insert_to_table(row(15, "a", 1), table, {}, PARTS, mode="append")
+    assert ids(spark, table) == [15]
+    spark.sql(f"DROP TABLE {table}")
+    assert not versions.exists()
+
+
+def test_odd_partition_values_survive_a_move(spark):
+    name = new_table(spark, "odd")
+    values = ["a/b", "50%", "x=y", "it's", "ü", "a b", "q?", "[x]", "{a}", "\\\\", "#1", ":", None]
+    frame = spark.createDataFrame([(i, v, i % 2) for i, v in enumerate(values)] + [(100 + i, v, 3) for i, v in enumerate(values)], "id int, v string, n int")
+    lake.insert_to_table(frame, name, {}, ["v", "n"])
+    lake.delete_rows(spark, name, ["id >= 100", "id < 200"])
+    assert sorted(map(tuple, spark.table(name).collect()), key=str) == sorted(((i, v, i % 2) for i, v in enumerate(values)), key=str)
+    lake.delete_insert(frame.filter("id >= 100"), name, ["n = 0"])
+    assert ids(spark, name) == sorted([i for i in range(len(values)) if i % 2] + [100 + i for i in range(len(values))])

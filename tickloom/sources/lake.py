@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import threading
 import time
+import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import date
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +25,11 @@ from tickloom.session import broadcast_if_small, written
 MODES = ("append", "overwrite", "overwrite_partitions")
 # Partition tuples joined by broadcast; more are joined by shuffle. A tuple is well below a kilobyte.
 MAX_BROADCAST_PARTITIONS = 20_000
-_DROPS_PER_STATEMENT = 100
+_PER_STATEMENT = 100
+# Fixed value: how catalogs write a null partition value.
+_NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+# Below the table's folder; hidden, so that no listing of the table takes them for data.
+_VERSIONS, _EMPTY = "_versions", "empty"
 _OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
 _ONE_MODE_AT_A_TIME = threading.RLock()
 
@@ -118,11 +125,16 @@ def delete_rows(spark: SparkSession, table: str, conditions: Sequence[str | Colu
 
 
 def delete_insert(df: DataFrame, table: str, conditions: Sequence[str | Column]) -> None:
-    """Delete as :func:`delete_rows` does and add ``df``, as one overwrite of the partitions concerned."""
+    """Delete as :func:`delete_rows` does and add ``df``, both at one moment in the partitions concerned."""
     _replace(df.sparkSession, table, conditions, df)
 
 
 def _replace(spark: SparkSession, table: str, conditions: Sequence[str | Column], new: DataFrame | None) -> None:
+    """Write what the touched partitions hold afterwards once, into new folders, then let the catalog point to these.
+
+    Until that one catalog call the table is as before, whatever fails. Partitions that conditions on partition columns alone
+    select are found in the catalog and not read; the folders of before are removed last.
+    """
     doomed = F.coalesce(all_of(conditions), F.lit(False))
     current = spark.table(table)
     partitions = partition_columns(spark, table)
@@ -131,15 +143,111 @@ def _replace(spark: SparkSession, table: str, conditions: Sequence[str | Column]
         result = result if new is None else result.unionByName(_fitting(new, table))
         _insert(written(result, "replaced"), table, "overwrite")
         return
-    hit = current.filter(all_of(conditions)).select(*partitions).distinct()
-    touched = hit if new is None else hit.union(new.select(*partitions)).distinct()
-    touched = written(touched, "touched")
-    result = _within(current, touched, partitions).filter(~doomed)
-    result = result if new is None else result.unionByName(_fitting(new, table))
-    result = written(result, "replaced")
-    _insert(result, table, "overwrite_partitions")
-    kept = result.select(*partitions).distinct()
-    _drop_partitions(spark, table, partitions, touched.subtract(kept))
+    known = _catalog_partitions(spark, table, partitions)
+    folder = f"{_location(spark, table)}/{_VERSIONS}/{uuid.uuid4().hex}"
+    added = set()
+    if new is not None:
+        _write_partitions(_fitting(new, table), folder, partitions)
+        added = _partition_paths(spark, folder, len(partitions))
+    emptied = _selected_whole(known, conditions)
+    if emptied is not None:
+        hit = {row.path for row in emptied.select("path").toLocalIterator()}
+        beside = known.filter(F.col("path").isin(*added - hit)) if added - hit else None
+        kept = None if beside is None else _within(current, beside, partitions)
+    else:
+        tuples = written(current.filter(all_of(conditions)).select(*partitions).distinct(), "touched")
+        side = broadcast_if_small(tuples, MAX_BROADCAST_PARTITIONS)
+        same = all_of([known[name].eqNullSafe(side[name]) for name in partitions])
+        hit = {row.path for row in known.join(side, same, "left_semi").select("path").toLocalIterator()}
+        touched = known.filter(F.col("path").isin(*hit | added)) if hit | added else None
+        kept = None if touched is None else _within(current, touched, partitions).filter(~doomed)
+    if kept is not None:
+        _write_partitions(kept, folder, partitions)
+    if hit or added:
+        _move_partitions(spark, table, folder, hit | added, _partition_paths(spark, folder, len(partitions)))
+
+
+def _catalog_partitions(spark: SparkSession, table: str, partitions: Sequence[str]) -> DataFrame:
+    """``path`` (``name=value/...`` as the catalog writes it) and the typed values of every partition, without reading any."""
+    paths = [(row[0],) for row in spark.sql(f"SHOW PARTITIONS {table}").toLocalIterator()]
+    rows = spark.createDataFrame([(path, [_unescaped(part) for part in path.split("/")]) for (path,) in paths], "path string, parts array<string>")
+    types = {field.name: field.dataType for field in spark.table(table).schema}
+    return rows.select("path", *[F.get("parts", F.lit(i)).cast(types[name]).alias(name) for i, name in enumerate(partitions)])
+
+
+def _unescaped(part: str) -> str | None:
+    value = unquote(part.partition("=")[2])
+    return None if value == _NULL_PARTITION else value
+
+
+def _selected_whole(known: DataFrame, conditions: Sequence[str | Column]) -> DataFrame | None:
+    """The partitions all of whose rows fulfil the conditions, if these name partition columns only; else None."""
+    try:
+        return known.filter(all_of(conditions))
+    except AnalysisException:
+        return None
+
+
+def _write_partitions(rows: DataFrame, folder: str, partitions: Sequence[str]) -> None:
+    rows.hint("rebalance", *partitions).write.mode("append").partitionBy(*partitions).parquet(folder)
+
+
+def _partition_paths(spark: SparkSession, folder: str, depth: int) -> set[str]:
+    """The partition folders below ``folder``, as the catalog names them."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{'/'.join(['*=*'] * depth)}")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return {"/".join(entry.getPath().toString().split("/")[-depth:]) for entry in found or []}
+
+
+def _location(spark: SparkSession, table: str) -> str:
+    return _catalog(spark).getTableMetadata(_identifier(spark, table)).location().toString().rstrip("/")
+
+
+def _catalog(spark: SparkSession):
+    return spark._jsparkSession.sessionState().catalog()
+
+
+def _identifier(spark: SparkSession, table: str):
+    return spark._jsparkSession.sessionState().sqlParser().parseTableIdentifier(table)
+
+
+def _move_partitions(spark: SparkSession, table: str, folder: str, touched: set[str], filled: set[str]) -> None:
+    """Point all touched partitions to their folders below ``folder`` in one catalog call; drop those that are empty there."""
+    catalog, identifier, jvm = _catalog(spark), _identifier(spark, table), spark._jvm
+    files = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    partitions = partition_columns(spark, table)
+    empty = f"{folder}/{_EMPTY}"
+    files.mkdirs(jvm.org.apache.hadoop.fs.Path(empty))
+    spec = lambda path: "PARTITION (" + ", ".join(f"`{n}` = {_literal(_unescaped(p))}" for n, p in zip(partitions, path.split("/"))) + ")"
+    known = {row[0] for row in spark.sql(f"SHOW PARTITIONS {table}").toLocalIterator()}
+    missing = sorted(touched - known)
+    # New partitions first appear empty, so that their rows come with the same call as all others.
+    for begin in range(0, len(missing), _PER_STATEMENT):
+        added = " ".join(f"{spec(path)} LOCATION '{empty}'" for path in missing[begin : begin + _PER_STATEMENT])
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {added}")
+    moved, before = jvm.java.util.ArrayList(), []
+    for path in sorted(touched):
+        values = jvm.java.util.HashMap()
+        for name, part in zip(partitions, path.split("/")):
+            values.put(name, unquote(part.partition("=")[2]))
+        partition = catalog.getPartition(identifier, jvm.PythonUtils.toScalaMap(values))
+        before.append(partition.location().toString())
+        target = jvm.java.net.URI(jvm.org.apache.hadoop.fs.Path(f"{folder}/{path}" if path in filled else empty).toUri().toString())
+        moved.add(_changed(partition, storage=_changed(partition.storage(), locationUri=jvm.scala.Some(target))))
+    catalog.alterPartitions(identifier, jvm.PythonUtils.toSeq(moved))
+    spark.catalog.refreshTable(table)
+    emptied = sorted(touched - filled)
+    for begin in range(0, len(emptied), _PER_STATEMENT):
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {', '.join(map(spec, emptied[begin : begin + _PER_STATEMENT]))}")
+    for old in before:
+        if not old.startswith(folder):
+            files.delete(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(old)), True)
+
+
+def _changed(record, **values):
+    """A copy of a catalog record with some of its fields replaced."""
+    names = [record.productElementName(i) for i in range(record.productArity())]
+    return record.copy(*[values.get(name, record.productElement(i)) for i, name in enumerate(names)])
 
 
 def _within(rows: DataFrame, tuples: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -160,23 +268,11 @@ def _within(rows: DataFrame, tuples: DataFrame, columns: Sequence[str]) -> DataF
     for name in columns:
         inside = F.col(name).between(F.lit(span[f"{name}_low"]), F.lit(span[f"{name}_high"]))
         rows = rows.filter(inside | F.col(name).isNull() if span[f"{name}_null"] else inside)
-    side = broadcast_if_small(tuples, MAX_BROADCAST_PARTITIONS)
+    side = broadcast_if_small(tuples.select(*columns), MAX_BROADCAST_PARTITIONS)
     same = all_of([rows[name].eqNullSafe(side[name]) for name in columns])
     return rows.join(side, same, "left_semi")
 
 
-def _drop_partitions(spark: SparkSession, table: str, columns: Sequence[str], tuples: DataFrame) -> None:
-    """Drop the listed partitions. The catalog takes them as text, so the list, not the data, passes the driver."""
-    specs = []
-    for row in tuples.toLocalIterator():
-        specs.append("PARTITION (" + ", ".join(f"`{name}` = {_literal(row[name])}" for name in columns) + ")")
-        if len(specs) == _DROPS_PER_STATEMENT:
-            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {', '.join(specs)}")
-            specs = []
-    if specs:
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {', '.join(specs)}")
-
-
 def _literal(value: object) -> str:
     if value is None:
         return "null"
