@@ -80,6 +80,24 @@ def test_a_put_replaces_the_whole_item(spark):
     assert thin.filter("k = 'a'").first()["note"] is None
 
 
+def test_newest_items_with_ties_nulls_and_any_order(spark, monkeypatch):
+    """The same winners with few keys, with more than are broadcast, and with an order that only structs can carry."""
+    schema = "k string, moment string, v int, at timestamp_ntz, seq int, d date"
+    rows = [("a", "x", 1, T0, 1, None), ("a", "y", 2, T0, 2, None), ("a", "z", 3, None, 9, None), (None, "n", 4, None, None, None),
+            (None, "m", 5, None, 3, None), ("b", None, 6, T0, None, None), ("b", "t", 7, T0, -5, None), ("c", "tie", 8, T0, 1, None), ("c", "tie", 8, T0, 1, None)]
+    puts = spark.createDataFrame(rows, schema)
+    want = {"a": 2, None: 5, "b": 7, "c": 8}
+    for keys_at_most in (1_000_000, 0):
+        monkeypatch.setattr(keyed, "MAX_BROADCAST_KEYS", keys_at_most)
+        for order in (["at", "seq"], ["at", "seq", "moment"]):
+            found = keyed.latest_per_key(puts, ["k"], order)
+            assert found.columns == puts.columns and {r.k: r.v for r in found.collect()} == want
+        assert {r.k: r.v for r in keyed.latest_per_key(puts.filter("v < 4"), ["k"], ["seq"]).collect()} == {"a": 3}
+        tied = [{r.k: r.v for r in keyed.latest_per_key(puts.orderBy("v", ascending=up), ["k"], ["d"]).collect()} for up in (True, False)]
+        assert tied[0] == tied[1] and set(tied[0]) == {"a", None, "b", "c"}
+    assert keyed.latest_per_key(puts.limit(0), ["k"], ["at", "seq"]).count() == 0
+
+
 def test_expiry(spark):
     items = spark.createDataFrame([("a", 1), ("b", None), ("c", 0)], "k string, days int")
     stamped = keyed.stamped(items, F.lit(T0).cast("timestamp_ntz"), F.col("days"))

@@ -10,7 +10,7 @@ from tickloom.operators import keyed, pnl, positions, shaping
 from tickloom.operators import ticks as t
 from tickloom.plans import model_weights
 from tickloom.registry import views
-from tickloom.session import broadcast_if_small, shared_dir
+from tickloom.session import broadcast_if_small, shared_dir, written
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -35,9 +35,29 @@ def test_top_rows_need_no_full_sort(spark):
     assert "TakeOrderedAndProject" in plan(shaping.latest_rows(views.ticks(spark, SMALL), ["id"], 2000))
 
 
-def test_newest_items_combine_before_the_shuffle(spark):
-    text = plan(keyed.latest_per_key(views.kv_puts(spark, SMALL), ["asset", "model_type"], ["updated_at", "seq"]))
-    assert "partial_max_by" in text and "Window" not in text
+def test_newest_items_are_found_without_sorting_the_puts(spark, monkeypatch):
+    puts, keys, order = views.kv_puts(spark, SMALL), ["asset", "model_type"], ["updated_at", "seq"]
+    plans = []
+    monkeypatch.setattr(keyed, "written", lambda frame, label: plans.append(plan(frame)) or written(frame, label))
+    text = plan(keyed.latest_per_key(puts, keys, order))
+    # The moments: a hash aggregate that combines before its shuffle.
+    assert plans[0].count("HashAggregate") == 2 and "partial_max" in plans[0] and "Sort" not in plans[0]
+    # The items: only rows that match such a moment are shuffled and aggregated.
+    assert "Window" not in text and text.count("Exchange hashpartitioning") == 1
+    assert text.index("SortAggregate") < text.index("BroadcastHashJoin") and "Sort" not in text[text.index("BroadcastHashJoin") :]
+
+
+def test_a_guarded_select_runs_once_and_counts_in_all_tasks(spark, monkeypatch):
+    runs = []
+    monkeypatch.setattr(shaping, "written", lambda frame, label: runs.append(plan(frame)) or written(frame, label))
+    spark.range(50).createOrReplaceTempView("guarded_rows")
+    found = shaping.guarded_select(spark, "SELECT id, rand() AS r FROM guarded_rows ORDER BY id DESC", limit=50)
+    assert len(runs) == 1 and "SinglePartition" not in runs[0] + plan(found) and "Limit" not in runs[0]
+    rows = found.collect()
+    assert [row.id for row in rows] == list(range(49, -1, -1)) and rows == found.collect()
+    for limit in (3, 20):
+        with pytest.raises(ValueError, match=f"more than {limit} rows"):
+            shaping.guarded_select(spark, "SELECT id FROM guarded_rows", limit=limit)
 
 
 def test_stops_are_planned_without_cross_joins_or_python(spark):

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The two text formats of a scrape time.
 RECORD_FORMAT = "yyyy-MM-dd HH:mm:ss"
 FILE_FORMAT = "yyyyMMdd_HHmmss"
 _BEYOND_LONG = Decimal(2**64)
+# Below every ordinal: a row without a time comes first.
+_BEFORE_ALL_TIMES = Decimal(-(10**37))
+_TIMES = (T.TimestampType, T.TimestampNTZType)
 
 
 def look_back_start(as_of: Column, days: int) -> Column:
@@ -22,6 +27,21 @@ def utc_day(moment: Column) -> Column:
     return F.date_trunc("day", moment)
 
 
+def order_value(df: DataFrame, order: Sequence[str]) -> Column | None:
+    """The columns ``order`` as one value of fixed width that sorts alike, nulls first; None where their types allow none.
+
+    Such a value stays in hash aggregation, where a struct forces sorting: a time with a whole number, or a single column of
+    fixed width.
+    """
+    kinds = [df.schema[name].dataType for name in order]
+    if len(order) == 1 and isinstance(kinds[0], (*_TIMES, T.NumericType, T.DateType)):
+        return F.col(order[0])
+    if len(order) == 2 and isinstance(kinds[0], _TIMES) and isinstance(kinds[1], T.IntegralType):
+        number = F.coalesce(F.col(order[1]).cast("long"), F.lit(-(1 << 63)))
+        return F.coalesce(ordinal(F.col(order[0]), number), F.lit(_BEFORE_ALL_TIMES) + number.cast("decimal(19,0)"))
+    return None
+
+
 def to_millis(moment: Column) -> Column:
     return F.unix_millis(moment.cast("timestamp"))
 

@@ -7,17 +7,39 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.moments import order_value
+from tickloom.operators.segments import free_name
+from tickloom.session import broadcast_if_small, written
+
 SECONDS_PER_DAY = 86400
+# Keys with their newest moment joined by broadcast, some fifty bytes each.
+MAX_BROADCAST_KEYS = 1_000_000
 
 
 def latest_per_key(puts: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The whole last item of every key, nulls included; older items leave nothing behind.
 
-    ``max_by`` combines inside each task before the shuffle, so a key with very many puts costs one row per task.
+    First the newest moment of every key, a hash aggregate of fixed width that combines inside each task; then the rows that
+    have it, found by a join with those moments: broadcast where they are few, so that only winners are shuffled. Winners of
+    one moment are one item, the same ones whatever the order of rows: whole items are compared then. ``puts`` is read twice
+    and must give the same rows; an order without a value of fixed width is aggregated as structs, by sorting.
     """
     rest = [name for name in puts.columns if name not in keys]
-    newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("newest")
-    return puts.groupBy(*keys).agg(newest).select(*keys, "newest.*")
+    moment = order_value(puts, order)
+    winners = puts if moment is None else _at_newest(puts, keys, moment)
+    newest = F.max_by(F.struct(*rest), F.struct(*order, F.xxhash64(*rest))).alias("newest")
+    return winners.groupBy(*keys).agg(newest).select(*keys, "newest.*")
+
+
+def _at_newest(puts: DataFrame, keys: Sequence[str], moment: Column) -> DataFrame:
+    """The puts at their key's newest moment; where a key has no moment at all, all of its puts."""
+    names = {name: free_name(puts, f"of_{name}") for name in keys}
+    own, newest = free_name(puts, "moment"), free_name(puts, "newest")
+    dated = puts.withColumn(own, moment)
+    tops = written(dated.groupBy(*keys).agg(F.max(own).alias(newest)).withColumnsRenamed(names), "newest")
+    side = broadcast_if_small(tops, MAX_BROADCAST_KEYS)
+    same = [dated[name].eqNullSafe(side[names[name]]) for name in keys]
+    return dated.join(side, [*same, dated[own].eqNullSafe(side[newest])], "left_semi").drop(own)
 
 
 def stamped(items: DataFrame, updated_at: Column, expire_days: Column | None = None) -> DataFrame:

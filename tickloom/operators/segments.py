@@ -15,13 +15,11 @@ away and the window is an ordinary one.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tickloom.functions.moments import ordinal
+from tickloom.functions.moments import order_value
 from tickloom.session import broadcast_if_small, written
 
 SEGMENT_ROWS, DEFAULT_ROWS = "spark.tickloom.segment.rows", 500_000
@@ -29,9 +27,6 @@ SAMPLES_PER_BUCKET = 32
 # Bounds and border rows joined by broadcast: at most this many keys and buckets.
 MAX_BROADCAST_SEGMENTS = 200_000
 
-# Below every ordinal: a row without a time comes first.
-_BEFORE_ALL_TIMES = Decimal(-(10**37))
-
 #: Aggregate of a running value and how a total carried from earlier rows joins it.
 _KINDS: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]] = {
     "max": (F.max, F.greatest),
@@ -103,7 +98,8 @@ class Buckets:
             return rows.withColumn(name, F.lag(value).over(inside))
         first, carried = free_name(rows, "first_row"), free_name(rows, "carried")
         nearest = F.min_by if descending else F.max_by
-        ends = self._rollup(rows, {carried: nearest(value, self._ordinal(rows))})
+        moment = order_value(rows, self.order) if len(self.order) > 1 else None
+        ends = self._rollup(rows, {carried: nearest(value, F.struct(*self.order) if moment is None else moment)})
         along = Window.partitionBy(*self.keys).orderBy(F.col(self.bucket).desc() if descending else F.col(self.bucket))
         ends = ends.withColumn(carried, F.lag(carried).over(along))
         marked = rows.withColumns({name: F.lag(value).over(inside), first: F.lag(F.lit(False), 1, True).over(inside)})
@@ -135,14 +131,6 @@ class Buckets:
         same = [rows[name].eqNullSafe(side[name]) for name in (*self.keys, self.bucket)]
         return rows.join(side, same, "left").select(*[rows[name] for name in rows.columns], *[side[name] for name in carried])
 
-    def _ordinal(self, rows: DataFrame) -> Column:
-        """The order as one value: a decimal where it is a time and a number, which hash aggregation takes."""
-        kinds = [rows.schema[name].dataType for name in self.order]
-        if len(kinds) == 2 and isinstance(kinds[0], (T.TimestampType, T.TimestampNTZType)) and isinstance(kinds[1], T.IntegralType):
-            time, number = F.col(self.order[0]), F.coalesce(F.col(self.order[1]).cast("long"), F.lit(-(1 << 63)))
-            return F.coalesce(ordinal(time, number), F.lit(_BEFORE_ALL_TIMES) + number.cast("decimal(19,0)"))
-        return F.struct(*self.order)
-
 
 def with_previous(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, descending: bool = False

@@ -8,9 +8,15 @@ from collections.abc import Mapping, Sequence
 from datetime import date
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.operators.segments import free_name
+from tickloom.session import written
+
+_TOO_MANY = "the query gives more than"
+
 
 def strict_cast(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Cast the listed columns; a value that does not fit or a column that does not exist is an error."""
@@ -82,10 +88,25 @@ def guarded_select(
     args: Mapping[str, object] | None = None,
     path: str | None = None,
 ) -> DataFrame:
-    """Run a parameterised query; the caller must say how many rows it gives at most. More are an error, none is cut."""
+    """Run a parameterised query; the caller must say how many rows it gives at most. More are an error, none is cut.
+
+    The query runs once: its rows are written, counted from the files' footers and read back in the query's order, so the
+    rows returned are those that were counted.
+    """
     if limit < 1:
         raise ValueError("limit must be positive")
     found = spark.sql(statement_text(query, path), args=dict(args or {}))
-    if found.limit(limit + 1).count() > limit:
-        raise ValueError(f"the query gives more than {limit} rows")
-    return found
+    place = free_name(found, "place")
+    numbered = found.withColumn(place, F.monotonically_increasing_id())
+    # The lower bits count the rows of a task, so a task that alone has too many ends the run early.
+    message = F.lit(f"{_TOO_MANY} {limit} rows")
+    sound = F.when(F.col(place).bitwiseAND((1 << 33) - 1) < limit, True).otherwise(F.raise_error(message).cast("boolean"))
+    try:
+        rows = written(numbered.filter(sound), "guarded")
+    except PySparkException as error:
+        if _TOO_MANY in str(error):
+            raise ValueError(f"{_TOO_MANY} {limit} rows") from None
+        raise
+    if rows.count() > limit:
+        raise ValueError(f"{_TOO_MANY} {limit} rows")
+    return rows.orderBy(place).drop(place)
