@@ -206,3 +206,63 @@ def test_files_go_from_pending_to_landed_to_archived(spark, tmp_path):
     assert states()["3.json"] == ("pending", None, 0)
     run()
     assert states()["2.json"] == ("archived", 2, 2) and states()["3.json"] == ("landed", 3, 1)
+
+
+def _item(spark, number):
+    moment = datetime.datetime(2024, 1, 1)
+    rows = [(number % 7, number, moment, number), (100 + number % 13, number, moment, number)]
+    return spark.createDataFrame(rows, "k int, v int, updated_at timestamp_ntz, seq long").coalesce(1)
+
+
+def _summed(parts):
+    return parts.groupBy("k").agg(F.sum("v").alias("v"), F.max("updated_at").alias("updated_at"), F.max("seq").alias("seq"))
+
+
+def test_fifty_batches_leave_few_folders_and_the_same_result(spark, monkeypatch):
+    """Spans of four; batches that run again, a compaction in the middle, and one that is still going on."""
+    monkeypatch.setattr(changes, "FAN_IN", 4)
+    target = scratch_path(spark, "changes")
+    for number in range(50):
+        changes.write_part(_item(spark, number), target, number, _summed)
+        if number in (15, 33):
+            changes.write_part(_item(spark, number), target, number, _summed)
+        if number == 21:
+            changes.compact(spark, target, _summed)
+        if number == 37:
+            os.makedirs(f"{target}/intent=37")
+        if number % 7 == 0 or number == 49:
+            want = {}
+            for n in range(number + 1):
+                for k in (n % 7, 100 + n % 13):
+                    want[k] = want.get(k, 0) + n
+            assert {r.k: r.v for r in changes.current(spark, target, _summed).collect()} == want
+            assert len(changes._parts(spark, target)) <= 12
+            assert sum("=" in name for name in os.listdir(target)) <= 30
+    assert changes.compact(spark, target, _summed) == 49
+    changes.write_part(_item(spark, 50), target, 50, _summed)
+    assert changes.compact(spark, target, _summed) == 50
+    assert sorted(name for name in os.listdir(target) if "=" in name and "intent" not in name) == ["batch=50", "upto=49", "upto=50"]
+
+
+def test_a_compaction_that_ends_after_a_span_was_merged_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(changes, "FAN_IN", 2)
+    target = scratch_path(spark, "changes")
+    write = changes.write_part
+    for number in range(3):
+        write(_item(spark, number), target, number, _summed)
+    late = []
+
+    def merging(parts):
+        """The stream goes on for six batches while the compaction runs."""
+        if not late:
+            late.append(True)
+            for number in range(3, 9):
+                write(_item(spark, number), target, number, _summed)
+        return _summed(parts)
+
+    assert changes.compact(spark, target, merging) == 2
+    total = sum(r.v for r in changes.current(spark, target, _summed).collect())
+    assert total == 2 * sum(range(9))
+    for number in range(9, 16):
+        write(_item(spark, number), target, number, _summed)
+    assert sum(r.v for r in changes.current(spark, target, _summed).collect()) == 2 * sum(range(16))
