@@ -1,3 +1,4 @@
+import datetime
 import json
 
 import pytest
@@ -77,6 +78,14 @@ def test_captured_files_are_read_whole(spark, tmp_path):
     assert [r["asset"] for r in rejected.collect()] == ["C"]
 
 
+def test_written_captures_come_back_with_their_names(spark):
+    rows = [("BTC_X/y+z %41", datetime.datetime(2024, 1, 1, 2, 3, 4), "[[1]]\n[2]"), ("é=1", datetime.datetime(2024, 1, 1), "x")]
+    folder = scratch_path(spark, "captures")
+    klines.write_captures(spark.createDataFrame(rows, "asset string, scraped_time timestamp_ntz, payload string"), folder)
+    got = [(r.asset, r.scraped_time, r.payload.rstrip("\n")) for r in klines.read_captures(spark, folder).collect()]
+    assert sorted(got) == sorted(rows)
+
+
 def test_files_with_other_names_are_quarantined(spark, tmp_path):
     for name in ("A_20240131_235959.json", "A_late.json", "notes.json", "A_20241331_000000.json"):
         (tmp_path / name).write_text(json.dumps([BAR]))

@@ -12,7 +12,7 @@ from tickloom.functions.moments import record_text
 from tickloom.operators.ticks import bars
 from tickloom.registry import views
 from tickloom.session import scratch_path
-from tickloom.sources import lake, relational
+from tickloom.sources import klines, lake, relational
 
 RECORDS_PER_FILE = 5000
 SHORT_RUN = 200
@@ -97,6 +97,16 @@ def kline_payloads(spark: SparkSession, folder: str) -> DataFrame:
     return hourly.groupBy("asset", F.col("day").alias("scraped_time")).agg(payload)
 
 
+def captured_files(spark: SparkSession, folder: str) -> str:
+    """:func:`kline_payloads` as captured files, and a stray file whose name tells no asset and time."""
+    path = scratch_path(spark, "captures")
+    payloads = kline_payloads(spark, folder)
+    klines.write_captures(payloads, path)
+    stray = payloads.filter(F.col("asset") == "click").groupBy().agg(F.min_by("payload", "scraped_time").alias("value"))
+    stray.withColumn("copied", F.lit("notes")).write.mode("append").partitionBy("copied").text(path)
+    return path
+
+
 def jdbc_url(spark: SparkSession) -> str:
     """The database named in the session, or one inside this process.
 

@@ -43,6 +43,32 @@ def normalise_klines(spark, folder):
     return klines.typed_bars(staging.kline_payloads(spark, folder))
 
 
+@query("s3_captured_files", with_views("ticks", f", {BARS} select * from typed where {_SOUND}"))
+def captured_files(spark, folder):
+    """The bars of captured files, named by asset and time; the bars of a file with another name are left out."""
+    bars = klines.typed_bars(klines.read_captures(spark, staging.captured_files(spark, folder)))
+    return bars.withColumn("scraped_time", F.col("scraped_time").cast("date"))
+
+
+_STRAY = "asset = 'click' and scraped_time = (select min(scraped_time) from typed where asset = 'click')"
+
+
+@query(
+    "s4_quarantined_files",
+    with_views(
+        "ticks",
+        f""", {BARS} select asset, scraped_time, count(1) as bars from typed where not ({_SOUND}) group by all
+        union all select 'stray', null, count(1) from typed where {_STRAY} having count(1) > 0""",
+    ),
+)
+def quarantined_files(spark, folder):
+    """Of captured files: the assets with a flawed bar, and the stray file, whose own name Spark chose."""
+    captured = klines.read_captures(spark, staging.captured_files(spark, folder))
+    _, rejected = klines.split_by_health(klines.parse_bars(captured))
+    asset = F.when(F.col("scraped_time").isNull(), "stray").otherwise(F.col("asset")).alias("asset")
+    return rejected.groupBy(asset, F.to_date("scraped_time").alias("scraped_time")).agg(F.count(F.lit(1)).alias("bars"))
+
+
 @query("s4_sound_captures", with_views("ticks", f", {BARS} select * from typed where not ({_BROKEN})"))
 def sound_captures(spark, folder):
     return klines.typed_bars(staging.kline_payloads(spark, folder), unit=("asset", "scraped_time"))

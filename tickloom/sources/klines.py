@@ -29,19 +29,35 @@ BAR_TYPES = {
 }
 # Failed units joined by broadcast; a unit is a few dozen bytes.
 MAX_BROADCAST_UNITS = 200_000
+_CAPTURE = "capture"
 _FILE_NAME = r"^(.+)_(\d{8}_\d{6})\.json$"
 _INTEGERS = ("bigint", "int", "smallint", "tinyint")
 
 
+def write_captures(payloads: DataFrame, folder: str) -> None:
+    """Write captured payloads as files, each in a folder ``capture={asset}_{yyyyMMdd_HHmmss}.json``.
+
+    Spark names its files itself, so the folder carries the name. Every payload is a file of its own.
+    """
+    name = F.concat("asset", F.lit("_"), F.date_format("scraped_time", FILE_FORMAT), F.lit(".json"))
+    named = payloads.select(F.col("payload").alias("value"), name.alias(_CAPTURE))
+    named.write.mode("append").option("maxRecordsPerFile", 1).partitionBy(_CAPTURE).text(folder)
+
+
 def read_captures(spark: SparkSession, folder: str) -> DataFrame:
     """Captured payload files named ``{asset}_{yyyyMMdd_HHmmss}.json``: asset, scrape time and whole text of each.
 
-    A file with another name has its name as asset and no scrape time, which makes its bars bad.
+    Files of :func:`write_captures` have the name of their folder. A file with another name has its name as asset and no
+    scrape time, which makes its bars bad.
     """
-    name = base_name(F.col("_metadata.file_path"))
+    path = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    captured = F.regexp_extract(path, f"/{_CAPTURE}=([^/]+)/[^/]*$", 1)
+    # A partition folder escapes its value, and the path the folder.
+    unescaped = F.url_decode(F.replace(captured, F.lit("+"), F.lit("%2B")))
+    name = F.when(captured != "", unescaped).otherwise(base_name(path))
     time = F.try_to_timestamp(F.regexp_extract(name, _FILE_NAME, 2), F.lit(FILE_FORMAT)).cast("timestamp_ntz")
     asset = F.when(time.isNotNull(), F.regexp_extract(name, _FILE_NAME, 1)).otherwise(name)
-    return spark.read.text(folder, wholetext=True).select(
+    return spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True).select(
         asset.alias("asset"), time.alias("scraped_time"), F.col("value").alias("payload")
     )
 
