@@ -186,6 +186,8 @@ def _block_links(members: DataFrame, sets: DataFrame, sketched: DataFrame, perce
     blocks = sized.groupBy("band").agg(
         load(F.count("*"), F.sum("n_shingles")).alias("all_blocks"), load(F.count_if("minor"), minor_words).alias("minor_blocks")
     )
+    # One row per bucket that holds several components; in a plain join a hot bucket is split, as nothing else hangs on it.
+    blocks = broadcast_if_small(written(blocks, "blocks"), MAX_BROADCAST_IDS)
     whole = sized.drop("n_shingles").join(sets, "key").join(blocks, "band")
     own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
