@@ -3,14 +3,16 @@
 import datetime
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import keyed, pnl, positions
+from tickloom.operators.segments import SEGMENT_ROWS
 from tickloom.registry import views
 from tickloom.session import scratch_path
-from tickloom.streaming import changes, jobs, landing
+from tickloom.streaming import changes, jobs, landing, openings
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -266,3 +268,40 @@ def test_a_compaction_that_ends_after_a_span_was_merged_loses_nothing(spark, mon
     for number in range(9, 16):
         write(_item(spark, number), target, number, _summed)
     assert sum(r.v for r in changes.current(spark, target, _summed).collect()) == 2 * sum(range(16))
+
+
+@pytest.mark.parametrize("rows_per_bucket", ["5", "100000"])
+def test_openings_over_batches_equal_a_walk_over_each_position(spark, monkeypatch, rows_per_bucket):
+    """Random turns, flat marks, and batches that cut runs anywhere; merged in tiers of two."""
+    monkeypatch.setattr(changes, "FAN_IN", 2)
+    source = random.Random(5)
+    start, marks = datetime.datetime(2024, 1, 1), []
+    side = {p: 1.0 for p in range(4)}
+    for i in range(300):
+        p = source.randrange(4)
+        if source.random() < 0.2:
+            side[p] = source.choice([1.0, -2.0, 0.0])
+        marks.append((i, p, side[p], 100.0, float(source.randint(60, 150)), 5, start + datetime.timedelta(seconds=i // 3)))
+    schema = "mark_id long, position_id int, position_amt double, entry_price double, mark_price double, leverage int, mark_time timestamp_ntz"
+    candidates = {r.mark_id: r.candidate for r in positions.stop_candidates(spark.createDataFrame(marks, schema)).collect()}
+    want = {}
+    for i, p, amount, *_, time in marks:
+        now = "LONG" if amount > 0 else "SHORT" if amount < 0 else None
+        was, opened, best = want.get(p, (object(), None, None))
+        if now != was:
+            opened, best = (time, i), None
+        if candidates[i] is not None:
+            best = candidates[i] if best is None else (max if now == "LONG" else min)(best, candidates[i])
+        want[p] = (now, opened, best)
+    want = {p: (now, *opened, best) for p, (now, opened, best) in want.items() if now and best is not None}
+    target = scratch_path(spark, "changes")
+    spark.conf.set(SEGMENT_ROWS, rows_per_bucket)
+    try:
+        for number, (begin, end) in enumerate([(0, 7), (7, 60), (60, 61), (61, 190), (190, 300)]):
+            batch = marks[begin:end]
+            source.shuffle(batch)
+            changes.write_part(openings.stretches(spark.createDataFrame(batch, schema)), target, number, openings.join_stretches)
+    finally:
+        spark.conf.unset(SEGMENT_ROWS)
+    found = openings.open_stops(changes.current(spark, target, openings.join_stretches)).collect()
+    assert {r.position_id: (r.side, r.opened_at, r.opened_by, r.stop) for r in found} == want and len(want) >= 2

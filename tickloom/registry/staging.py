@@ -74,6 +74,16 @@ def land_runs(records: DataFrame, path: str, per_run: int, cut_off: Column | Non
     grouped.select(document.alias("value")).write.mode("append").option("maxRecordsPerFile", 1).text(path)
 
 
+def mark_files(spark: SparkSession, folder: str) -> str:
+    """The marks without ``opened_at`` as four files, earlier days in earlier files."""
+    path = scratch_path(spark, "marks")
+    marks = views.marks(spark, folder).drop("opened_at")
+    for part in range(4):
+        of_part = F.least(F.floor((F.dayofmonth("mark_time") - 1) / 8), F.lit(3)) == part
+        marks.filter(of_part).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def kline_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Hourly bars of the ticks as captured payloads, one per asset and day.
 

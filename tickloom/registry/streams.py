@@ -10,7 +10,7 @@ from tickloom.registry.book import query
 from tickloom.registry.tables import LOADED
 from tickloom.registry.views import with_views
 from tickloom.session import scratch_path
-from tickloom.streaming import changes, jobs, landing
+from tickloom.streaming import changes, jobs, landing, openings
 
 FILES_PER_BATCH = 500
 
@@ -104,6 +104,29 @@ def stop_stream(spark, folder):
     return jobs.stops_in_force(_run(jobs.scored_marks(marks), jobs.best_stops))
 
 
+@query(
+    "t3_stop_stream_without_openings",
+    with_views(
+        "marks",
+        f""", {trading.CANDIDATES}, turns as (select *, lag(side) over w is distinct from side or row_number() over w = 1 as turn from c
+            window w as (partition by position_id order by mark_time, mark_id)),
+        runs as (select *, count(*) filter (turn) over (partition by position_id order by mark_time, mark_id rows unbounded preceding) as run from turns),
+        ended as (select *, max(run) over (partition by position_id) as open_run from runs)
+        select position_id, side, min(mark_time) as opened_at, arg_min(mark_id, (mark_time, mark_id)) as opened_by,
+            case when side = 'LONG' then max(candidate) else min(candidate) end as stop
+        from ended where run = open_run and side is not null group by position_id, side having count(candidate) > 0""",
+    ),
+)
+def stop_stream_without_openings(spark, folder):
+    """The feed does not tell when a position was opened; marks come in four micro-batches."""
+    path, target = staging.mark_files(spark, folder), scratch_path(spark, "changes")
+    schema = views.marks(spark, folder).drop("opened_at").schema
+    marks = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    merge = openings.join_stretches
+    changes.write_parts(marks, target, scratch_path(spark, "offsets"), merge, openings.stretches).awaitTermination()
+    return openings.open_stops(changes.current(spark, target, merge))
+
+
 @query("t4_latest_item_stream", with_views("kv_puts", f", {keyvalue.STATE} select * from state"))
 def latest_item_stream(spark, folder):
     return _run(_streamed_puts(spark, folder), jobs.latest_items(keyvalue.KEYS, keyvalue.ORDER))

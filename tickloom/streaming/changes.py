@@ -28,11 +28,16 @@ FAN_IN = 10
 Part = tuple[int, int, str]
 
 
-def write_parts(rows: DataFrame, folder: str, checkpoint: str, merge: Merge, **trigger) -> StreamingQuery:
-    """Start the stream; by default it takes what is there and ends."""
+def write_parts(
+    rows: DataFrame, folder: str, checkpoint: str, merge: Merge, reduce: Merge | None = None, **trigger
+) -> StreamingQuery:
+    """Start the stream; by default it takes what is there and ends.
+
+    ``reduce`` turns the rows of a batch into such as ``merge`` takes; without it they already are.
+    """
 
     return (
-        rows.writeStream.foreachBatch(lambda batch, number: write_part(batch, folder, number, merge))
+        rows.writeStream.foreachBatch(lambda batch, number: write_part(batch if reduce is None else reduce(batch), folder, number, merge))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
