@@ -10,7 +10,7 @@ from tickloom.operators import keyed, pnl, positions, shaping
 from tickloom.operators import ticks as t
 from tickloom.plans import model_weights
 from tickloom.registry import views
-from tickloom.session import broadcast_if_small, shared_dir, written
+from tickloom.session import broadcast_if_small, shared_dir, written_counted
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -38,7 +38,7 @@ def test_top_rows_need_no_full_sort(spark):
 def test_newest_items_are_found_without_sorting_the_puts(spark, monkeypatch):
     puts, keys, order = views.kv_puts(spark, SMALL), ["asset", "model_type"], ["updated_at", "seq"]
     plans = []
-    monkeypatch.setattr(keyed, "written", lambda frame, label: plans.append(plan(frame)) or written(frame, label))
+    monkeypatch.setattr(keyed, "written_counted", lambda frame, label: plans.append(plan(frame)) or written_counted(frame, label))
     text = plan(keyed.latest_per_key(puts, keys, order))
     # The moments: a hash aggregate that combines before its shuffle.
     assert plans[0].count("HashAggregate") == 2 and "partial_max" in plans[0] and "Sort" not in plans[0]
@@ -49,7 +49,7 @@ def test_newest_items_are_found_without_sorting_the_puts(spark, monkeypatch):
 
 def test_a_guarded_select_runs_once_and_counts_in_all_tasks(spark, monkeypatch):
     runs = []
-    monkeypatch.setattr(shaping, "written", lambda frame, label: runs.append(plan(frame)) or written(frame, label))
+    monkeypatch.setattr(shaping, "written_counted", lambda frame, label: runs.append(plan(frame)) or written_counted(frame, label))
     spark.range(50).createOrReplaceTempView("guarded_rows")
     found = shaping.guarded_select(spark, "SELECT id, rand() AS r FROM guarded_rows ORDER BY id DESC", limit=50)
     assert len(runs) == 1 and "SinglePartition" not in runs[0] + plan(found) and "Limit" not in runs[0]

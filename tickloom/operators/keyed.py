@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.moments import order_value
 from tickloom.operators.segments import free_name
-from tickloom.session import broadcast_if_small, written
+from tickloom.session import written_counted
 
 SECONDS_PER_DAY = 86400
 # Keys with their newest moment joined by broadcast, some fifty bytes each.
@@ -36,8 +36,8 @@ def _at_newest(puts: DataFrame, keys: Sequence[str], moment: Column) -> DataFram
     names = {name: free_name(puts, f"of_{name}") for name in keys}
     own, newest = free_name(puts, "moment"), free_name(puts, "newest")
     dated = puts.withColumn(own, moment)
-    tops = written(dated.groupBy(*keys).agg(F.max(own).alias(newest)).withColumnsRenamed(names), "newest")
-    side = broadcast_if_small(tops, MAX_BROADCAST_KEYS)
+    tops, count = written_counted(dated.groupBy(*keys).agg(F.max(own).alias(newest)).withColumnsRenamed(names), "newest")
+    side = F.broadcast(tops) if count <= MAX_BROADCAST_KEYS else tops
     same = [dated[name].eqNullSafe(side[names[name]]) for name in keys]
     return dated.join(side, [*same, dated[own].eqNullSafe(side[newest])], "left_semi").drop(own)
 

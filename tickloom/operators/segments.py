@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions.moments import order_value
-from tickloom.session import broadcast_if_small, written
+from tickloom.session import broadcast_if_small, written, written_counted
 
 SEGMENT_ROWS, DEFAULT_ROWS = "spark.tickloom.segment.rows", 500_000
 SAMPLES_PER_BUCKET = 32
@@ -54,8 +54,8 @@ class Buckets:
         self.bucket = free_name(df, "bucket")
         rows = int(df.sparkSession.conf.get(SEGMENT_ROWS, str(DEFAULT_ROWS)))
         large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(self.bucket)).filter(F.col(self.bucket) > rows).select(*keys)
-        large = written(large, "large_keys")
-        self.bounds = None if large.isEmpty() else written(self._bounds(df, large, rows), "bounds")
+        large, count = written_counted(large, "large_keys")
+        self.bounds = written(self._bounds(df, large, rows), "bounds") if count else None
 
     def _bounds(self, df: DataFrame, large: DataFrame, rows: int) -> DataFrame:
         """Per large key the first row of every bucket but the first one."""

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.segments import free_name
-from tickloom.session import written
+from tickloom.session import written_counted
 
 _TOO_MANY = "the query gives more than"
 
@@ -90,7 +90,7 @@ def guarded_select(
 ) -> DataFrame:
     """Run a parameterised query; the caller must say how many rows it gives at most. More are an error, none is cut.
 
-    The query runs once: its rows are written, counted from the files' footers and read back in the query's order, so the
+    The query runs once: its rows are written, counted by the tasks that write them and read back in the query's order, so the
     rows returned are those that were counted.
     """
     if limit < 1:
@@ -102,11 +102,11 @@ def guarded_select(
     message = F.lit(f"{_TOO_MANY} {limit} rows")
     sound = F.when(F.col(place).bitwiseAND((1 << 33) - 1) < limit, True).otherwise(F.raise_error(message).cast("boolean"))
     try:
-        rows = written(numbered.filter(sound), "guarded")
+        rows, count = written_counted(numbered.filter(sound), "guarded")
     except PySparkException as error:
         if _TOO_MANY in str(error):
             raise ValueError(f"{_TOO_MANY} {limit} rows") from None
         raise
-    if rows.count() > limit:
+    if count > limit:
         raise ValueError(f"{_TOO_MANY} {limit} rows")
     return rows.orderBy(place).drop(place)

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -68,6 +68,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """:func:`written`, and how many rows were written, counted by the tasks that write them."""
+    counted = Observation()
+    rows = written(df.observe(counted, F.count(F.lit(1)).alias("rows")), label)
+    return rows, counted.get["rows"]
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` only after counting that it holds at most ``max_rows`` rows; otherwise a plain join side.
 
