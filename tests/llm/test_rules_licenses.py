@@ -118,3 +118,43 @@ def test_lines_are_told_apart_where_simple_hashes_agree(spark):
     for n in (1024, 4096):
         rows += [(n, "\n".join(same_hash_modulo_powers_of_two(n)), "en", "h", 0), (n + 1, "\n".join(" ".join(w) for w in same_hash_modulo_powers_of_two(n)), "en", "h", 0)]
     assert {r.n_dup_lines for r in line_rules.quality_rules(spark.createDataFrame(rows, DOCUMENTS)).collect()} == {0}
+
+
+@pytest.mark.parametrize(
+    ("text", "labels", "permissive", "known"),
+    [
+        ("NONE", "", None, False),
+        ("NOASSERTION", "", None, False),
+        ("Proprietary", "", None, False),
+        ("LicenseRef-Acme", "", None, False),
+        ("see below", "", None, False),
+        ("EUPL-1.2", "eupl", False, True),
+        ("CDDL-1.0", "cddl", False, True),
+        ("OSL-3.0", "osl", False, True),
+        ("MIT OR Proprietary", "mit", True, False),
+        ("GPL-3.0-only OR Proprietary", "gpl", None, False),
+        ("MIT AND Proprietary", "mit", None, False),
+        ("GPL-3.0-only AND Proprietary", "gpl", False, False),
+        ("GPL-2.0-only WITH Classpath-exception-2.0", "gpl", True, True),
+        ("GPL-2.0-only WITH Some-exception-1.0", "gpl", False, True),
+        ("Proprietary WITH Classpath-exception-2.0", "", None, False),
+        ("CC-BY-NC-SA-4.0", "cc-by-nc-sa", False, True),
+        ("CC-BY-4.0", "cc-by", True, True),
+        ("0BSD", "0bsd", True, True),
+        ("mitigated", "", None, False),
+    ],
+)
+def test_unknown_names_are_no_licenses(text, labels, permissive, known):
+    found = licenses.parse_expression(text)
+    assert (",".join(sorted(found.labels)), found.permissive, found.known) == (labels, permissive, known)
+
+
+def test_scores_of_unknown_names_odd_rows_and_empty_tables(spark):
+    tag = "SPDX-License-Identifier: "
+    rows = [(1, tag + "see below"), (2, f"{tag}NONE\nthe MIT License"), (3, f"{tag}MIT\n{tag}Proprietary"), (3, f"{tag}MIT\n{tag}Proprietary"), (None, tag)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as key", "2 as labels", "'x' as score")
+    got = [tuple(r) for r in licenses.license_scan(df).select("doc_id", "labels", "permissive", "score").collect()]
+    assert sorted(got, key=str) == sorted([(1, "", None, 0.6), (2, "mit", None, 0.8), (3, "mit", None, 1.0), (3, "mit", None, 1.0), (None, "", None, 0.5)], key=str)
+    assert licenses.license_scan(df.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "mit license " * 200_000)], "doc_id long, text string")
+    assert licenses.license_scan(long).first().n_base == 200_000

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
@@ -51,9 +51,75 @@ FAMILIES = {
     "cc-by": ("cc-by", False),
     "cc0": ("cc0", False),
     "unlicense": ("unlicense", False),
+    "0bsd": ("0bsd", False),
+    "afl": ("afl", False),
+    "apsl": ("apsl", True),
+    "artistic": ("artistic", False),
+    "blueoak": ("blueoak", False),
+    "cc-by-nc": ("cc-by-nc", False),
+    "cc-by-nc-sa": ("cc-by-nc-sa", True),
+    "cddl": ("cddl", True),
+    "cecill": ("cecill", True),
+    "cecill-b": ("cecill-b", False),
+    "cecill-c": ("cecill-c", True),
+    "cpal": ("cpal", True),
+    "cpl": ("cpl", True),
+    "curl": ("curl", False),
+    "ecl": ("ecl", False),
+    "eupl": ("eupl", True),
+    "ftl": ("ftl", False),
+    "gfdl": ("gfdl", True),
+    "hpnd": ("hpnd", False),
+    "icu": ("icu", False),
+    "ijg": ("ijg", False),
+    "ipl": ("ipl", True),
+    "libpng": ("libpng", False),
+    "lppl": ("lppl", False),
+    "ms-pl": ("ms-pl", False),
+    "ms-rl": ("ms-rl", True),
+    "mulanpsl": ("mulanpsl", False),
+    "ncsa": ("ncsa", False),
+    "npl": ("npl", True),
+    "odbl": ("odbl", True),
+    "ofl": ("ofl", True),
+    "openssl": ("openssl", False),
+    "osl": ("osl", True),
+    "php": ("php", False),
+    "postgresql": ("postgresql", False),
+    "psf": ("psf", False),
+    "python": ("python", False),
+    "qpl": ("qpl", True),
+    "rpl": ("rpl", True),
+    "sissl": ("sissl", True),
+    "sleepycat": ("sleepycat", True),
+    "spl": ("spl", True),
+    "sspl": ("sspl", True),
+    "upl": ("upl", False),
+    "w3c": ("w3c", False),
+    "wtfpl": ("wtfpl", False),
+    "x11": ("x11", False),
+    "zlib": ("zlib", False),
+    "zpl": ("zpl", False),
 }
-#: Confidence by the strongest sign found.
-EXPRESSION_SCORE, PHRASE_SCORE, BROKEN_SCORE = 1.0, 0.8, 0.5
+#: Exceptions after which linked works need not follow the license.
+LINKING_EXCEPTIONS = {
+    "autoconf-exception",
+    "bison-exception",
+    "classpath-exception",
+    "font-exception",
+    "gcc-exception",
+    "gnat-exception",
+    "libtool-exception",
+    "linux-syscall-note",
+    "llvm-exception",
+    "ocaml-lgpl-linking-exception",
+    "openjdk-assembly-exception",
+    "qt-lgpl-exception",
+    "universal-foss-exception",
+    "wxwindows-exception",
+}
+#: Confidence by the strongest sign found; an expression with a name that no family has says less than a phrase.
+EXPRESSION_SCORE, PHRASE_SCORE, UNKNOWN_SCORE, BROKEN_SCORE = 1.0, 0.8, 0.6, 0.5
 
 SEPARATORS = table(bytes(b for b in range(128) if not chr(b).isdigit() and not chr(b).islower()))
 _TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
@@ -62,27 +128,46 @@ _RANK = {"or": 1, "and": 2, "with": 3}
 
 @dataclass(frozen=True)
 class Expression:
-    """A license expression: normalised text, labels named in it, and whether some choice avoids copyleft."""
+    """A license expression: normalised text, labels of the known licenses in it, and whether some choice avoids copyleft.
+
+    ``permissive`` is None where that hangs on a name that is not known; ``known`` tells whether all names are.
+    """
 
     text: str
     labels: frozenset[str]
-    permissive: bool
+    permissive: bool | None
+    known: bool = True
 
 
 def _license(name: str) -> Expression:
+    """One name. ``NONE``, ``NOASSERTION``, references and all other names without a family are unknown, no licenses."""
     own = name.lower().rstrip(".:-")
     stem = max((f for f in FAMILIES if own == f or own.startswith((f + "-", f + "+"))), key=len, default=None)
-    label, copyleft = FAMILIES[stem] if stem else (own, False)
+    if stem is None:
+        return Expression(name.rstrip(".:-"), frozenset(), None, False)
+    label, copyleft = FAMILIES[stem]
     return Expression(name.rstrip(".:-"), frozenset([label]), not copyleft)
 
 
+def _all(values: Iterable[bool | None]) -> bool | None:
+    """``and`` of truths that may be unknown."""
+    found = list(values)
+    return False if False in found else None if None in found else True
+
+
+def _any(values: Iterable[bool | None]) -> bool | None:
+    found = list(values)
+    return True if True in found else None if None in found else False
+
+
 def _apply(operator: str, left: Expression, right: Expression) -> Expression:
     text = f"({left.text} {operator.upper()} {right.text})"
     if operator == "with":
-        return Expression(text, left.labels, True if "exception" in right.text.lower() else left.permissive)
-    both = left.labels | right.labels
-    chosen = left.permissive or right.permissive if operator == "or" else left.permissive and right.permissive
-    return Expression(text, both, chosen)
+        # What follows is the name of an exception, not of a license.
+        name = re.sub(r"-[0-9.]+$", "", right.text.lower())
+        return Expression(text, left.labels, True if left.known and name in LINKING_EXCEPTIONS else left.permissive, left.known)
+    both = (left.permissive, right.permissive)
+    return Expression(text, left.labels | right.labels, _any(both) if operator == "or" else _all(both), left.known and right.known)
 
 
 def parse_expression(text: str) -> Expression | None:
@@ -172,10 +257,11 @@ def license_scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """Per row: key, ``n_words, n_base, first_word, last_word, base_labels, labels, expressions, permissive, score``.
 
     Base places are those of ``BASE_PHRASES``. ``labels`` adds those of other notices and of the expressions that
-    follow an identifier tag up to the end of its line. ``permissive`` tells whether all expressions can be met without
-    copyleft, null if there is none. ``score`` is 1 with a valid expression, 0.8 with a phrase, 0.5 if there is only a
-    tag without a valid expression, else 0. Null and empty texts have no words and empty labels. Every input row gives
-    one row. Other columns are not read.
+    follow an identifier tag up to the end of its line; a name that belongs to no known family has no label.
+    ``permissive`` tells whether all expressions can be met without copyleft, null if there is none or that hangs on an
+    unknown name. ``score`` is 1 with an expression of known licenses, 0.8 with a phrase, 0.6 with an expression of which
+    some name is unknown, 0.5 if there is only a tag without a valid expression, else 0. Null and empty texts have no words
+    and empty labels. Every input row gives one row. Other columns are not read.
     """
     ship(df.sparkSession)
     names = ["key", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "expressions", "permissive", "score"]
@@ -225,8 +311,8 @@ def _summary(places: list, part, text: int) -> tuple:
             if found:
                 expressions.append(found)
                 labels |= found.labels
-        score = EXPRESSION_SCORE if expressions else BROKEN_SCORE
-    if labels:
+        score = EXPRESSION_SCORE if any(e.known for e in expressions) else UNKNOWN_SCORE if expressions else BROKEN_SCORE
+    if any(phrase != TAG for _, phrase, _ in places):
         score = max(score, PHRASE_SCORE)
     return (
         len(base),
@@ -235,6 +321,6 @@ def _summary(places: list, part, text: int) -> tuple:
         ",".join(sorted(base_labels)),
         ",".join(sorted(labels)),
         [e.text for e in expressions],
-        all(e.permissive for e in expressions) if expressions else None,
+        _all(e.permissive for e in expressions) if expressions else None,
         score,
     )
