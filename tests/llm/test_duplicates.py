@@ -251,3 +251,47 @@ def test_ids_repeated_a_thousand_times_are_compared_once(spark, monkeypatch):
     got = minhash.near_duplicates(spark.createDataFrame(rows, DOCUMENTS), size=3, percent=85).distinct().collect()
     assert seen == {"pairs": 1, "comparisons": 1}
     assert {r.doc_id: (r.component_id, r.kept) for r in got} == {1: (1, True), 2: (1, False), 3: (3, True)}
+
+
+def test_long_items_need_few_members_of_a_document(spark):
+    """Per item class: the share of a document's members that is signed, and how many planted items are candidates."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    words = lambda n: [word() for _ in range(n)]
+    shares = {}
+    for size in (10, 20, 54, 150):
+        items = [(i, words(size + 4)) for i in range(40)]
+        docs = []
+        for i, own in items:
+            # A fifth of the members is lost: the last words differ.
+            kept = own[: len(own) - size // 5]
+            docs.append((i, " ".join([*words(rng.choice([0, 300, 3000])), *kept, *words(rng.choice([0, 50]))])))
+        docs += [(1000 + i, " ".join(words(900))) for i in range(40)]
+        frame, table = spark.createDataFrame(docs, DOCUMENTS), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+        got = {(r.doc_id, r.item_id) for r in containment.contained_items(frame, table).collect()}
+        assert got == {(i, i) for i in range(40)}, size
+        load = containment.load_for(int(0.8 * size + 0.999))
+        named = containment.with_members(frame.withColumnRenamed("doc_id", "doc"))
+        total = named.selectExpr("sum(size(members))").first()[0]
+        shares[size] = containment.document_signatures(named, [load]).count() / total
+    print({size: round(share, 3) for size, share in shares.items()})
+    assert shares[54] < 0.35 and shares[150] < 0.15 and shares[10] < 0.9
+
+
+def test_classes_of_items_do_not_disturb_each_other(spark):
+    """Items from one to four hundred members at once, in documents of all sizes; repeated rows and odd columns too."""
+    rng = random.Random(12)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    items = [(i, " ".join(words(n))) for i, n in enumerate([5, 6, 9, 14, 30, 62, 130, 404])]
+    docs = [(100 * i + n, " ".join([*words(n), text, *words(n)])) for i, text in items for n in (0, 1, 50)] * 2
+    docs += [(5000, " ".join(text for _, text in items)), (5001, " ".join(words(2000)))]
+    frame = spark.createDataFrame(docs, DOCUMENTS).selectExpr("*", "1 as k", "2 as member", "3 as class", "4 as before")
+    table = spark.createDataFrame(items + items[:2], "item_id long, text string").selectExpr("*", "1 as class")
+    got = {(r.doc_id, r.item_id) for r in containment.contained_items(frame, table).collect()}
+    assert got == {(100 * i + n, i) for i, _ in items for n in (0, 1, 50)} | {(5000, i) for i, _ in items}
+
+
+def test_loads_bound_the_miss():
+    for fewest in (1, 2, 8, 16, 40, 300):
+        load = containment.load_for(fewest) / 0.8
+        assert (1 - containment.least_share(load)) ** fewest <= 1.000001e-6 < (1 - containment.least_share(load * 1.001)) ** fewest

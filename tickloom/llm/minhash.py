@@ -265,11 +265,11 @@ def near_duplicates(
     hashes = bands * rows
     sketched = written(sketches(df, key, text, size, hashes), "sketches")
     filled = sketched.filter((F.col("n_shingles") > 0) & F.col("key").isNotNull())
-    classes = filled.groupBy("d1", "d2").agg(F.min("key").alias("key"))
-    chosen = filled.join(classes, ["d1", "d2", "key"], "left_semi").groupBy("d1", "d2", "key")
-    alike = chosen.agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.count("*").alias("copies"))
-    signed = written(alike.select("key", "n_shingles", "signature", "copies"), "signatures")
-    repeated = written(signed.groupBy("key").agg(F.sum("copies").alias("n")).filter("n > 1").select("key"), "repeated")
+    # Rows of one class have one signature, so an aggregate that combines before its shuffle finds all that is needed.
+    alike = filled.groupBy("d1", "d2").agg(F.min("key").alias("key"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature"))
+    signed = written(alike, "signatures")
+    classes = signed.select("d1", "d2", "key")
+    repeated = written(filled.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "repeated")
     banded = band_keys(signed, bands, rows)
     hubs = banded.groupBy("band").agg(F.min("key").alias("a"), F.count("*").alias("n")).filter("n > 1").select("band", "a")
     buckets = written(banded.join(hubs, "band").select("band", "no", F.col("a").alias("hub"), "key"), "buckets")
