@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from tickloom.llm.scan import Slice, mixed, slices, span_hashes, words
 from tickloom.llm.workers import ship, tidied
+from tickloom.operators.segments import free_name
 from tickloom.session import written
 
 #: Words of whole chunks. With 24, one in a hundred passages of 51 words has too short a run.
@@ -179,9 +180,10 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", min_
     """
     _, runs = repeated_spans(df, key, text, min_words)
     columns = df.columns
-    runs = runs.withColumnsRenamed({"key": "__key", "row": "__row", "runs": "__runs"})
-    marked = df.withColumn("__own", F.xxhash64(key, text))
-    joined = marked.join(runs, (F.col("__own") == F.col("__row")) & F.col(key).eqNullSafe(F.col("__key")), "left")
+    names = {name: free_name(df, f"of_{name}") for name in ("key", "row", "runs")}
+    runs, own = runs.withColumnsRenamed(names), free_name(df, "own")
+    marked = df.withColumn(own, F.xxhash64(key, text))
+    joined = marked.join(runs, (F.col(own) == F.col(names["row"])) & F.col(key).eqNullSafe(F.col(names["key"])), "left")
     at = columns.index(text)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +196,7 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", min_
                 new[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(new, columns)
 
-    return joined.select(*[df[name] for name in columns], "__runs").mapInArrow(tidied(strip), df.schema)
+    return joined.select(*columns, names["runs"]).mapInArrow(tidied(strip), df.schema)
 
 
 def _stripped(old: str | None, i: int, runs: list[dict], part: Slice, found) -> str | None:
