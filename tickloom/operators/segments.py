@@ -72,7 +72,7 @@ class Buckets:
         """The rows with their bucket: 0 for small keys, else from 1 in the order of the key."""
         if self.bounds is None:
             return df.withColumn(self.bucket, F.lit(0))
-        most = self.bounds.agg(F.max(F.size(self.bucket))).first()[0]
+        most = self.bounds.agg(F.max(F.size(self.bucket))).first()[0] or 0
         side = broadcast_if_small(self.bounds, MAX_BROADCAST_SEGMENTS)
         names = {key: free_name(df, f"of_{key}") for key in self.keys}
         bounds, at = free_name(df, "bounds"), self.bucket
