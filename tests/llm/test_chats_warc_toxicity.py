@@ -86,6 +86,78 @@ def test_reader_takes_members_plain_files_and_says_what_is_broken():
     assert list(warc.parse_records(b"")) == []
 
 
+def simple_record(block, length=None, name=True, kind="resource", to=()):
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", *[f"WARC-Concurrent-To: {t}" for t in to]]
+    lines += [f"WARC-Record-ID: <urn:x:{len(block)}>"] if name else []
+    return "\r\n".join([*lines, f"Content-Length: {len(block) if length is None else length}", "", ""]).encode() + block + b"\r\n\r\n"
+
+
+def sizes_and_problems(content):
+    return [(r.get("payload_bytes"), r["problem"]) for r in warc.parse_records(content)]
+
+
+def test_reader_goes_on_behind_a_broken_member():
+    rng = random.Random(3)
+    blocks = [rng.randbytes(n) for n in (10, 90_000, 20, 200_000, 30, 5, 40)]
+    members = [gzip.compress(simple_record(b)) for b in blocks]
+    for broken in range(len(blocks)):
+        for damage in (lambda m: m[:-20] + b"\0" * 12 + m[-8:], lambda m: m[: len(m) // 2], lambda m: b"\x1f\x8b\x08" + b"\xff" * (len(m) - 3)):
+            parts = [damage(m) if i == broken else m for i, m in enumerate(members)]
+            found = sizes_and_problems(b"".join(parts))
+            sound = [size for size, problem in found if problem is None]
+            assert sound == [len(b) for i, b in enumerate(blocks) if i != broken], broken
+            assert len(found) > len(sound)
+    assert sizes_and_problems(b"".join(members) + b"\0" * 512) == [(len(b), None) for b in blocks]
+
+
+def test_reader_goes_on_behind_wrong_lengths_and_stray_bytes():
+    a, b, c = (simple_record(b"a" * 100), simple_record(b"b" * 200), simple_record(b"c" * 300))
+    sound = [(100, None), (200, None), (300, None)]
+    for pack in (bytes, gzip.compress):
+        assert sizes_and_problems(pack(a + b + c)) == sound
+        assert sizes_and_problems(pack(a + b"stray\r\n" + b + c)) == [sound[0], (None, "no record header"), *sound[1:]]
+        assert sizes_and_problems(pack(a + simple_record(b"x" * 50, 20) + c)) == [sound[0], (20, "length differs"), sound[2]]
+        assert sizes_and_problems(pack(a + simple_record(b"x" * 50, 220) + b + c)) == [sound[0], (220, "length differs"), *sound[1:]]
+        assert sizes_and_problems(pack(simple_record(b"x" * 50, 10**9) + a + b + c))[1:] == sound
+        assert sizes_and_problems(pack(a + simple_record(b"x", "x1") + b + c)) == [sound[0], (None, "no record header"), *sound[1:]]
+        assert sizes_and_problems(pack(a + b"j" * 3_000_000 + b"\r\n" + b + c)) == [sound[0], (None, "no record header"), *sound[1:]]
+
+
+def test_records_without_an_id_and_chains_of_any_length_are_assembled(spark, tmp_path):
+    chain = [("response", "r", []), *[("metadata", f"m{i}", ["r" if i == 0 else f"m{i - 1}"]) for i in range(5)], ("request", "x", ["y"]), ("metadata", "y", ["x"])]
+    schema = warc._RECORD
+    rows = [{"record_type": kind, "record_id": own, "concurrent_to": to} for kind, own, to in chain]
+    frame = spark.createDataFrame([{f.name: r.get(f.name) for f in schema.fields} for r in rows], schema)
+    got = {r.answer and r.answer.record_id: sorted(x.record_id for x in r.metadata) for r in warc.assemble(frame).collect() if r.answer}
+    assert got == {"r": [f"m{i}" for i in range(5)]}
+    assert warc.assemble(frame.limit(0)).count() == 0
+
+    content = simple_record(b"answer", kind="response") + simple_record(b"q", name=False, kind="request", to=["<urn:x:6>"]) + b"stray\r\n" + simple_record(b"m", name=False, kind="metadata", to=["<urn:x:6>"])
+    (tmp_path / "foreign.warc").write_bytes(content)
+    read = warc.read_archives(spark, f"file:{tmp_path}")
+    (whole,) = warc.assemble(read).collect()
+    assert (whole.answer.record_id, len(whole.requests), len(whole.metadata)) == ("<urn:x:6>", 1, 1)
+    assert whole.requests[0].record_id.endswith("foreign.warc#1") and whole.metadata[0].record_id.endswith("foreign.warc#3")
+
+
+def test_archives_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SIZE_CLASSES", ((1_000, 30), (10_000, 6), (None, 3)))
+    rng = random.Random(1)
+    sizes = [0, 10, 900, 5_000, 9_000, 200_000] * 20
+    rows = [(i, f"http://h.example/{i}", rng.randbytes(n // 2).hex()) for i, n in enumerate(sizes)]
+    pages = spark.createDataFrame([*rows, (None, "u", rows[-1][2]), (None, None, None)], "page_id long, url string, html string").coalesce(1)
+    folder = scratch_path(spark, "archives")
+    got = warc.page_archive(pages, folder).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest) for r in got if r.page_id is not None) == [(i, len(h), hashlib.sha1(h.encode()).hexdigest()) for i, _, h in rows]
+    assert sorted((r.record_type, r.refers_to) for r in got if r.page_id is None) == [("response", None), ("revisit", len(rows) - 1)]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    by_class = {}
+    for r in files.selectExpr("regexp_extract(path, '/([0-9])/[^/]*$', 1) as class", "content").collect():
+        by_class.setdefault(r[0], []).append(len(gzip.decompress(r.content)))
+    assert max(by_class["0"]) < 11 * 3_000 and max(by_class["1"]) < 2 * 13_000 and max(by_class["2"]) < 205_000
+    assert (len(by_class["0"]), len(by_class["1"]), len(by_class["2"])) == (7, 20, 21)
+
+
 def test_toxic_documents_are_found_on_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")

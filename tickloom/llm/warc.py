@@ -2,7 +2,8 @@ r"""WARC archives: write captures as request, response or revisit, and metadata
 
 A record is one string of bytes, and Spark's text writer ends each with the blank lines that end a record, so archives
 are written by tasks to any file system Spark knows, compressed as a whole. The reader takes files of any writer, also
-with a compressed member per record, and finds records by their lengths, not by their text.
+with a compressed member per record, and finds records by their lengths, not by their text. Only behind a broken place
+it looks for the next line that opens a record.
 """
 
 from __future__ import annotations
@@ -12,20 +13,23 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm.workers import ship, tidied
-from tickloom.session import written
+from tickloom.session import written, written_counted
 
 END = "\r\n\r\n"
 MIN_REVISIT_BYTES = 1000
-RECORDS_PER_FILE = 6000
+#: Captures up to so many bytes, and records of such captures (three each) in a file: some 128 MB before compression.
+SIZE_CLASSES = ((1 << 16, 6000), (1 << 22, 96), (None, 3))
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_READ = 1 << 20
+_READ = 1 << 16
 _FLUSH = 1 << 23
+_LONGEST_HEAD = 1 << 20
+_HEAD, _MEMBER = b"WARC/", b"\x1f\x8b\x08"
 
 
 def _record_id(kind: str, key: str = "key") -> Column:
@@ -39,8 +43,9 @@ def captures(pages: DataFrame, key: str = "page_id", uri: str = "url", payload:
     """``key, uri, payload, digest, size, refers_to``: of equal payloads of at least 1000 bytes the largest key is answered.
 
     ``digest`` is the payload's SHA-1. The others of such a group name that key in ``refers_to``. Only digests, sizes
-    and keys are shuffled to find the groups, combined before; a group of any size is one small row. Rows that share
-    the largest key of a group are all answered. Control characters of addresses are escaped; a null payload is empty.
+    and keys are shuffled to find the groups, combined before; a group of any size is one small row. The revisits, keys
+    and digests only, are written once. Rows that share the largest key of a group are all answered.
+    Control characters of addresses are escaped; a null payload is empty, a null key revisits what a group answers.
     """
     body = F.coalesce(pages[payload].cast("binary"), F.lit(b""))
     address = F.regexp_replace(F.coalesce(pages[uri], F.lit("")), r"[\x00-\x20\x7f]", "%20")
@@ -49,10 +54,11 @@ def captures(pages: DataFrame, key: str = "page_id", uri: str = "url", payload:
     large = named.filter(F.col("size") >= MIN_REVISIT_BYTES).select("key", "digest")
     groups = large.groupBy("digest").agg(F.max("key").alias("answered"), F.count("*").alias("n"))
     shared = groups.filter("n > 1").select("digest", "answered")
-    revisits = large.join(shared, "digest").filter("key < answered or key is null")
-    revisits = revisits.select(F.col("key").alias("visit"), F.col("digest").alias("seen"), F.col("answered").alias("refers_to"))
+    found = large.join(shared, "digest").filter("key < answered or key is null")
+    found = found.select(F.col("key").alias("visit"), F.col("digest").alias("seen"), F.col("answered").alias("refers_to"))
+    revisits = written(found.distinct(), "revisits")
     same = named["key"].eqNullSafe(F.col("visit")) & (named["digest"] == F.col("seen"))
-    return named.join(revisits.distinct(), same, "left").drop("visit", "seen")
+    return named.join(revisits, same, "left").drop("visit", "seen")
 
 
 def _block(kind: str, fields: list[tuple[str, Column]], content: Column) -> Column:
@@ -99,57 +105,89 @@ def records(captured: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, folder: str, **columns: str) -> None:
-    """Write all pages as archives, gzip files of at most ``RECORDS_PER_FILE`` records, into a new folder.
+    """Write all pages as archives, gzip files bounded in bytes, into a new folder.
 
-    Record ids follow from key and payload, so a task that runs again writes the same bytes.
+    Small, large and very large captures (:data:`SIZE_CLASSES`) go to files of their own, so that as many records as a
+    file takes are no more than some 128 MB, or one capture. The first pass sees the largest capture; a class without
+    any is not looked for. Record ids follow from key and payload, so a task that runs again writes the same bytes.
     """
-    rows = records(captures(pages, **columns)).select(F.col("record").cast("string").alias("value"))
-    rows.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
+    weight = F.octet_length("payload").cast("long") + 5 * F.octet_length("uri")
+    weighed = captures(pages, **columns).withColumn("weight", weight)
+    sizes, above = Observation(), -1
+    for number, (limit, most) in enumerate(SIZE_CLASSES):
+        seen = weighed if number else weighed.observe(sizes, F.max("weight").alias("largest"))
+        fits = F.lit(True) if limit is None else F.col("weight") <= limit
+        rows = records(seen.filter((F.col("weight") > above) & fits)).select(F.col("record").cast("string").alias("value"))
+        files = rows.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most)
+        files.text(f"{folder}/{number}")
+        if limit is None or (sizes.get["largest"] or 0) <= limit:
+            return
+        above = limit
+
 
+def _inflated(content: bytes) -> Iterator[bytes | None]:
+    """The bytes of a file that is plain, or one or several gzip members.
 
-def _inflated(content: bytes) -> Iterator[bytes]:
-    """The bytes of a file that is plain, or one or several gzip members; stops where compressed data is broken."""
-    if content[:2] != b"\x1f\x8b":
+    Where compressed data is broken stands ``None``; then come the members behind the start of the broken one.
+    """
+    if not content.startswith(_MEMBER[:2]):
         yield content
         return
-    rest = memoryview(content)
-    while len(rest):
-        member = zlib.decompressobj(31)
-        for begin in range(0, len(rest), _READ):
-            try:
-                yield member.decompress(rest[begin : begin + _READ])
-            except zlib.error:
-                return
-            if member.eof:
-                used = min(begin + _READ, len(rest)) - len(member.unused_data)
-                rest = rest[used:]
-                break
-        else:
-            return
+    at = 0
+    while 0 <= at < len(content) and (content[at] or content[at:].strip(b"\0")):
+        member, begin = zlib.decompressobj(31), at
+        try:
+            while not member.eof and begin < len(content):
+                if part := member.decompress(content[begin : begin + _READ]):
+                    yield part
+                begin += _READ
+        except zlib.error:
+            pass
+        if member.eof:
+            at = min(begin, len(content)) - len(member.unused_data)
+            continue
+        yield None
+        at = content.find(_MEMBER, at + 1)
+        while at >= 0 and not _opens(content, at):
+            at = content.find(_MEMBER, at + 1)
+
+
+def _opens(content: bytes, at: int) -> bool:
+    """Whether a gzip member seems to begin here: its first bytes can be read."""
+    try:
+        return bool(zlib.decompressobj(31).decompress(content[at : at + _READ]))
+    except zlib.error:
+        return False
 
 
 class _Source:
-    """Reads from chunks of bytes by length or up to a marker."""
+    """Reads from chunks of bytes by length or up to a marker. ``None`` among the chunks is a break."""
 
-    def __init__(self, chunks: Iterator[bytes]) -> None:
-        self._chunks, self._held, self._at = chunks, b"", 0
+    def __init__(self, chunks: Iterator[bytes | None]) -> None:
+        self._chunks, self._held, self._at, self.broken = chunks, b"", 0, False
 
     def _more(self) -> bool:
-        for chunk in self._chunks:
-            if chunk:
+        """Hold one more chunk; false at the end, and at a break until :meth:`next_head` has passed it."""
+        while not self.broken:
+            chunk = next(self._chunks, b"")
+            if chunk is None:
+                self.broken = True
+            elif chunk:
                 self._held, self._at = self._held[self._at :] + chunk, 0
                 return True
+            else:
+                return False
         return False
 
-    def up_to(self, marker: bytes) -> bytes | None:
+    def up_to(self, marker: bytes, longest: int) -> bytes | None:
         while (found := self._held.find(marker, self._at)) < 0:
-            if not self._more():
+            if len(self._held) - self._at > longest or not self._more():
                 return None
         taken, self._at = self._held[self._at : found], found + len(marker)
         return taken
 
     def exactly(self, size: int) -> bytes:
-        """Fewer bytes only at the end."""
+        """Fewer bytes only at the end or a break."""
         parts, missing = [], size
         while missing:
             part = self._held[self._at : self._at + missing]
@@ -160,8 +198,11 @@ class _Source:
                 break
         return b"".join(parts)
 
+    def give_back(self, taken: bytes) -> None:
+        self._held, self._at = taken + self._held[self._at :], 0
+
     def skip_blank_lines(self) -> bool:
-        """Go to the next byte that is no line break; false at the end."""
+        """Go to the next byte that is no line break; false at the end or a break."""
         while True:
             while self._at < len(self._held) and self._held[self._at] in b"\r\n":
                 self._at += 1
@@ -170,6 +211,28 @@ class _Source:
             if not self._more():
                 return False
 
+    def _ahead(self, size: int) -> bytes:
+        while len(self._held) - self._at < size and self._more():
+            pass
+        return self._held[self._at : self._at + size]
+
+    def at_border(self) -> bool:
+        """Whether a record may end here: blank lines follow, another record, or nothing that can be read."""
+        return self._ahead(len(END)) == END.encode() or not self.skip_blank_lines() or _HEAD.startswith(self._ahead(len(_HEAD)))
+
+    def next_head(self) -> bool:
+        """Go to the next line that opens a record, past breaks; false at the end."""
+        while True:
+            found = self._held.find(b"\n" + _HEAD, self._at)
+            if found >= 0:
+                self._at = found + 1
+                return True
+            self._at = max(self._at, len(self._held) - len(_HEAD))
+            if not self._more():
+                if not self.broken:
+                    return False
+                self._held, self._at, self.broken = b"\n", 0, False
+
 
 def _fields(lines: bytes) -> list[tuple[str, str]]:
     """Named fields; a line that starts with white space goes on with the one before."""
@@ -184,25 +247,41 @@ def _fields(lines: bytes) -> list[tuple[str, str]]:
 
 
 def parse_records(content: bytes) -> Iterator[dict]:
-    """The records of one archive. What is broken ends the archive with a row that says so in ``problem``."""
+    """The records of one archive.
+
+    Behind what is broken (no head, a length that ends in the middle of something, compressed data that cannot be read)
+    it goes on with the next line that opens a record, also one inside the bytes that a wrong length took, or the next
+    member; ``problem`` tells of it in the record's row, or in a row of its own where no record can be told.
+    """
     source = _Source(_inflated(content))
-    while source.skip_blank_lines():
-        head = source.up_to(END.encode())
+    while True:
+        if not source.skip_blank_lines():
+            if not source.broken:
+                return
+            yield {"problem": "broken data"}
+            if not source.next_head():
+                return
+        head = source.up_to(END.encode(), _LONGEST_HEAD)
         version, _, rest = (head or b"").partition(b"\r\n")
         fields = _fields(rest)
         named = dict(reversed(fields))
         size = named.get("content-length", "")
-        if not version.startswith(b"WARC/") or not size.isdigit():
+        if not version.startswith(_HEAD) or not (size.isascii() and size.isdigit()):
             yield {"problem": "no record header"}
-            return
+            if head is not None:
+                source.give_back(head + END.encode())
+            if not source.next_head():
+                return
+            continue
         block = source.exactly(int(size))
+        problem = "truncated" if len(block) < int(size) else None if source.at_border() else "length differs"
         row = {
             "record_type": named.get("warc-type"),
             "record_id": named.get("warc-record-id"),
             "uri": named.get("warc-target-uri"),
             "concurrent_to": [value for name, value in fields if name == "warc-concurrent-to"],
             "refers_to": named.get("warc-refers-to"),
-            "problem": None if len(block) == int(size) else "truncated",
+            "problem": problem,
         }
         payload, declared = block, None
         if named.get("content-type", "").startswith("application/http"):
@@ -221,8 +300,12 @@ def parse_records(content: bytes) -> Iterator[dict]:
             if said and said != row["payload_digest"]:
                 row["problem"] = row["problem"] or "digest differs"
         yield row
-        if row["problem"] == "truncated":
-            return
+        if problem:
+            inside = block.find(END.encode() + _HEAD)
+            if inside >= 0:
+                source.give_back(block[inside:])
+            if not source.next_head():
+                return
 
 
 _RECORD = T.StructType(
@@ -256,10 +339,11 @@ _ARROW = {
 
 
 def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
-    """One row per record of all files in a folder. An archive is read by one task, record by record.
+    """One row per record of all files in a folder. An archive is read by one task, record by record, and is one value
+    of at most 2 GB before it is inflated.
 
     Digests are computed over what the archive holds; a revisit has those of its header. Of a repeated field in a
-    ``warc-fields`` block the last value counts.
+    ``warc-fields`` block the last value counts. A record without an id is named by its file and its place there.
     """
     ship(spark)
     names = [name for name in _ARROW if with_payload or name != "payload"]
@@ -275,9 +359,11 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
+            for path, content in zip(batch.column(0), batch.column(1)):
                 rows, held = [], 0
-                for row in parse_records(content.as_py()):
+                for place, row in enumerate(parse_records(content.as_py())):
+                    if row.get("record_type") and not row["record_id"]:
+                        row["record_id"] = f"{path.as_py()}#{place}"
                     rows.append(row)
                     held += len(row.get("payload") or b"") + 500
                     if held >= _FLUSH:
@@ -286,17 +372,34 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -
                 if rows:
                     yield batch_of(rows)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
     return files.mapInArrow(tidied(parse), T.StructType([field for field in _RECORD.fields if field.name in names]))
 
 
+def _owners(direct: DataFrame, rest: DataFrame) -> DataFrame:
+    """``t, s``: the answers ``t`` that a record ``s`` reaches, one step of ``rest`` more each round until none is new.
+
+    Without links between requests and metadata, as most writers leave it, no round is run.
+    """
+    if rest.isEmpty():
+        return direct
+    known = newest = direct
+    while True:
+        step = rest.withColumnRenamed("t", "mid").join(newest.select("t", F.col("s").alias("mid")), "mid").select("t", "s").distinct()
+        newest, found = written_counted(step.join(known, ["t", "s"], "left_anti"), "owners")
+        if not found:
+            return known
+        known = known.union(newest)
+
+
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: ``answer`` (response, revisit or resource), ``requests``, ``metadata``.
 
-    A request or metadata record belongs to the answer it is concurrent to, to an answer that names it, or to the answer
-    of a request it is concurrent to. One that belongs to none is a capture without an answer. Records that repeat an
-    id of a request or metadata record count once; every answer gives a row. Records without a type are left out.
-    Give it a frame that reads stable files: it is joined several times, by ids and without payloads.
+    A request or metadata record belongs to the answer it is concurrent to, to an answer that names it, or to the answers
+    of a record it is concurrent to, over any number of steps. One that belongs to none is a capture without an answer.
+    Records that repeat an id of a request or metadata record count once; every answer gives a row. Records without a
+    type are left out, and requests and metadata without an id, which :func:`read_archives` does not give. An empty
+    table gives no rows. Give it a frame that reads stable files: it is joined several times, by ids and without payloads.
     """
     answer = F.col("record_type").isin("response", "revisit", "resource")
     answers = records.filter(answer)
@@ -306,9 +409,8 @@ def assemble(records: DataFrame) -> DataFrame:
     said = others.select(F.col("record_id").alias("s"), F.explode("concurrent_to").alias("t"))
     named = answers.select(F.explode("concurrent_to").alias("s"), F.col("record_id").alias("t"))
     links = said.union(named).filter("s is not null and t is not null").distinct()
-    direct = links.join(ids, "t", "left_semi")
-    through = links.withColumnRenamed("t", "mid").join(direct.select(F.col("s").alias("mid"), "t"), "mid").select("t", "s")
-    owners = direct.select("t", "s").union(through).distinct()
+    links = written(links.join(ids.select("t", F.lit(True).alias("direct")), "t", "left"), "links")
+    owners = _owners(links.filter("direct").select("t", "s"), links.filter("direct is null").select("t", "s"))
 
     plain = others.groupBy("record_id").agg(
         *[F.any_value(name).alias(name) for name in ("record_type", "uri", "payload_bytes", "payload_digest", "problem")],
@@ -347,6 +449,10 @@ def page_transactions(captured: DataFrame) -> DataFrame:
 
 
 def page_archive(pages: DataFrame, folder: str) -> DataFrame:
-    """Write the pages to archives in ``folder``, read these back and assemble the captures."""
+    """Write the pages to archives in ``folder``, read these back and assemble the captures.
+
+    Columns other than ``page_id``, ``url`` and ``html`` are not read. Null and repeated ids, null addresses and null
+    texts are captures of their own (:func:`captures`); an empty table gives no rows.
+    """
     write_archives(pages, folder)
     return page_transactions(assemble(written(read_archives(pages.sparkSession, folder, with_payload=False), "records")))
