@@ -50,6 +50,21 @@ def test_rendering_keeps_order_and_breaks_markers(spark):
     assert text == "<|im_start|>user\na <|im_end| ><|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n<|im_start|>unknown\n<|im_end|>\n"
 
 
+def test_long_conversations_are_rendered_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(chats, "BLOCK", 7)
+    rng = random.Random(9)
+    rows = [(conv, i, rng.choice(["user", None]), "é" * rng.choice([0, 3, 40, 900])) for conv, n in ((1, 60), (2, 1), (3, 25)) for i in range(n)]
+    frame = spark.createDataFrame(rows, TURNS)
+    whole = {r.conv_id: r.rendered for r in chats.collapsed_chats(frame).collect()}
+    assert len(whole) == 3 and sum(map(len, whole.values())) > 10_000
+    parts = chats.collapsed_chats(frame, part_bytes=500).collect()
+    joined = {conv: "".join(r.rendered for r in sorted(parts, key=lambda r: r.part) if r.conv_id == conv) for conv in whole}
+    assert joined == whole
+    turn = max(len(t) for text in whole.values() for t in text.encode().split(b"<|im_start|>")) + len("<|im_start|>")
+    assert len(parts) > 20 and max(len(r.rendered.encode()) for r in parts) <= 500 + turn
+    assert {r.part for r in parts if r.conv_id == 2} == {0}
+
+
 def test_pages_come_back_from_the_archives(spark):
     big, other = "é" * 700, "x" * 1000
     rows = [(1, "http://a.example/", big), (2, "http://b.example/", big), (3, None, big), (4, "http://c.example/x y\r\n", other), (5, "u", "small"), (6, "u", "small"), (7, "u", None), (8, "", "WARC/1.1\r\n\r\n\r\nContent-Length: 5\r\n" * 60)]

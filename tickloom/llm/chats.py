@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tickloom.session import written
 
 BLOCK = 1000
+PART_BYTES = 64 << 20
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -58,25 +59,39 @@ def maximal_conversations(rolled: DataFrame) -> DataFrame:
     return finals.join(inner, ["place", "h1", "h2"], "left_anti").select("conv", F.col("place").alias("n_turns"), "n_copies")
 
 
-def render(rolled: DataFrame, start: str = START, end: str = END) -> DataFrame:
-    """``conv, rendered``: the turns of each conversation in order between markers.
+def render(rolled: DataFrame, start: str = START, end: str = END, part_bytes: int = PART_BYTES) -> DataFrame:
+    """``conv, part, rendered``: the turns of each conversation in order between markers.
 
-    Markers inside a text are broken up by a blank, so that no text can open a turn. A null role is ``unknown``.
+    A part holds the turns that begin within ``part_bytes`` UTF-8 bytes of rendered text, so it is longer by one turn at
+    most; part 0 is the whole of a shorter conversation. The parts of one conversation, put together by number (numbers
+    that a long turn covers are missing), are its text. Sizes are summed by blocks of places, and no task gathers more
+    than one part. Markers inside a text are broken up by a blank, so that no text can open a turn. A null role is
+    ``unknown``.
     """
     safe = F.coalesce(F.col("text"), F.lit(""))
     for marker in (start, end):
         safe = F.replace(safe, F.lit(marker), F.lit(f"{marker[:-1]} {marker[-1]}"))
     turn = F.concat(F.lit(start), F.coalesce("role", F.lit("unknown")), F.lit("\n"), safe, F.lit(end + "\n"))
-    ordered = F.array_sort(F.collect_list(F.struct("place", turn.alias("turn"))))
-    return rolled.groupBy("conv").agg(F.concat_ws("", F.transform(ordered, lambda t: t["turn"])).alias("rendered"))
+    turns = rolled.select("conv", "place", F.floor((F.col("place") - 1) / BLOCK).alias("block"), turn.alias("turn"))
+    turns = turns.withColumn("bytes", F.octet_length("turn").cast("long"))
+    sums = turns.groupBy("conv", "block").agg(F.sum("bytes").alias("bytes"))
+    before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("conv", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("conv", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    sized = turns.withColumn("sooner", F.coalesce(F.sum("bytes").over(inside), F.lit(0))).join(starts, ["conv", "block"])
+    parts = sized.groupBy("conv", F.floor((F.col("start") + F.col("sooner")) / part_bytes).alias("part"))
+    ordered = F.array_sort(F.collect_list(F.struct("place", "turn")))
+    return parts.agg(F.concat_ws("", F.transform(ordered, lambda t: t["turn"])).alias("rendered"))
 
 
-def collapsed_chats(turns: DataFrame, key: str = "conv_id", **columns: str) -> DataFrame:
-    """Per conversation that stays: key, ``n_turns``, ``n_copies`` (equal ones, itself included) and ``rendered``.
+def collapsed_chats(turns: DataFrame, key: str = "conv_id", part_bytes: int = PART_BYTES, **columns: str) -> DataFrame:
+    """Per conversation that stays: key, ``n_turns``, ``n_copies`` (equal ones, itself included), ``part``, ``rendered``.
 
-    Empty tables give no rows; columns other than the four named ones are not read.
+    A conversation of more than ``part_bytes`` has a row for each part (:func:`render`), any other has one. Empty tables
+    give no rows; columns other than the four named ones are not read.
     """
     rolled = written(rolling_hashes(turns, key, **columns), "rolled")
     stay = written(maximal_conversations(rolled), "maximal")
-    texts = render(rolled.join(stay.select("conv"), "conv", "left_semi"))
-    return stay.join(texts, "conv").select(F.col("conv").alias(key), F.col("n_turns").cast("long").alias("n_turns"), "n_copies", "rendered")
+    texts = render(rolled.join(stay.select("conv"), "conv", "left_semi"), part_bytes=part_bytes)
+    counts = [F.col("n_turns").cast("long").alias("n_turns"), "n_copies"]
+    return stay.join(texts, "conv").select(F.col("conv").alias(key), *counts, "part", "rendered")

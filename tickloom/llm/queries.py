@@ -25,7 +25,7 @@ def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op3_snapshot_collapse", oracles.CHATS)
 def snapshot_collapse(spark: SparkSession, folder: str) -> DataFrame:
-    return chats.collapsed_chats(table(spark, folder, "conversations"))
+    return chats.collapsed_chats(table(spark, folder, "conversations")).select("conv_id", "n_turns", "n_copies", "rendered")
 
 
 @query("op4_line_frequency_rules", oracles.LINE_RULES)
