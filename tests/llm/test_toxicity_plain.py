@@ -1,0 +1,113 @@
+"""The toxicity chain against a plain version of it: dictionaries, loops, and words as they are in place of hashes."""
+
+from __future__ import annotations
+
+import math
+import random
+import re
+
+import numpy as np
+
+from tickloom.llm import toxicity
+
+MASK = (1 << 64) - 1
+
+
+def plain_fold(key):
+    x = key & MASK
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & MASK
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & MASK
+    return (x ^ (x >> 31)) % toxicity.FOLDS
+
+
+def plain_features(text):
+    lowered = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+    words = [w for w in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lowered) if w]
+    times = {}
+    for word in words:
+        for feature in [word, *((n, word[:n]) for n in toxicity.BEGINNINGS if len(word) >= n)]:
+            times[feature] = times.get(feature, 0) + 1
+    return {f: float(np.float32(math.log1p(toxicity.SHARE_SCALE * t / len(words)))) for f, t in times.items()}
+
+
+def logistic(x):
+    return 1 / (1 + math.exp(-min(max(x, -30), 30)))
+
+
+def plain_score(model, row, before):
+    return logistic(sum(model[f] * v for f, v in row.items() if f in model) + sum(model["earlier", i] * p for i, p in enumerate(before)) + model["constant"])
+
+
+def plain_fit(rows, befores, labels):
+    n, n1 = len(rows), sum(labels)
+    telling = set()
+    for feature in {f for row in rows for f in row}:
+        have = [label for row, label in zip(rows, labels) if feature in row]
+        if 0 < n1 < n and len(have) >= toxicity.MIN_TEXTS:
+            share, positive = len(have) / n, sum(have)
+            spread = math.sqrt(share * (1 - share) * (1 / n1 + 1 / (n - n1))) + 1e-12
+            if abs(positive / n1 - (len(have) - positive) / (n - n1)) / spread >= toxicity.MIN_DEVIATIONS:
+                telling.add(feature)
+    inputs = []
+    for row, before in zip(rows, befores):
+        inputs.append({f: v for f, v in row.items() if f in telling} | {("earlier", i): p for i, p in enumerate(before)} | {"constant": 1.0})
+    model = dict.fromkeys([*telling, *(("earlier", i) for i in range(len(befores[0]))), "constant"], 0.0)
+    squares = dict.fromkeys(model, 0.0)
+    for _ in range(toxicity.ROUNDS):
+        gradient = {f: toxicity.PENALTY * w for f, w in model.items()}
+        for row, label in zip(inputs, labels):
+            error = logistic(sum(model[f] * v for f, v in row.items())) - label
+            for f, v in row.items():
+                gradient[f] += error * v
+        for f, g in gradient.items():
+            squares[f] += g * g
+            model[f] -= toxicity.RATE * g / math.sqrt(squares[f] + 1e-12)
+    return model
+
+
+def plain_chain(keys, rows, labels):
+    fold, befores, models = [plain_fold(k) for k in keys], [()] * len(rows), []
+    for k in range(len(labels[0])):
+        truth = [own[k] for own in labels]
+        models.append(plain_fit(rows, befores, truth))
+        held = [0.0] * len(rows)
+        for f in range(toxicity.FOLDS):
+            use = [i for i in range(len(rows)) if fold[i] != f]
+            model = plain_fit([rows[i] for i in use], [befores[i] for i in use], [truth[i] for i in use])
+            for i in set(range(len(rows))) - set(use):
+                held[i] = plain_score(model, rows[i], befores[i])
+        befores = [(*b, h) for b, h in zip(befores, held)]
+    return models
+
+
+def test_the_chain_gives_the_probabilities_of_its_plain_version(spark):
+    rng = random.Random(12)
+    common = ["".join(rng.choice("aeinostré") for _ in range(rng.randint(3, 8))) for _ in range(60)]
+    docs, labels = [], []
+    for key in range(240):
+        poor, toxic = rng.random() < 0.4, rng.random() < 0.35
+        text = rng.choices(common, k=rng.randint(8, 30)) + ["Spam"] * (2 if poor else 0)
+        text += ["grauz" + "".join(rng.choice("aeiou") for _ in range(3)) for _ in range(2)] if toxic and rng.random() < 0.95 else []
+        rng.shuffle(text)
+        docs.append((key - 5, rng.choice([" ", ", ", "\n"]).join(text)))
+        if key < 180:
+            labels.append((key - 5, int(not poor), int(toxic)))
+    docs += [(1000, None), (1001, ""), (None, "grauzaei spam"), (239, docs[239][1])]
+    labels += [(1000, 0, 1), (5000, 0, 1), (8, None, 1)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = toxicity.toxicity(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+
+    texts = dict(docs)
+    learned = [(k, (int(quality == 0), toxic)) for k, quality, toxic in labels if quality is not None and texts.get(k) is not None]
+    models = plain_chain([k for k, _ in learned], [plain_features(texts[k]) for k, _ in learned], [own for _, own in learned])
+    assert any("grauz" in f for f in models[1]) and "spam" in models[0]
+    want = []
+    for key, text in docs:
+        before = ()
+        for model in models:
+            before = (*before, plain_score(model, plain_features(text), before))
+        want.append((-1 if key is None else key, *before, before[1] > toxicity.LIMIT))
+    found = sorted((-1 if r.doc_id is None else r.doc_id, r.p_low_quality, r.p_toxic, r.rejected) for r in got)
+    want.sort()
+    assert [(r[0], r[3]) for r in found] == [(r[0], r[3]) for r in want]
+    np.testing.assert_allclose([r[1:3] for r in found], [r[1:3] for r in want], atol=1e-5)
