@@ -122,6 +122,7 @@ def test_reader_goes_on_behind_a_broken_member():
             sound = [size for size, problem in found if problem is None]
             assert sound == [len(b) for i, b in enumerate(blocks) if i != broken], broken
             assert len(found) > len(sound)
+    assert sizes_and_problems(b"??" + b"".join(members)[2:])[1:] == [(len(b), None) for b in blocks[1:]]
     assert sizes_and_problems(b"".join(members) + b"\0" * 512) == [(len(b), None) for b in blocks]
 
 
@@ -134,6 +135,8 @@ def test_reader_goes_on_behind_wrong_lengths_and_stray_bytes():
         assert sizes_and_problems(pack(a + simple_record(b"x" * 50, 20) + c)) == [sound[0], (20, "length differs"), sound[2]]
         assert sizes_and_problems(pack(a + simple_record(b"x" * 50, 220) + b + c)) == [sound[0], (220, "length differs"), *sound[1:]]
         assert sizes_and_problems(pack(simple_record(b"x" * 50, 10**9) + a + b + c))[1:] == sound
+        for taken in range(1, 20):
+            assert sizes_and_problems(pack(a + simple_record(b"x" * 50, 50 + 4 + taken) + b + c)) == [sound[0], (54 + taken, "length differs"), *sound[1:]]
         assert sizes_and_problems(pack(a + simple_record(b"x", "x1") + b + c)) == [sound[0], (None, "no record header"), *sound[1:]]
         assert sizes_and_problems(pack(a + b"j" * 3_000_000 + b"\r\n" + b + c)) == [sound[0], (None, "no record header"), *sound[1:]]
 

@@ -130,7 +130,7 @@ def _inflated(content: bytes) -> Iterator[bytes | None]:
 
     Where compressed data is broken stands ``None``; then come the members behind the start of the broken one.
     """
-    if not content.startswith(_MEMBER[:2]):
+    if not content.startswith(_MEMBER[:2]) and _is_plain(content):
         yield content
         return
     at = 0
@@ -147,9 +147,21 @@ def _inflated(content: bytes) -> Iterator[bytes | None]:
             at = min(begin, len(content)) - len(member.unused_data)
             continue
         yield None
+        at = _next_member(content, at + 1)
+
+
+def _next_member(content: bytes, at: int) -> int:
+    """Where the next gzip member that can be read begins; -1 without any."""
+    at = content.find(_MEMBER, at)
+    while at >= 0 and not _opens(content, at):
         at = content.find(_MEMBER, at + 1)
-        while at >= 0 and not _opens(content, at):
-            at = content.find(_MEMBER, at + 1)
+    return at
+
+
+def _is_plain(content: bytes) -> bool:
+    """Of a file that does not start as a gzip member: whether a line opens a record before any member begins."""
+    member = -1 if content.startswith(_HEAD) else _next_member(content, 0)
+    return member < 0 or b"\n" + _HEAD in content[:member]
 
 
 def _opens(content: bytes, at: int) -> bool:
@@ -301,9 +313,10 @@ def parse_records(content: bytes) -> Iterator[dict]:
                 row["problem"] = row["problem"] or "digest differs"
         yield row
         if problem:
-            inside = block.find(END.encode() + _HEAD)
-            if inside >= 0:
-                source.give_back(block[inside:])
+            border = END.encode() + _HEAD
+            inside = block.find(border)
+            # The next record may also begin in the block's last bytes.
+            source.give_back(block[inside:] if inside >= 0 else block[1 - len(border) :])
             if not source.next_head():
                 return
 
