@@ -210,6 +210,30 @@ def test_files_go_from_pending_to_landed_to_archived(spark, tmp_path):
     assert states()["2.json"] == ("archived", 2, 2) and states()["3.json"] == ("landed", 3, 1)
 
 
+def test_a_landing_batch_reads_its_files_once_and_lists_them_in_few_tasks(spark, tmp_path):
+    source, target = tmp_path / "in", scratch_path(spark, "landed")
+    source.mkdir()
+    bodies = [json.dumps(_record()), json.dumps([_record(), _record(price="?")]), "cut {", " \n"]
+    for number in range(60):
+        (source / f"{number}.json").write_text(bodies[number % 4])
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        reads.add(1)
+        return text
+
+    files = landing.file_stream(spark, str(source)).withColumn("text", seen("text"))
+    query = landing.land_files(files, target, scratch_path(spark, "offsets"))
+    query.awaitTermination()
+    assert query.exception() is None and reads.value == 60
+    assert (landing.landed(spark, target).count(), landing.rejected(spark, target).count()) == (30, 30)
+    assert sorted((r.records, r.rejects) for r in landing.processed(spark, target).collect()) == sorted([(1, 0), (1, 1), (0, 1), (0, 0)] * 15)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(str(query.runId)) for s in tracker.getJobInfo(j).stageIds]
+    assert len(stages) >= 4 and max(stage.numTasks for stage in stages) <= 2 * spark.sparkContext.defaultParallelism
+
+
 def _item(spark, number):
     moment = datetime.datetime(2024, 1, 1)
     rows = [(number % 7, number, moment, number), (100 + number % 13, number, moment, number)]
