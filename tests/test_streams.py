@@ -234,6 +234,19 @@ def test_a_landing_batch_reads_its_files_once_and_lists_them_in_few_tasks(spark,
     assert len(stages) >= 4 and max(stage.numTasks for stage in stages) <= 2 * spark.sparkContext.defaultParallelism
 
 
+def test_settings_of_the_deployment_stay_as_they_are(spark, tmp_path):
+    key = "spark.sql.streaming.fileSource.cleaner.numThreads"
+    spark.conf.set(key, "2")
+    try:
+        landing.file_stream(spark, str(tmp_path), str(tmp_path / "done"))
+        assert spark.conf.get(key) == "2"
+        spark.conf.unset(key)
+        landing.file_stream(spark, str(tmp_path), str(tmp_path / "done"))
+        assert int(spark.conf.get(key)) > 1
+    finally:
+        spark.conf.unset(key)
+
+
 def _item(spark, number):
     moment = datetime.datetime(2024, 1, 1)
     rows = [(number % 7, number, moment, number), (100 + number % 13, number, moment, number)]
