@@ -176,6 +176,33 @@ def test_archives_are_bounded_in_bytes(spark, monkeypatch):
     assert (len(by_class["0"]), len(by_class["1"]), len(by_class["2"])) == (7, 20, 21)
 
 
+def test_archives_reach_the_reader_in_pieces(spark, monkeypatch, tmp_path):
+    """Whole archives in Arrow and Python took an executor of 3 GB to its limit where pages do not compress."""
+    monkeypatch.setattr(warc, "_PIECE", 1_000)
+    rng = random.Random(6)
+    written = {}
+    for name, blocks in (("a", [400, 9_000, 30]), ("c", [700]), ("d", [60_000, 5]), ("e", [2_000] * 4)):
+        content = b"".join(gzip.compress(simple_record(rng.randbytes(n))) for n in blocks)
+        (tmp_path / f"{name}.warc.gz").write_bytes(content)
+        written[name] = (blocks, content)
+    (tmp_path / "plain.warc").write_bytes(plain := simple_record(b"p" * 5_000) + b"stray\r\n" + simple_record(b"q" * 7))
+    written["plain"] = ([5_000, None, 7], plain)
+    files = spark.read.format("binaryFile").load(f"file:{tmp_path}")
+    got = {}
+    for r in warc._pieces(files.coalesce(1)).collect():
+        got.setdefault(r.path.rpartition("/")[2].partition(".")[0], []).append((r.piece, bytes(r.part)))
+    for name, (_, content) in written.items():
+        assert [piece for piece, _ in got[name]] == list(range(len(got[name])))
+        assert b"".join(part for _, part in got[name]) == content
+        assert max(len(part) for _, part in got[name]) <= max(1_000, len(content) // 16 + 1)
+    found = {}
+    for r in warc.read_archives(spark, f"file:{tmp_path}").coalesce(1).collect():
+        found.setdefault(r.record_id.partition(":x:")[2].rstrip(">") if r.record_id else None, []).append((r.payload_bytes, r.problem))
+    sizes = [n for blocks, _ in written.values() for n in blocks]
+    assert {key: len(rows) for key, rows in found.items()} == {None if n is None else str(n): sizes.count(n) for n in sizes}
+    assert all(rows == [(None, "no record header")] if key is None else set(rows) == {(int(key), None)} for key, rows in found.items())
+
+
 def test_toxic_documents_are_found_on_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")

@@ -28,6 +28,8 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _READ = 1 << 16
 _FLUSH = 1 << 23
+#: An archive comes to its reader in pieces of so many bytes, or in so many pieces if it is longer.
+_PIECE, _PIECES = 1 << 22, 16
 _LONGEST_HEAD = 1 << 20
 _HEAD, _MEMBER = b"WARC/", b"\x1f\x8b\x08"
 
@@ -125,7 +127,7 @@ def write_archives(pages: DataFrame, folder: str, **columns: str) -> None:
         above = limit
 
 
-def _inflated(content: bytes) -> Iterator[bytes | None]:
+def _inflated(content: bytes | bytearray) -> Iterator[bytes | None]:
     """The bytes of a file that is plain, or one or several gzip members.
 
     Where compressed data is broken stands ``None``; then come the members behind the start of the broken one.
@@ -258,7 +260,7 @@ def _fields(lines: bytes) -> list[tuple[str, str]]:
     return [(name, value) for name, value in found]
 
 
-def parse_records(content: bytes) -> Iterator[dict]:
+def parse_records(content: bytes | bytearray) -> Iterator[dict]:
     """The records of one archive.
 
     Behind what is broken (no head, a length that ends in the middle of something, compressed data that cannot be read)
@@ -351,9 +353,35 @@ _ARROW = {
 }
 
 
+def _pieces(files: DataFrame) -> DataFrame:
+    """``path, piece, part``: the contents of binary files cut up, the pieces of a file in order behind each other.
+
+    Whole values would stand in Arrow's memory, doubled as it grows, and twice in Python beside the file itself.
+    """
+    size = F.greatest(F.lit(_PIECE), F.ceil(F.col("length") / _PIECES))
+    last = F.greatest(F.ceil(F.col("length") / size) - 1, F.lit(0))
+    cut = files.select("path", "content", size.cast("int").alias("size"), F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("piece"))
+    return cut.select("path", "piece", F.substring("content", F.col("piece") * F.col("size") + 1, F.col("size")).alias("part"))
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytearray]]:
+    """Path and content of each file, from its :func:`_pieces`; the content lasts until the next is asked for."""
+    path, content = None, bytearray()
+    for batch in batches:
+        for of, piece, part in zip(*batch.columns):
+            if piece.as_py() == 0:
+                if path is not None:
+                    yield path, content
+                    content.clear()
+                path = of.as_py()
+            content += part.as_buffer()
+    if path is not None:
+        yield path, content
+
+
 def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
     """One row per record of all files in a folder. An archive is read by one task, record by record, and is one value
-    of at most 2 GB before it is inflated.
+    of at most 2 GB before it is inflated, which the task's Python holds once.
 
     Digests are computed over what the archive holds; a revisit has those of its header. Of a repeated field in a
     ``warc-fields`` block the last value counts. A record without an id is named by its file and its place there.
@@ -371,22 +399,21 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -
         return pa.RecordBatch.from_arrays(arrays, names)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1)):
-                rows, held = [], 0
-                for place, row in enumerate(parse_records(content.as_py())):
-                    if row.get("record_type") and not row["record_id"]:
-                        row["record_id"] = f"{path.as_py()}#{place}"
-                    rows.append(row)
-                    held += len(row.get("payload") or b"") + 500
-                    if held >= _FLUSH:
-                        yield batch_of(rows)
-                        rows, held = [], 0
-                if rows:
+        for path, content in _joined(batches):
+            rows, held = [], 0
+            for place, row in enumerate(parse_records(content)):
+                if row.get("record_type") and not row["record_id"]:
+                    row["record_id"] = f"{path}#{place}"
+                rows.append(row)
+                held += len(row.get("payload") or b"") + 500
+                if held >= _FLUSH:
                     yield batch_of(rows)
+                    rows, held = [], 0
+            if rows:
+                yield batch_of(rows)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
-    return files.mapInArrow(tidied(parse), T.StructType([field for field in _RECORD.fields if field.name in names]))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return _pieces(files).mapInArrow(tidied(parse), T.StructType([field for field in _RECORD.fields if field.name in names]))
 
 
 def _owners(direct: DataFrame, rest: DataFrame) -> DataFrame:
